@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, sharding
+from . import line_dedup, packing, sharding
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (line_dedup, sharding):
+for _module in (packing, line_dedup, sharding):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
