@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, sharding
+from . import line_dedup, packing, secrets, sharding
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (packing, line_dedup, sharding):
+for _module in (packing, line_dedup, secrets, sharding):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
