@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, secrets, sharding
+from . import line_dedup, minhash, packing, secrets, sharding
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (packing, line_dedup, secrets, sharding):
+for _module in (packing, line_dedup, minhash, secrets, sharding):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
