@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, minhash, packing, secrets, sharding
+from . import langid, line_dedup, minhash, packing, quality, secrets, sharding
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (packing, line_dedup, minhash, secrets, sharding):
+for _module in (langid, packing, quality, line_dedup, minhash, secrets, sharding):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
