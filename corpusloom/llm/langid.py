@@ -147,14 +147,17 @@ def fit(labelled: DataFrame, *, key_col: str = "doc_id", text_col: str = "text",
 def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; no exchange, one pass."""
 
+    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
+    at = [f.name for f in kept].index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(UND, 0.0) if (v := text_vector(t.as_py())) is None else model.predict(v) for t in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], schema=pa.schema([*list(batch.schema)[:-1], ("lang_pred", pa.string()), ("score", pa.float64())]))
+            found = [(UND, 0.0) if (v := text_vector(t.as_py())) is None else model.predict(v) for t in batch.column(at)]
+            added = [pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], schema=pa.schema([*batch.schema, ("lang_pred", pa.string()), ("score", pa.float64())]))
 
-    kept = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*[f"`{f.name}`" for f in kept], F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, schema)
 
 
 def fold(key: str = "doc_id"):
