@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, line_dedup, media, minhash, packing, quality, secrets, sharding
+from . import langid, line_dedup, media, minhash, multi_index, packing, quality, secrets, sharding
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (langid, packing, quality, media, line_dedup, minhash, secrets, sharding):
+for _module in (langid, packing, quality, media, line_dedup, minhash, multi_index, secrets, sharding):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
