@@ -11,8 +11,10 @@ of its distinct five-word shingles, or its whole word sequence if that is shorte
    of the similarity (uniform prior) is bounded, and the pair dropped when similarity
    over the threshold has a probability below ``miss``. Survivors are verified exactly.
 4. In buckets whose members are not all in one component yet, members are compared
-   block by block, across components alone, in the same sequential way, and the
-   survivors verified too. No link between different components is left untried.
+   block by block, across components alone, in the same sequential way, each pair in
+   the bucket of its first common band. Members with a survivor meet once more, with
+   their texts, and are verified on the spot, so pairs are never rows. No link
+   between different components is left untried.
 
 Defined results: a null or empty text, or one without words, has an empty set and
 links with nothing; a null doc_id links with nothing; rows that repeat a doc_id are
@@ -39,8 +41,8 @@ from .scratch import materialize
 WIDTH, SLOTS, BATCH, THRESHOLD = 5, 128, 32, 0.8
 #: Probability, for a pair at the threshold, that the bands or the posterior bound miss it.
 MISS = 1e-6
-#: Members of a bucket that are compared at once.
-BLOCK = 256
+#: Members of a bucket, and shingles in their sets, that a task holds twice at once.
+BLOCK, BLOCK_SHINGLES = 256, 2_000_000
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -146,8 +148,8 @@ def least_matches(threshold: float, slots: int = SLOTS, batch: int = BATCH, miss
     return found
 
 
-def _sequential(a: np.ndarray, b: np.ndarray, bounds: list[int], batch: int = BATCH) -> np.ndarray:
-    """Which rows (or of which one row against many) stay through all batches."""
+def _sequential(a: np.ndarray, b: np.ndarray, bounds: list[int], batch: int = BATCH) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows of b (against those of a, or one) stay through all batches, and their matches."""
     some = np.arange(len(b))
     matches = np.zeros(len(b), np.int32)
     for k, least in enumerate(bounds):
@@ -155,7 +157,7 @@ def _sequential(a: np.ndarray, b: np.ndarray, bounds: list[int], batch: int = BA
         left = a[part] if a.ndim == 1 else a[some, part]
         matches[some] += (left == b[some, part]).sum(axis=1, dtype=np.int32)
         some = some[matches[some] >= least]
-    return some
+    return some, matches[some]
 
 
 def _matrix(column: pa.Array, slots: int) -> np.ndarray:
@@ -167,73 +169,158 @@ def bayes_filter(pairs: DataFrame, bounds: list[int], slots: int = SLOTS) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array(_sequential(_matrix(batch.column(2), slots), _matrix(batch.column(3), slots), bounds)) if batch.num_rows else pa.array([], pa.int64())
+            keep = pa.array(_sequential(_matrix(batch.column(2), slots), _matrix(batch.column(3), slots), bounds)[0]) if batch.num_rows else pa.array([], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
 
     kind = pairs.schema["a"].dataType
     return pairs.select("a", "b", "sa", "sb").mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
-def block_pairs(rows: DataFrame, bounds: list[int], slots: int = SLOTS) -> DataFrame:
-    """Surviving (a, b) with different ``comp`` of rows (key, lo, hi, id, comp, at,
-    sig) that come sorted by key, lo and hi: within a block or across two."""
-    kind = rows.schema["id"].dataType
-
-    def compare(group: dict) -> list[tuple]:
-        ids, comp, at, sig = (np.concatenate(group[c]) for c in ("id", "comp", "at", "sig"))
-        lo, hi = group["lo"], group["hi"]
-        left = np.flatnonzero(at == lo)
-        right = left if lo == hi else np.flatnonzero(at == hi)
-        out = []
-        for k, i in enumerate(left):
-            others = right[k + 1 :] if lo == hi else right
-            others = others[comp[others] != comp[i]]
+class _Group:
+    """Members of one bucket's block, or of two, as they stream in."""
+
+    COLUMNS = ("id", "comp", "at", "n", "sig", "bands", "t")
+
+    def __init__(self, tag: tuple, columns: tuple[str, ...]) -> None:
+        self.band, self.key, self.lo, self.hi = tag
+        self.tag, self.parts = tag, {c: [] for c in columns}
+
+    def close(self) -> None:
+        for c, parts in self.parts.items():
+            setattr(self, c, np.concatenate(parts))
+        _, self.comp_no = np.unique(self.comp, return_inverse=True)
+
+    def candidates(self, bounds: list[int], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member and those others, of other components at that time, whose pairs
+        with it belong here and that no bound rules out."""
+        left = np.flatnonzero(self.at == self.lo)
+        right = left if self.lo == self.hi else np.flatnonzero(self.at == self.hi)
+        for k, i in enumerate(left.tolist()):
+            others = right[k + 1 :] if self.lo == self.hi else right
+            n, mine = self.n[others], self.n[i]
+            others = others[(self.comp_no[others] != self.comp_no[i]) & (100 * np.minimum(n, mine) >= percent * np.maximum(n, mine))]
+            others = others[_sequential(self.sig[i], self.sig[others], bounds)[0]]
+            # A pair in several buckets belongs to the one of its first common band.
+            others = others[(self.bands[others] == self.bands[i]).argmax(axis=1) == self.band]
             if len(others):
-                out += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in others[_sequential(sig[i], sig[others], bounds)]]
-        return out
+                yield i, others
+
+    def members(self, bounds: list[int], percent: int) -> np.ndarray:
+        """The members with a candidate."""
+        hit = np.zeros(len(self.id), bool)
+        for i, others in self.candidates(bounds, percent):
+            hit[i] = True
+            hit[others] = True
+        return np.flatnonzero(hit)
+
+    def links(self, bounds: list[int], percent: int, width: int) -> list[tuple]:
+        """Verified links that join components, as far as they are known here."""
+        sets: dict[int, np.ndarray] = {}
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(self.t[i], width)
+            return sets[i]
+
+        found = []
+        for i, others in self.candidates(bounds, percent):
+            mine = of(i)
+            flat = np.concatenate([of(j) for j in others.tolist()])
+            at_mine = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+            shared = np.add.reduceat((mine[at_mine] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(self.n[others])[:-1]]))
+            for j in others[100 * shared >= percent * (self.n[i] + self.n[others] - shared)].tolist():
+                if self.comp_no[i] != self.comp_no[j]:
+                    self.comp_no[self.comp_no == self.comp_no[j]] = self.comp_no[i]
+                    found.append((self.id[i], self.id[j]))
+        return found
+
+
+BLOCK_COLUMNS = ("band", "key", "lo", "hi", "id", "comp", "at", "n", "sig", "bands", "t")
+
+
+def _groups(batches: Iterator[pa.RecordBatch], slots: int, with_text: bool) -> Iterator[_Group]:
+    """Whole groups of rows that come sorted by band, key, lo and hi."""
+    group: _Group | None = None
+    names = _Group.COLUMNS if with_text else _Group.COLUMNS[:-1]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        band, key, lo, hi, ids, comp, at, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(8))
+        values = [ids, comp, at, n, _matrix(batch.column(8), slots), batch.column(9).flatten().to_numpy().reshape(batch.num_rows, -1)]
+        if with_text:
+            values.append(batch.column(10).to_numpy(zero_copy_only=False))
+        change = np.flatnonzero((key[1:] != key[:-1]) | (band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+        for begin, end in zip([0, *change], [*change, len(key)], strict=True):
+            tag = (band[begin], key[begin], lo[begin], hi[begin])
+            if group is not None and group.tag != tag:
+                group.close()
+                yield group
+                group = None
+            group = group or _Group(tag, names)
+            for c, v in zip(names, values, strict=True):
+                group.parts[c].append(v[begin:end])
+    if group is not None:
+        group.close()
+        yield group
+
+
+def block_members(rows: DataFrame, bounds: list[int], percent: int, slots: int = SLOTS) -> DataFrame:
+    """Those of the rows (BLOCK_COLUMNS without the text) that have a candidate."""
+    arrow = {f.name: f.dataType for f in rows.schema.fields}
+    columns = BLOCK_COLUMNS[:-1]
+    schema = T.StructType([T.StructField(c, arrow[c]) for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: dict = {}
-        pairs: list[tuple] = []
+        kinds: list = []
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal pairs
-            for at in range(0, len(pairs), 50_000):
-                part = pairs[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in part], target) for k in (0, 1)], names=["a", "b"])
-            pairs = []
+        def seen() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                kinds[:] = [f.type for f in batch.schema]
+                yield batch
 
-        target = None
-        for batch in batches:
-            target = batch.column(3).type
-            key, lo, hi, ids, comp, at = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
-            sig = _matrix(batch.column(6), slots)
-            change = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
-            for begin, end in zip([0, *change], [*change, len(key)], strict=True):
-                if begin == end:
-                    continue
-                tag = (key[begin], lo[begin], hi[begin])
-                if group and group["tag"] != tag:
-                    pairs += compare(group)
-                    group = {}
-                if not group:
-                    group = {"tag": tag, "lo": tag[1], "hi": tag[2], "id": [], "comp": [], "at": [], "sig": []}
-                for c, values in (("id", ids), ("comp", comp), ("at", at), ("sig", sig)):
-                    group[c].append(values[begin:end])
-            if len(pairs) > 50_000:
-                yield from flush()
-        if group:
-            pairs += compare(group)
-        yield from flush()
-
-    columns = rows.select("key", "lo", "hi", "id", "comp", "at", "sig")
-    return columns.mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+        for group in _groups(seen(), slots, False):
+            some = group.members(bounds, percent)
+            if len(some):
+                tags = [np.full(len(some), x) for x in group.tag]
+                plain = [group.id[some], group.comp[some], group.at[some], group.n[some]]
+                bands = group.bands[some]
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.ravel()))
+                arrays = [pa.array(v, k) for v, k in zip([*tags, *plain], kinds, strict=False)]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([s.tobytes() for s in group.sig[some]], pa.binary()), lists], names=list(columns))
+
+    return rows.select(*columns).mapInArrow(run, schema)
+
+
+def block_links(rows: DataFrame, bounds: list[int], percent: int, *, width: int = WIDTH, slots: int = SLOTS) -> DataFrame:
+    """Links (a, b) that join components, from rows (BLOCK_COLUMNS) sorted by bucket
+    and blocks: signatures first, then the exact sets."""
+    kind = rows.schema["id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = pa.int64()
+
+        def seen() -> Iterator[pa.RecordBatch]:
+            nonlocal target
+            for batch in batches:
+                target = batch.column(4).type
+                yield batch
+
+        for group in _groups(seen(), slots, True):
+            if found := group.links(bounds, percent, width):
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], target) for k in (0, 1)], names=["a", "b"])
+
+    return rows.select(*BLOCK_COLUMNS).mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+
+
+def _texts(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t) of these ids; written once, as they are read more than once."""
+    ids = materialize(ids.select("id").distinct(), "ids")
+    return materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(ids, "id", "left_semi"), "texts")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, width: int = WIDTH) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 |A and B| >= percent |A or B|."""
-    ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    texts = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(ids, "id", "left_semi"), "texts")
+    texts = _texts(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), docs, id_col, text_col)
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -251,7 +338,7 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percen
     return both.select("a", "b", "ta", "tb").mapInPandas(run, pairs.schema)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """A row for each of ``docs``: id_col, n_shingles, component_id and kept."""
     percent = round(100 * threshold)
     rows, bounds = band_rows(threshold, SLOTS, miss), least_matches(threshold, SLOTS, BATCH, miss)
@@ -259,39 +346,38 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     known = sketches.filter((F.col("n") > 0) & F.col("id").isNotNull())
     classes = known.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
     reps = known.join(classes, ["d1", "d2"]).filter(F.col("id") == F.col("rep")).dropDuplicates(["d1", "d2"])
-    banded = reps.select("id", F.explode("bands").alias("key"))
-    sizes = banded.groupBy("key").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
-    buckets = materialize(banded.join(sizes, "key"), "buckets")
-    signatures = sketches.select("id", "sig").filter(F.col("id").isNotNull())
+    banded = reps.select("id", "n", F.posexplode("bands").alias("band", "key"))
+    sizes = banded.groupBy("band", "key").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).filter(F.col("size") > 1)
+    buckets = materialize(banded.drop("n").join(sizes, ["band", "key"]), "buckets")
+    signatures = sketches.select("id", "n", "sig", "bands").filter(F.col("id").isNotNull())
 
     weight = buckets.groupBy("id").agg(F.sum("size").alias("weight"))
-    hubs = buckets.join(weight, "id").groupBy("key").agg(F.max_by("id", F.struct("weight", F.xxhash64("id"), "id")).alias("b"))
-    star = buckets.select("key", F.col("id").alias("a")).join(hubs, "key").filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"), "a", "b").dropDuplicates(["lo", "hi"]).select("a", "b")
-    tried = materialize(bayes_filter(_signed(star, signatures), bounds), "pairs")
-    first = materialize(verify(tried, docs, id_col, text_col, percent), "links")
-
-    labels = components(first, "a", "b")
-    labelled = buckets.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "size", F.coalesce("component", "id").alias("comp"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter(F.col("x") != F.col("y")).select("key")
-    n_blocks = F.ceil(F.col("size") / block).cast("int")
-    open_rows = labelled.join(mixed, "key").withColumn("at", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
-    open_rows = open_rows.select("key", "id", "comp", "at", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("other"))
-    open_rows = open_rows.select("key", "id", "comp", "at", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi")).join(signatures, "id")
-    dealt = open_rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
-    more = block_pairs(dealt, bounds).distinct()
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = materialize(more.join(done, ["a", "b"], "left_anti"), "pairs")
-    second = verify(more, docs, id_col, text_col, percent)
-
-    labels = components(first.union(second), "a", "b")
+    hubs = buckets.join(weight, "id").groupBy("band", "key").agg(F.max_by("id", F.struct("weight", F.xxhash64("id"), "id")).alias("b"))
+    star = buckets.select("band", "key", F.col("id").alias("a")).join(hubs, ["band", "key"]).filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    star = materialize(bayes_filter(_signed(star, signatures, percent), bounds), "pairs")
+    links = materialize(verify(star, docs, id_col, text_col, percent), "links")
+
+    labels = components(links, "a", "b")
+    labelled = buckets.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    mixed = labelled.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter(F.col("x") != F.col("y")).select("band", "key")
+    n_blocks = F.ceil(F.greatest(F.col("size") / block, F.col("shingles") / block_shingles)).cast("int")
+    rest = labelled.join(mixed, ["band", "key"]).select("band", "key", "id", "comp", n_blocks.alias("n_blocks"))
+    rest = rest.withColumn("at", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
+    rest = rest.select("band", "key", "id", "comp", "at", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
+    rest = rest.select("band", "key", "id", "comp", "at", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"))
+    bucketed = lambda df: df.repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi", "id")
+    rest = materialize(block_members(bucketed(rest.join(signatures, "id")), bounds, percent), "members")
+    rest = rest.join(_texts(rest, docs, id_col, text_col), "id")
+    links = links.union(materialize(block_links(bucketed(rest), bounds, percent), "links"))
+    labels = components(links, "a", "b")
     full = sketches.select("id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("id"))
     return full.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _signed(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
-    one = lambda c: signatures.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}"))
-    return pairs.join(one("a"), "a").join(one("b"), "b")
+def _signed(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    one = lambda c: signatures.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
+    return pairs.join(one("a"), "a").join(one("b"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
