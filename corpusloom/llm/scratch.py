@@ -39,3 +39,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of rows that go to a Python worker at once; texts are several times that in Python.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, so that a worker's memory doesn't follow the texts."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None) or ""
+    if not (now.rstrip("b").isdigit() and int(now.rstrip("b")) <= BATCH_BYTES):
+        spark.conf.set(key, str(BATCH_BYTES))
