@@ -56,7 +56,8 @@ def _moments(df: DataFrame, vector_col: str, group_col: str | None) -> DataFrame
                 new = np.concatenate([[len(x), n2.sum(), (n2 * n2).sum(), (n2 > 0).sum()], x.sum(axis=0), (x.T @ x).ravel()])
                 key = None if g is None or g != g else g
                 held[key] = held.get(key, 0) + new
-        yield pd.DataFrame({"g": list(held), "m": [m.tolist() for m in held.values()]})
+        if held:
+            yield pd.DataFrame({"g": list(held), "m": [m.tolist() for m in held.values()]})
 
     rows = df.filter(F.col(vector_col).isNotNull()).select(group.alias("g"), F.col(vector_col).alias("v")).mapInPandas(partial, "g string, m array<double>")
     each = rows.select("g", F.posexplode("m").alias("i", "x")).groupBy("g", "i").agg(F.sum("x").alias("x"))
@@ -161,9 +162,9 @@ def near_duplicate_pairs(df: DataFrame, threshold: float = 0.95, *, id_col: str,
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = [(np.minimum(i, j)[s >= threshold], np.maximum(i, j)[s >= threshold], s[s >= threshold]) for i, j, s, _ in _pairs_of(pdf)]
         if not out:
-            return pd.DataFrame({"a": [], "b": [], "cosine": []})
+            return pd.DataFrame()
         a, b, s = (np.concatenate(z) for z in zip(*out, strict=True))
-        return pd.DataFrame({"a": a, "b": b, "cosine": s})
+        return pd.DataFrame({"a": a, "b": b, "cosine": s}) if len(a) else pd.DataFrame()
 
     return _blocks(df, id_col, vector_col, block).groupBy("lo", "hi").applyInPandas(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("cosine", T.DoubleType())]))
 

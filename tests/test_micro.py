@@ -135,6 +135,9 @@ def test_pairs_and_moments(spark):
     assert c["intra_mean"] == pytest.approx(s[i, j][same].mean()) and c["inter_std"] == pytest.approx(s[i, j][~same].std())
     assert {(r["a"], r["b"]) for r in metrics.near_duplicate_pairs(df, 0.8, id_col="vec_id", block=7).collect()} == {(a, b) for a, b in zip(i.tolist(), j.tolist()) if s[a, b] >= 0.8}
     assert metrics.pair_extremes(df.limit(1), id_col="vec_id").first()["uniformity_loss"] is None
+    none = df.limit(0)
+    assert metrics.coherence(none).count() == metrics.section_coherence(none).count() == metrics.pca_geometry(none).count() == 0
+    assert metrics.near_duplicate_pairs(none, id_col="vec_id").count() == 0
     lone = metrics.section_coherence(df.limit(1)).first()
     assert lone["avg_sim"] is None and lone["std_sim"] is None
     p = metrics.pca_geometry(df).first()
