@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .scratch import scratch_path
+from .scratch import scratch_path, small_batches
 
 FORMAT = "member_archive"
 ROW = 64
@@ -250,6 +250,7 @@ def store_media(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
         for batch in batches:
             yield pd.DataFrame({"key": batch["key"], "media": [to_png((t or "").encode("utf-8", "surrogatepass")) for t in batch["t"]]})
 
+    small_batches(docs.sparkSession)
     docs.sparkSession.dataSource.register(MemberArchives)
     kind = docs.schema[id_col].dataType.simpleString()
     media = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("t")).mapInPandas(encode, f"key {kind}, media binary")

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .scratch import materialize
+from .scratch import materialize, small_batches
 
 WIDTH, SLOTS, BATCH, THRESHOLD = 5, 128, 32, 0.8
 #: Probability, for a pair at the threshold, that the bands or the posterior bound miss it.
@@ -67,7 +67,7 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    if len(_HASHES) > 500_000:
+    if len(_HASHES) > 100_000:
         _HASHES.clear()
     ids = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
     w = min(n, width)
@@ -340,6 +340,7 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percen
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """A row for each of ``docs``: id_col, n_shingles, component_id and kept."""
+    small_batches(docs.sparkSession)
     percent = round(100 * threshold)
     rows, bounds = band_rows(threshold, SLOTS, miss), least_matches(threshold, SLOTS, BATCH, miss)
     sketches = materialize(sketch(docs, id_col, text_col, rows), "sketches")

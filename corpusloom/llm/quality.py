@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .features import code_points, letter_table, ngram_counts, unit
-from .scratch import materialize
+from .scratch import materialize, small_batches
 
 BITS, ORDERS = 13, (1, 2, 3)
 TRAIN_ROWS = 3_000
@@ -115,6 +115,7 @@ def score_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """id_col, n_votes, posterior, score and kept for each row. Two passes over the
     texts; pattern counts (3 to the number of labellers at most) and the bounded
     sample are what comes to the driver."""
+    small_batches(docs.sparkSession)
     labellers = len(LABELLERS)
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

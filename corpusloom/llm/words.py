@@ -14,7 +14,7 @@ from functools import cache
 import numpy as np
 
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]?)")
-LONGEST, MOST = 48, 1_000_000
+LONGEST, MOST = 48, 500_000
 
 
 class WordTokenizer:
