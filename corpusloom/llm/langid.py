@@ -137,7 +137,8 @@ def fit(labelled: DataFrame, *, key_col: str = "doc_id", text_col: str = "text",
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [(lang, v) for lang, text in zip(batch["lang"], batch["t"], strict=True) if (v := text_vector(text)) is not None]
-            yield pd.DataFrame({"lang": [k for k, _ in found], "v": [v.astype("<f2").tobytes() for _, v in found]})
+            if found:
+                yield pd.DataFrame({"lang": [k for k, _ in found], "v": [v.astype("<f2").tobytes() for _, v in found]})
 
     sample = rated.filter(draw < rate).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).mapInPandas(vectors, "lang string, v binary").limit(2 * rows).collect()
     sample.sort(key=lambda r: (r["lang"], bytes(r["v"])))

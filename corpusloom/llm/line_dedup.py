@@ -34,6 +34,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     counting combines on the map side, so a line in a third of all documents
     reaches the reducer as one row a task. Only the last join moves texts, once.
     """
+    docs = docs.drop("n_lines", "n_dropped")
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).alias("__id"), F.xxhash64(text).alias("__th"), F.posexplode(F.split(text, "\n", -1)).alias("__pos", "__line"))
     base = base.withColumn("__line", line_key(F.col("__line"))).filter(F.length("__line") >= min_chars)

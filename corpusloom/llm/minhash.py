@@ -52,9 +52,14 @@ def band_rows(threshold: float, slots: int = SLOTS, miss: float = MISS) -> int:
     return max(fits, default=1)
 
 
+KEPT_WORDS = 100_000
+
+
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = xxhash.xxh64_intdigest(word)
+        if len(self) < KEPT_WORDS:  # the first to come are the frequent ones
+            self[word] = value
         return value
 
 
@@ -67,8 +72,6 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    if len(_HASHES) > 100_000:
-        _HASHES.clear()
     ids = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
     w = min(n, width)
     h = np.full(n - w + 1, w, np.uint64)
@@ -333,7 +336,8 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percen
                 x = shingle_set(ta, width)
                 shared = len(np.intersect1d(x, held, assume_unique=True))
                 keep.append(shared > 0 and 100 * shared >= percent * (len(x) + len(held) - shared))
-            yield batch.loc[keep, ["a", "b"]]
+            if any(keep):
+                yield batch.loc[keep, ["a", "b"]]
 
     return both.select("a", "b", "ta", "tb").mapInPandas(run, pairs.schema)
 

@@ -45,6 +45,7 @@ def shard_records(df: DataFrame, key: str, weights: Sequence[float], *, order: S
     so that even a key that holds a third of all rows is split over tasks; what
     is gathered besides is a row for each task and shard.
     """
+    df = df.drop("shard", "grown_shard", "slot")
     text_key = F.coalesce(F.col(key).cast("string"), F.lit(""))
     grown = [*weights, sum(weights) / len(weights)]
     placed = df.select("*", rendezvous(text_key, weights).alias("shard"), rendezvous(text_key, grown).alias("grown_shard"), F.md5(text_key).alias("__digest"), F.monotonically_increasing_id().alias("__tie"))
