@@ -30,12 +30,12 @@ def _items(spark, d):
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("item_id"), "embedding", "label")
 
 
-@register("vector_topk", f"SELECT query_id, item_id, round(score, 6) AS score, rank FROM ({_TOP_SQL % 10})")
+@register("vector_topk", f"SELECT query_id, item_id, round(score, 6) AS score, rank FROM ({_TOP_SQL % 10})", longs=("rank",))
 def vector_topk(spark, d):
     return _round(search.vector_topk(_queries(spark, d), _items(spark, d), 10), "score")
 
 
-@register("vector_topk_threshold", f"SELECT query_id, item_id, round(score, 6) AS score, rank FROM ({_TOP_SQL % 10}) WHERE score >= 0.15")
+@register("vector_topk_threshold", f"SELECT query_id, item_id, round(score, 6) AS score, rank FROM ({_TOP_SQL % 10}) WHERE score >= 0.15", longs=("rank",))
 def vector_topk_threshold(spark, d):
     return _round(search.with_threshold(search.vector_topk(_queries(spark, d), _items(spark, d), 10)), "score")
 
@@ -47,13 +47,13 @@ def cosine_scores(spark, d):
     return e.select(F.col("vec_id").alias("query_id"), "embedding").join(b, "query_id").select("query_id", "item_id", F.round(vectors.dot(F.col("embedding"), F.col("v")), 6).alias("score"))
 
 
-@register("l2_normalize", f"SELECT vec_id, pos, round(x / n, 6) AS x FROM (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS pos, greatest(sqrt(list_dot_product(e, e)), 1e-9) AS n FROM (SELECT vec_id, list_transform({V}, lambda x: x * 3.0) AS e FROM embeddings))")
+@register("l2_normalize", f"SELECT vec_id, pos, round(x / n, 6) AS x FROM (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS pos, greatest(sqrt(list_dot_product(e, e)), 1e-9) AS n FROM (SELECT vec_id, list_transform({V}, lambda x: x * 3.0) AS e FROM embeddings))", longs=("pos",))
 def l2_normalize(spark, d):
     tripled = F.transform("embedding", lambda x: x.cast("double") * 3.0)
     return table(spark, d, "embeddings").select("vec_id", F.posexplode(vectors.l2_normalize(tripled)).alias("pos", "x")).select("vec_id", "pos", F.round("x", 6).alias("x"))
 
 
-@register("mean_pool_by_label", f"SELECT label, pos, round(avg(x), 6) AS x FROM (SELECT label, unnest({V}) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY label, pos")
+@register("mean_pool_by_label", f"SELECT label, pos, round(avg(x), 6) AS x FROM (SELECT label, unnest({V}) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY label, pos", longs=("pos",))
 def mean_pool_by_label(spark, d):
     pooled = embed.mean_pool(table(spark, d, "embeddings"), ["label"], "embedding")
     return pooled.select("label", F.posexplode("embedding").alias("pos", "x")).select("label", "pos", F.round("x", 6).alias("x"))
@@ -69,7 +69,7 @@ def element_stats(spark, d):
     return _round(metrics.element_stats(table(spark, d, "embeddings")), "mean", "std", "min", "max")
 
 
-@register("token_stats", f"SELECT min(n) AS tokens_min, max(n) AS tokens_max, round(avg(n), 6) AS tokens_mean, round(stddev_pop(n), 6) AS tokens_std, count(*) FILTER (n < 30) AS short_chunks FROM (SELECT len({sql_words('text')}) AS n FROM documents)")
+@register("token_stats", f"SELECT min(n) AS tokens_min, max(n) AS tokens_max, round(avg(n), 6) AS tokens_mean, round(stddev_pop(n), 6) AS tokens_std, count(*) FILTER (n < 30) AS short_chunks FROM (SELECT len({sql_words('text')}) AS n FROM documents)", longs=("tokens_min", "tokens_max",))
 def token_stats(spark, d):
     return _round(metrics.token_stats(table(spark, d, "documents")), "tokens_mean", "tokens_std")
 
@@ -119,7 +119,7 @@ def source_label(spark, d):
 _KEYS = "[CASE WHEN item_id % 3 = 0 THEN 'x' ELSE 'y' END, 'l' || (item_id % 7)]"
 
 
-@register("keyword_filter", f"WITH h AS ({_TOP_SQL % 10}), m AS (SELECT *, list_has_any({_KEYS}, ['x', 'l5']) AS m FROM h WHERE query_id % 40 = 0 OR item_id % 3 <> 0) SELECT query_id, item_id, rank FROM (SELECT *, max(m) OVER (PARTITION BY query_id) AS any_m FROM m) WHERE m OR NOT any_m")
+@register("keyword_filter", f"WITH h AS ({_TOP_SQL % 10}), m AS (SELECT *, list_has_any({_KEYS}, ['x', 'l5']) AS m FROM h WHERE query_id % 40 = 0 OR item_id % 3 <> 0) SELECT query_id, item_id, rank FROM (SELECT *, max(m) OVER (PARTITION BY query_id) AS any_m FROM m) WHERE m OR NOT any_m", longs=("rank",))
 def keyword_filter(spark, d):
     hits = search.vector_topk(_queries(spark, d), _items(spark, d), 10).filter((F.col("query_id") % 40 == 0) | (F.col("item_id") % 3 != 0))
     keys = F.array(F.when(F.col("item_id") % 3 == 0, "x").otherwise("y"), F.concat(F.lit("l"), F.col("item_id") % 7))
@@ -181,7 +181,7 @@ def _asked(spark, d, chunks):
     return chunks.select(F.col("chunk_id").alias("query_id"), "embedding").join(table(spark, d, "benchmark").select((F.col("item_id") * 20).alias("query_id"), F.col("text").alias("query")), "query_id")
 
 
-@register("retrieve_full", _RETRIEVE_SQL)
+@register("retrieve_full", _RETRIEVE_SQL, longs=("rank", "place",))
 def retrieve_full(spark, d):
     chunks = _chunks(spark, d)
     out = search.retrieve(_asked(spark, d, chunks), chunks, stopwords=[*lexicon.STOPWORDS, "the", "of"])
@@ -247,7 +247,7 @@ def _lexical(spark, d):
     return metrics.rank(metrics.lexical_scores(q, items))
 
 
-@register("lexical_rank", f"WITH {_LEX_SQL} SELECT query_id, item_id, round(score, 6) AS score, rank FROM k")
+@register("lexical_rank", f"WITH {_LEX_SQL} SELECT query_id, item_id, round(score, 6) AS score, rank FROM k", longs=("rank",))
 def lexical_rank(spark, d):
     return _round(_lexical(spark, d), "score")
 

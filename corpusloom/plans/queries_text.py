@@ -145,7 +145,7 @@ def normalize_text(spark, d):
 _SENTENCES_SQL = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+([A-Z])', '\1␞\2', 'g'), '␞'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
 
 
-@register("sentences", f"WITH s AS (SELECT doc_id, {_SENTENCES_SQL} AS ss FROM documents) SELECT doc_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS pos FROM s")
+@register("sentences", f"WITH s AS (SELECT doc_id, {_SENTENCES_SQL} AS ss FROM documents) SELECT doc_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS pos FROM s", longs=("pos",))
 def sentences(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(segment.sentences(F.col("text"))).alias("pos", "sentence"))
 
@@ -153,7 +153,7 @@ def sentences(spark, d):
 _PARAGRAPHS_SQL = rf"list_filter(list_transform(string_split(text, {NL}), lambda p: {sql_strip('p')}), lambda p: p <> '')"
 
 
-@register("paragraphs", f"WITH s AS (SELECT doc_id, {_PARAGRAPHS_SQL} AS ps FROM documents) SELECT doc_id, unnest(ps) AS paragraph, generate_subscripts(ps, 1) - 1 AS pos FROM s")
+@register("paragraphs", f"WITH s AS (SELECT doc_id, {_PARAGRAPHS_SQL} AS ps FROM documents) SELECT doc_id, unnest(ps) AS paragraph, generate_subscripts(ps, 1) - 1 AS pos FROM s", longs=("pos",))
 def paragraphs(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(segment.paragraphs(F.col("text"), "\n")).alias("pos", "paragraph"))
 
@@ -177,7 +177,7 @@ def _chunks_sql(parts: str, joint: str) -> str:
     return f"list_reduce(list_transform({parts}, lambda p: {{'p': p, 'buffer': '', 'out': []::VARCHAR[]}}), lambda a, x: {step}, {{'p': '', 'buffer': '', 'out': []::VARCHAR[]}})"
 
 
-@register("chunk_words", f"WITH f AS (SELECT doc_id, {_chunks_sql(_PARAGRAPHS_SQL, f'repeat({NL}, 2)')} AS r FROM documents), c AS (SELECT doc_id, CASE WHEN length(r.buffer) >= 50 THEN list_append(r.out, r.buffer) ELSE r.out END AS cs FROM f) SELECT doc_id, unnest(cs) AS chunk, generate_subscripts(cs, 1) - 1 AS pos FROM c")
+@register("chunk_words", f"WITH f AS (SELECT doc_id, {_chunks_sql(_PARAGRAPHS_SQL, f'repeat({NL}, 2)')} AS r FROM documents), c AS (SELECT doc_id, CASE WHEN length(r.buffer) >= 50 THEN list_append(r.out, r.buffer) ELSE r.out END AS cs FROM f) SELECT doc_id, unnest(cs) AS chunk, generate_subscripts(cs, 1) - 1 AS pos FROM c", longs=("pos",))
 def chunk_words(spark, d):
     parts = segment.paragraphs(F.col("text"), "\n")
     return table(spark, d, "documents").select("doc_id", F.posexplode(segment.chunk_words(parts)).alias("pos", "chunk"))
@@ -187,7 +187,7 @@ _CHARS_STEP = "{'p': '', 'now': CASE WHEN length(a.now) + length(x.p) < 600 THEN
 _CHARS_FOLD = f"list_reduce(list_transform({_PARAGRAPHS_SQL}, lambda p: {{'p': p, 'now': '', 'out': []::VARCHAR[]}}), lambda a, x: {_CHARS_STEP}, {{'p': '', 'now': '', 'out': []::VARCHAR[]}})"
 
 
-@register("chunk_chars", f"WITH f AS (SELECT doc_id, {_CHARS_FOLD} AS r FROM documents), c AS (SELECT doc_id, CASE WHEN r.now <> '' THEN list_append(r.out, {sql_strip('r.now')}) ELSE r.out END AS cs FROM f) SELECT doc_id, unnest(cs) AS chunk, generate_subscripts(cs, 1) - 1 AS pos FROM c")
+@register("chunk_chars", f"WITH f AS (SELECT doc_id, {_CHARS_FOLD} AS r FROM documents), c AS (SELECT doc_id, CASE WHEN r.now <> '' THEN list_append(r.out, {sql_strip('r.now')}) ELSE r.out END AS cs FROM f) SELECT doc_id, unnest(cs) AS chunk, generate_subscripts(cs, 1) - 1 AS pos FROM c", longs=("pos",))
 def chunk_chars(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(segment.chunk_chars(F.col("text"))).alias("pos", "chunk"))
 
@@ -201,7 +201,7 @@ s AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS
 SELECT doc_id, pos, string_split(part, '␟')[1] AS num, {sql_strip(f"string_split({sql_strip("string_split(part, '␟')[2]")}, {NL})[1]")} AS title, {sql_strip("string_split(part, '␟')[2]")} AS body FROM s"""
 
 
-@register("sections", _SECTIONS_SQL)
+@register("sections", _SECTIONS_SQL, longs=("pos",))
 def sections(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(segment.sections(_headed())).alias("pos", "s"))
     return rows.select("doc_id", "pos", "s.num", "s.title", "s.body")
@@ -212,7 +212,7 @@ p AS (SELECT doc_id, 0 AS i, 'Pendahuluan' AS label, {sql_strip('m[1]')} AS text
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos, label, text FROM p WHERE text <> ''"""
 
 
-@register("subsections", _SUB_SQL)
+@register("subsections", _SUB_SQL, longs=("pos",))
 def subsections(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(segment.subsections(_headed())).alias("pos", "s"))
     return rows.select("doc_id", "pos", "s.label", "s.text")
@@ -237,12 +237,12 @@ def keyword_tags(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(enrich.keyword_tags(F.col("text"), _TAGS), ",").alias("tags"))
 
 
-@register("chunk_metadata", rf"SELECT doc_id, regexp_matches(text, '\d') AS has_numbers, regexp_matches(text, '(?m)^\s*-\s') AS has_list, len({sql_words('text')}) AS word_count, length(text) AS char_count, 'id' AS language, 'stunting_health' AS domain, CASE WHEN contains(lower(text), 'kendari') THEN 'kendari_sultra' ELSE 'nasional' END AS location, '[Sumber: ' || source || ' | ' || lang || ']' || {NL} || text AS display_text FROM documents")
+@register("chunk_metadata", rf"SELECT doc_id, regexp_matches(text, '\d') AS has_numbers, regexp_matches(text, '(?m)^\s*-\s') AS has_list, len({sql_words('text')}) AS word_count, length(text) AS char_count, 'id' AS language, 'stunting_health' AS domain, CASE WHEN contains(lower(text), 'kendari') THEN 'kendari_sultra' ELSE 'nasional' END AS location, '[Sumber: ' || source || ' | ' || lang || ']' || {NL} || text AS display_text FROM documents", longs=("word_count", "char_count",))
 def chunk_metadata(spark, d):
     return table(spark, d, "documents").select("doc_id", enrich.chunk_metadata(F.col("text"), F.col("source"), F.col("lang")).alias("m")).select("doc_id", "m.*")
 
 
-@register("chunk_statistics", f"SELECT count(*) AS n_chunks, round(avg(n), 6) AS avg_tokens, min(n) AS min_tokens, max(n) AS max_tokens, round(avg(length(text)), 6) AS avg_chars, sum(length(text))::BIGINT AS total_chars FROM (SELECT text, len({sql_words('text')}) AS n FROM documents)")
+@register("chunk_statistics", f"SELECT count(*) AS n_chunks, round(avg(n), 6) AS avg_tokens, min(n) AS min_tokens, max(n) AS max_tokens, round(avg(length(text)), 6) AS avg_chars, sum(length(text))::BIGINT AS total_chars FROM (SELECT text, len({sql_words('text')}) AS n FROM documents)", longs=("min_tokens", "max_tokens",))
 def chunk_statistics(spark, d):
     out = enrich.chunk_statistics(table(spark, d, "documents").select("text", word_count(F.col("text")).alias("token_count")))
     return out.withColumns({c: F.round(c, 6) for c in ("avg_tokens", "avg_chars")})
@@ -261,7 +261,7 @@ def corpus_union(spark, d):
 _REF_TEXT = f"('Referensi: ' || left(text, 30) || ' (2020)' || {NL} || 'Penulis: A, B' || {NL} || 'Kategori: k' || (item_id % 3) || {NL} || 'Ringkasan: ' || text || {NL} || 'Poin Kunci:' || {NL} || '- p' || {NL} || '- q')"
 
 
-@register("reference_chunks", f"SELECT 'ref_' || CASE WHEN length(item_id::VARCHAR) < 6 THEN lpad(item_id::VARCHAR, 6, '0') ELSE item_id::VARCHAR END AS chunk_id, {sql_strip(_REF_TEXT)} AS text, 'Referensi Ilmiah - k' || (item_id % 3) AS section, 'k' || (item_id % 3) AS subsection, 'stunting_references.json' AS source_file, 0 AS char_start, length({_REF_TEXT}) AS char_end, len({sql_words(_REF_TEXT)}) AS token_count, 't1,t2' AS keywords, item_id::VARCHAR AS ref_id FROM benchmark")
+@register("reference_chunks", f"SELECT 'ref_' || CASE WHEN length(item_id::VARCHAR) < 6 THEN lpad(item_id::VARCHAR, 6, '0') ELSE item_id::VARCHAR END AS chunk_id, {sql_strip(_REF_TEXT)} AS text, 'Referensi Ilmiah - k' || (item_id % 3) AS section, 'k' || (item_id % 3) AS subsection, 'stunting_references.json' AS source_file, 0 AS char_start, length({_REF_TEXT}) AS char_end, len({sql_words(_REF_TEXT)}) AS token_count, 't1,t2' AS keywords, item_id::VARCHAR AS ref_id FROM benchmark", longs=("char_end", "token_count",))
 def reference_chunks(spark, d):
     refs = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.left("text", F.lit(30)).alias("judul"), F.lit("2020").alias("tahun"), F.array(F.lit("A"), F.lit("B")).alias("penulis"), F.concat(F.lit("k"), F.col("item_id") % 3).alias("kategori"), F.col("text").alias("ringkasan"), F.array(F.lit("p"), F.lit("q")).alias("poin_kunci"), F.array(F.lit("t1"), F.lit("t2")).alias("relevansi_topik"), F.lit(None).cast("string").alias("doi"), F.lit(None).cast("string").alias("url"))
     return enrich.reference_chunks(refs).withColumn("ref_id", F.col("metadata.ref_id")).withColumn("keywords", F.array_join("keywords", ",")).drop("metadata")
