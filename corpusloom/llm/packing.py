@@ -25,27 +25,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import small_batches
-from .words import tokenizer
+from .words import MOST, tokenizer
 
 CAPACITY, SEPARATOR = 2048, 0
+TEXTS_AT_ONCE = 256
 #: Documents to a packing task: its few unfilled sequences are then a share of some 1e-3.
 DOCS_PER_TASK = 250_000
 
 
-def tokenize(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, separator: int = SEPARATOR, keep_ids: bool = False) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, separator: int = SEPARATOR, keep_ids: bool = False, kept_words: int = MOST) -> DataFrame:
     """A row for each piece: the id, piece, start, length, ids_crc32 and, if
     asked for, ids (little-endian unsigned 32-bit)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, end = tokenizer(path).encode_bytes, np.uint32(separator).astype("<u4").tobytes()
+        encode, end = tokenizer(path, kept_words).encode_many, np.uint32(separator).astype("<u4").tobytes()
         step = capacity * 4
         for batch in batches:
             rows = []
-            for key, text in zip(batch["k"], batch["t"], strict=True):
-                ids = encode(text or "") + end
-                for at in range(0, len(ids), step):
-                    part = ids[at : at + step]
-                    rows.append((key, at // step, at // 4, len(part) // 4, zlib.crc32(part), *([part] if keep_ids else [])))
+            keys, texts = list(batch["k"]), [t or "" for t in batch["t"]]
+            for k in range(0, len(texts), TEXTS_AT_ONCE):
+                for key, ids in zip(keys[k : k + TEXTS_AT_ONCE], encode(texts[k : k + TEXTS_AT_ONCE]), strict=True):
+                    ids += end
+                    for at in range(0, len(ids), step):
+                        part = ids[at : at + step]
+                        rows.append((key, at // step, at // 4, len(part) // 4, zlib.crc32(part), *([part] if keep_ids else [])))
             yield pd.DataFrame(rows, columns=names)
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
@@ -116,10 +119,11 @@ def sequences(packed: DataFrame) -> DataFrame:
     return packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), F.unhex(F.array_join(F.transform(parts, lambda p: p["ids"]), "")).alias("ids"))
 
 
-def pack_documents(docs: DataFrame, path: str, *, docs_per_task: int = DOCS_PER_TASK) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, *, docs_per_task: int = DOCS_PER_TASK, kept_words: int = MOST) -> DataFrame:
+    """``kept_words`` bounds the word tables of a Python worker; fewer cost time alone."""
     small_batches(docs.sparkSession)
     tasks = max(1, math.ceil(docs.count() / docs_per_task))
-    return pack(tokenize(docs, path), tasks)
+    return pack(tokenize(docs, path, kept_words=kept_words), tasks)
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,66 +9,92 @@ and encoded many at a time; all others go to the library as they are.
 from __future__ import annotations
 
 import re
+from collections import ChainMap
 from functools import cache
+from itertools import chain
 
 import numpy as np
 
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]?)")
-LONGEST, MOST = 48, 500_000
+#: Longest plain word; about how many words, and letters of words, are kept by default.
+LONGEST, MOST = 48, 1_000_000
+
+
+class _Kept(dict):
+    """The kept words; others are looked up among those of the texts at hand."""
+
+    new: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.new[word]
 
 
 class WordTokenizer:
-    def __init__(self, path: str) -> None:
+    """``most`` bounds the tables, some 350 bytes an entry: the first words to come, which
+    are the frequent ones, stay."""
+
+    def __init__(self, path: str, most: int = MOST) -> None:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         vocab = self.lib.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {"": b""}
+        self.words = _Kept({"": b""})
         self.cores: dict[str, bytes] = {"": b""}
+        self.most, self.seen, self.missed = most, 0, 0
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_cores(self, cores: list[str]) -> None:
+    def _of_cores(self, cores: list[str]) -> list[bytes]:
         ids = np.array(self.lib.encode_batch_fast([" ".join(cores)], add_special_tokens=False)[0].ids, "<u4")
         stops = np.flatnonzero(self.ends[ids]) + 1 if len(ids) and ids.max() < len(self.ends) else []
         if len(stops) != len(cores) or stops[-1] != len(ids):
-            self.cores.update((c, self._ids(c)) for c in cores)
-            return
+            return [self._ids(c) for c in cores]
         raw = ids.tobytes()
-        self.cores.update(zip(cores, (raw[4 * a : 4 * b] for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.words) > MOST:
-            self.words = {"": b""}
-        if len(self.cores) > MOST:
-            self.cores = {"": b""}
+    def _of_words(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of words that aren't kept, and of those the ones there is room for are."""
         plain = {w: (m[1].lower(), m[2]) for w in words if len(w) <= LONGEST and (m := PLAIN.fullmatch(w))}
-        if new := [c for c in {c for pair in plain.values() for c in pair} if c not in self.cores]:
-            self._learn_cores(new)
-        known = self.cores
-        self.words.update((w, known[a] + known[b]) for w, (a, b) in plain.items())
+        cores = self.cores
+        if new := [c for c in {c for pair in plain.values() for c in pair} if c not in cores]:
+            found = dict(zip(new, self._of_cores(new), strict=True))
+            if len(cores) < self.most:
+                cores.update(found)
+            else:
+                cores = ChainMap(found, cores)
+        out = {w: cores[a] + cores[b] for w, (a, b) in plain.items()}
         if other := [w for w in words if w not in plain]:
             found = self.lib.encode_batch_fast(other, add_special_tokens=False)
-            self.words.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, found, strict=True))
+            out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, found, strict=True))
+        return out
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, little-endian unsigned 32-bit."""
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        kept = self.words
+        new = self._of_words([w for w in set(chain.from_iterable(split)) if w not in kept])
+        self.seen += sum(map(len, split))
+        self.missed += len(new)
+        if len(kept) < self.most:
+            kept.update(new)
+            new = {}
+        kept.new = new
+        out = [b"".join(map(kept.__getitem__, words)) for words in split]
+        kept.new = {}
+        if self.seen > 1_000_000:
+            if self.missed > 0.4 * self.seen:  # words of another kind have come
+                self.words, self.cores = _Kept({"": b""}), {"": b""}
+            self.seen = self.missed = 0
+        return out
 
     def encode_bytes(self, text: str) -> bytes:
-        """The ids of ``text``, little-endian unsigned 32-bit."""
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join([self.words[w] for w in words])
-        except KeyError:
-            self._learn({w for w in words if w not in self.words})
-        try:
-            return b"".join([self.words[w] for w in words])
-        except KeyError:  # the table was emptied for the new words: this text's others go back in
-            self._learn({w for w in words if w not in self.words})
-            return b"".join([self.words[w] for w in words])
+        return self.encode_many([text])[0]
 
 
 @cache
-def tokenizer(path: str) -> WordTokenizer:
+def tokenizer(path: str, most: int = MOST) -> WordTokenizer:
     """One to a Python worker."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, most)
