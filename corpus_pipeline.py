@@ -18,6 +18,8 @@ a doc_id stay or go together; other columns pass through to the last stage.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +30,27 @@ from corpusloom.llm.scratch import materialize
 MIN_SCORE = 0.4
 SIMILARITY = 0.8
 TOKENIZER = "word_bpe_49k.json"
+#: Workers that other stages use as well keep smaller word tables than packing alone would.
+KEPT_WORDS = 200_000
 #: Not expressible in SQL: trained models, signatures, and tokenizers. Tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
+CORE = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _shielded(stage):
+    """``stage`` with columns beyond the usual ones out of its sight, whatever their names."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        hidden = {c: f"__extra_{i}" for i, c in enumerate(docs.columns) if c not in CORE}
+        out = stage(spark, docs.withColumnsRenamed(hidden), sf_dir)
+        return out.withColumnsRenamed({v: k for k, v in hidden.items()})
+
+    return run
+
+
 def _with_text(docs: DataFrame, text, like: list[str]) -> DataFrame:
     new = docs.withColumn("text", text)
     if "n_chars" in like:
@@ -39,6 +58,7 @@ def _with_text(docs: DataFrame, text, like: list[str]) -> DataFrame:
     return new.select(*[f"`{c}`" for c in like])
 
 
+@_shielded
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.filter(~langid.fold()))
     found = langid.identify(docs, model)
@@ -46,18 +66,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*[f"`{c}`" for c in docs.columns])
 
 
+@_shielded
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     left = line_dedup.dedup_lines(docs)
     left = left.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return _with_text(left, F.col("text"), docs.columns)
 
 
+@_shielded
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(docs, threshold=SIMILARITY)
     kept = materialize(found.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
 
 
+@_shielded
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(docs)
     spans = F.array_sort(F.concat("base_spans", "markov_spans"))
@@ -65,7 +88,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER), kept_words=KEPT_WORDS)
 
 
 STAGES = [("language_id", language_id), ("line_dedup", drop_shared_lines), ("minhash_near_dedup", near_dedup), ("secret_scans", mask_secrets), ("best_fit_packing", pack)]
