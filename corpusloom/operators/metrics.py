@@ -230,6 +230,15 @@ def ranking_metrics(ranked: DataFrame, n_relevant: DataFrame, ks: tuple[int, ...
     return found.select(*out)
 
 
+def chunk_hit(ranked: DataFrame, relevant: DataFrame, k: int = 3) -> DataFrame:
+    """(query_id, hit): whether any of the ids of (query_id, ids) is among the first k of
+    (query_id, item_id, rank); null, which no mean counts, for a query without ids."""
+    top = ranked.filter(F.col("rank") <= k).groupBy("query_id").agg(F.collect_set("item_id").alias("top"))
+    none = F.array().cast(relevant.schema["ids"].dataType)
+    some = F.arrays_overlap(F.coalesce("top", none), F.col("ids"))
+    return relevant.join(top, "query_id", "left").select("query_id", F.when(F.size(F.coalesce("ids", none)) > 0, F.coalesce(some, F.lit(False))).alias("hit"))
+
+
 def mean_metrics(per_query: DataFrame) -> DataFrame:
     return per_query.agg(*[F.avg(f"`{c}`").alias(c) for c in per_query.columns if c != "query_id"])
 
