@@ -284,10 +284,11 @@ def ir_metrics_avg(spark, d):
     return out.select(*[F.round(f"`{c}`", 6).alias(c) for c in _METRIC_NAMES])
 
 
-@register("chunk_hit", f"WITH {_LEX_SQL} SELECT i.item_id AS query_id, CASE WHEN i.item_id % 4 > 0 THEN EXISTS (SELECT 1 FROM k WHERE k.query_id = i.item_id AND k.rank <= 3 AND k.item_id IN (i.item_id, i.item_id + 1)) END AS hit FROM benchmark i")
+@register("chunk_hit", f"WITH {_LEX_SQL} SELECT i.item_id AS query_id, CASE WHEN i.item_id % 4 = 0 THEN 'none' WHEN EXISTS (SELECT 1 FROM k WHERE k.query_id = i.item_id AND k.rank <= 3 AND k.item_id IN (i.item_id, i.item_id + 1)) THEN 'true' ELSE 'false' END AS hit FROM benchmark i")
 def chunk_hit(spark, d):
     ids = F.when(F.col("item_id") % 4 > 0, F.array("item_id", F.col("item_id") + 1))
-    return metrics.chunk_hit(_lexical(spark, d), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), ids.alias("ids")))
+    found = metrics.chunk_hit(_lexical(spark, d), table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), ids.alias("ids")))
+    return found.withColumn("hit", F.coalesce(F.col("hit").cast("string"), F.lit("none")))
 
 
 def _tidy(spark, d):
