@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only where it is unset, one of our own."""
+    """The folder named by ``spark.checkpoint.dir``; where it is unset and Spark is local,
+    one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="corpusloom-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
