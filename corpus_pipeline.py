@@ -31,7 +31,7 @@ MIN_SCORE = 0.4
 SIMILARITY = 0.8
 TOKENIZER = "word_bpe_49k.json"
 #: Workers that other stages use as well keep smaller word tables than packing alone would.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 60_000
 #: Not expressible in SQL: trained models, signatures, and tokenizers. Tests hold the stages against plain versions.
 ORACLE_SQL = None
 
