@@ -157,10 +157,9 @@ SELECT item_id, doc_id, round(0.5 + 0.12 * len(list_intersect(q, t)) / greatest(
 
 @register("rerank", _RERANK_SQL)
 def rerank(spark, d):
-    docs = table(spark, d, "documents").filter(F.col("doc_id") % 10 == 0).select("doc_id", F.col("text").alias("t"), F.concat("source", F.lit(" "), "lang").alias("s"), F.expr("doc_id div 10 % 10").alias("k"))
-    q = table(spark, d, "benchmark").select("item_id", "text", (F.col("item_id") % 10).alias("k"))
-    score = search.rerank_score(F.lit(0.5), F.col("text"), F.col("t"), F.col("s"), [*lexicon.STOPWORDS, "the", "of"])
-    return q.join(docs, "k").select("item_id", "doc_id", F.round(score, 6).alias("rerank_score"))
+    docs = table(spark, d, "documents").select("doc_id", "text", F.concat("source", F.lit(" "), "lang").alias("section"))
+    q = table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
+    return _round(search.rerank_all(q, docs, [*lexicon.STOPWORDS, "the", "of"], score=0.5, query_id="item_id", item_id="doc_id"), "rerank_score")
 
 
 _CHUNK_SQL = "SELECT e.vec_id AS chunk_id, e.embedding, d.text, d.source AS section, d.lang AS subsection, d.source AS source_file FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id"
