@@ -133,7 +133,7 @@ def fix_typos(spark, d):
 
 @register("expand_abbreviations", f"SELECT doc_id, {_abbreviations_sql(f'right(text, 200) || {quote(_UNITS_TAIL)}')} AS normal FROM documents")
 def expand_abbreviations(spark, d):
-    return table(spark, d, "documents").select("doc_id", clean.expand_abbreviations(F.concat(F.right("text", F.lit(200)), F.lit(_UNITS_TAIL)), lexicon.ABBREVIATIONS).alias("normal"))
+    return table(spark, d, "documents").select("doc_id", clean.expand_abbreviations(F.concat("text", F.lit(_UNITS_TAIL)), lexicon.ABBREVIATIONS).alias("normal"))
 
 
 @register("normalize_text", "SELECT doc_id, " + _typos_sql(_units_sql(_abbreviations_sql(f"right(text, 200) || {quote(_UNITS_TAIL)}"))) + " AS normal FROM documents")

@@ -1,5 +1,7 @@
 """Queries over whole tables: no row, text or pair left out."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -45,3 +47,25 @@ def test_rerank_blocks(spark):
         found = {(r["query_id"], r["item_id"]): r["rerank_score"] for r in search.rerank_all(q, items, ["the"], score=0.0, **blocks).collect()}
         assert found == {(a, b): pytest.approx(plain_rerank(t or "", u or "", s or "", {"the"}, 0.0)) for a, t in ((1, "a b c"), (2, ""), (3, None), (4, "x")) for b, u, s in (("i", "A c", "b"), ("j", None, None), ("k", "", "x the"), ("l", "c x", "y"))}
     assert search.rerank_all(q.limit(0), items, [], score=0.0).count() == 0
+
+
+def plain_expansion(text):
+    for short, long in lexicon.ABBREVIATIONS:
+        text = re.sub(rf"\b{re.escape(short)}\b", f"{long} ({short})", text)
+    return text
+
+
+@pytest.fixture
+def early(spark, tmp_path):
+    """Documents whose abbreviations, units and typos stand far from their ends, and their texts."""
+    texts = {1: "ASI 5g gisi " + "kata " * 100, 2: "x " * 300 + "MPASI 180cm balits " + "y " * 300, 3: "TTD", 4: ""}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path), texts
+
+
+def test_expand_abbreviations_reads_whole_texts(spark, early):
+    found = {r["doc_id"]: r["normal"] for r in catalog.QUERIES["expand_abbreviations"](spark, early[0]).collect()}
+    assert found == {k: plain_expansion(t + queries_text._UNITS_TAIL) for k, t in early[1].items()}
+    assert found[1].startswith("Air Susu Ibu (ASI) 5g gisi kata")
+    found = {r["doc_id"]: r["normal"] for r in catalog.QUERIES["expand_abbreviations"](spark, SF).collect()}
+    assert found == {d["doc_id"]: plain_expansion(d["text"] + queries_text._UNITS_TAIL) for d in plain("documents")}
