@@ -138,7 +138,7 @@ def expand_abbreviations(spark, d):
 
 @register("normalize_text", "SELECT doc_id, " + _typos_sql(_units_sql(_abbreviations_sql(f"right(text, 200) || {quote(_UNITS_TAIL)}"))) + " AS normal FROM documents")
 def normalize_text(spark, d):
-    text = F.concat(F.right("text", F.lit(200)), F.lit(_UNITS_TAIL))
+    text = F.concat("text", F.lit(_UNITS_TAIL))
     return table(spark, d, "documents").select("doc_id", clean.normalize_text(text, abbreviations=lexicon.ABBREVIATIONS, units=lexicon.UNITS, typos=lexicon.TYPOS).alias("normal"))
 
 

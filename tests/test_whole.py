@@ -69,3 +69,19 @@ def test_expand_abbreviations_reads_whole_texts(spark, early):
     assert found[1].startswith("Air Susu Ibu (ASI) 5g gisi kata")
     found = {r["doc_id"]: r["normal"] for r in catalog.QUERIES["expand_abbreviations"](spark, SF).collect()}
     assert found == {d["doc_id"]: plain_expansion(d["text"] + queries_text._UNITS_TAIL) for d in plain("documents")}
+
+
+def test_normalize_text_reads_whole_texts(spark, early):
+    def normal(text):
+        text = plain_expansion(text)
+        for names, whole in lexicon.UNITS:
+            text = re.sub(rf"(\d+)({names})" + (r"\b" if whole else ""), r"\1 \2", text)
+        for wrong, right in lexicon.TYPOS:
+            text = re.sub(rf"\b{re.escape(wrong)}\b", right, text, flags=re.I)
+        return text
+
+    found = {r["doc_id"]: r["normal"] for r in catalog.QUERIES["normalize_text"](spark, early[0]).collect()}
+    assert found == {k: normal(t + queries_text._UNITS_TAIL) for k, t in early[1].items()}
+    assert found[1].startswith("Air Susu Ibu (ASI) 5 g gizi kata") and "(MPASI) 180 cm balita y" in found[2]
+    found = {r["doc_id"]: r["normal"] for r in catalog.QUERIES["normalize_text"](spark, SF).collect()}
+    assert found == {d["doc_id"]: normal(d["text"] + queries_text._UNITS_TAIL) for d in plain("documents")}
