@@ -42,9 +42,7 @@ def vector_topk_threshold(spark, d):
 
 @register("cosine_scores", "SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(" + _DOT + ", 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine_scores(spark, d):
-    e = table(spark, d, "embeddings")
-    b = e.select((F.col("vec_id") - 1).alias("query_id"), F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"))
-    return e.select(F.col("vec_id").alias("query_id"), "embedding").join(b, "query_id").select("query_id", "item_id", F.round(vectors.dot(F.col("embedding"), F.col("v")), 6).alias("score"))
+    return _round(search.all_scores(_queries(spark, d), _items(spark, d)), "score")
 
 
 @register("l2_normalize", f"SELECT vec_id, pos, round(x / n, 6) AS x FROM (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS pos, greatest(sqrt(list_dot_product(e, e)), 1e-9) AS n FROM (SELECT vec_id, list_transform({V}, lambda x: x * 3.0) AS e FROM embeddings))", longs=("pos",))

@@ -3,6 +3,7 @@
 import re
 
 import duckdb
+import numpy as np
 import pytest
 
 from corpusloom import lexicon
@@ -85,3 +86,21 @@ def test_normalize_text_reads_whole_texts(spark, early):
     assert found[1].startswith("Air Susu Ibu (ASI) 5 g gizi kata") and "(MPASI) 180 cm balita y" in found[2]
     found = {r["doc_id"]: r["normal"] for r in catalog.QUERIES["normalize_text"](spark, SF).collect()}
     assert found == {d["doc_id"]: normal(d["text"] + queries_text._UNITS_TAIL) for d in plain("documents")}
+
+
+def test_cosine_scores_cover_all_vectors(spark):
+    rows = plain("embeddings")
+    x = np.stack([r["embedding"] for r in rows]).astype(float)
+    ids = [r["vec_id"] for r in rows]
+    expected = {(a, b): s for a, line in zip(ids, x @ x.T) if a % 20 == 0 for b, s in zip(ids, line)}
+    found = {(r["query_id"], r["item_id"]): r["score"] for r in catalog.QUERIES["cosine_scores"](spark, SF).collect()}
+    assert found.keys() == expected.keys() and max(abs(found[k] - v) for k, v in expected.items()) <= 1e-6
+
+
+def test_all_scores_blocks(spark):
+    df = spark.createDataFrame([(k, [float(k), 1.0]) for k in (1, 2, 4, 9, 10)], "item_id long, embedding array<float>")
+    q = df.filter("item_id < 9").withColumnRenamed("item_id", "query_id")
+    for blocks in ({}, {"query_block": 1, "corpus_block": 2}):
+        found = sorted(map(tuple, search.all_scores(q, df, **blocks).collect()))
+        assert found == [(a, b, a * b + 1.0) for a in (1, 2, 4) for b in (1, 2, 4, 9, 10)]
+    assert search.all_scores(q.limit(0), df).count() == 0
