@@ -19,6 +19,8 @@ from corpusloom.functions.tokens import word_count, word_set
 from corpusloom.functions.vectors import norm
 
 PAIR_BLOCK = 4096
+#: Span of ids of the items that are listed at once behind a query's matches.
+ID_BLOCK = 4096
 #: Levels of a badge; metric, good from, fair from.
 BADGES = ("BAIK", "CUKUP", "PERLU PERHATIAN")
 SCORECARD = (("Normalisasi L2", 1.0, 0.9), ("Uniformity Loss", 1.5, 1.0), ("Separation Ratio", 1.5, 1.2), ("Precision@3", 0.65, 0.45), ("MRR", 0.80, 0.60), ("NDCG@3", 0.70, 0.50))
@@ -209,6 +211,26 @@ def rank(scores: DataFrame, *, tie: str = "item_id") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(tie))))
 
 
+def rank_all(scores: DataFrame, queries: DataFrame, items: DataFrame, *, block: int = ID_BLOCK) -> DataFrame:
+    """``rank`` of all items (integral item_id) for all queries (query_id): those without
+    a score come after the others, with score 0, by id.
+
+    Ids are listed by block and rid of the query's matches there, so no pair of a query
+    and an item is made but as a row of the result."""
+    at = F.floor(F.col("item_id") / block).alias("__b")
+    listed = items.select("item_id").distinct().groupBy(at).agg(F.sort_array(F.collect_list("item_id")).alias("__ids"))
+    every = listed.crossJoin(F.broadcast(queries.select("query_id").distinct()))
+    met = scores.groupBy("query_id", at).agg(F.collect_list("item_id").alias("__met"))
+    none = F.array().cast(T.ArrayType(items.schema["item_id"].dataType))
+    rest = every.join(met, ["query_id", "__b"], "left").withColumn("__met", F.coalesce("__met", none))
+    rest = rest.select("query_id", "__b", F.size("__met").cast("long").alias("__n"), F.array_except("__ids", "__met").alias("__rest"))
+    whole = Window.partitionBy("query_id")
+    before = F.coalesce(F.sum(F.size("__rest").cast("long")).over(whole.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rest = rest.withColumn("__first", F.sum("__n").over(whole) + before + 1).select("query_id", "__first", F.posexplode("__rest").alias("__pos", "item_id"))
+    tail = rest.select("query_id", "item_id", F.lit(0.0).alias("score"), (F.col("__first") + F.col("__pos")).alias("rank"))
+    return rank(scores).select("query_id", "item_id", "score", F.col("rank").cast("long").alias("rank")).unionByName(tail)
+
+
 def _dcg(at: Column) -> Column:
     return 1.0 / F.log2(at + 1.0)
 

@@ -241,7 +241,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, it
 def _lexical(spark, d):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     items = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text", F.array("lang", F.lit("kw")).alias("keywords"), F.col("source").alias("section"))
-    return metrics.rank(metrics.lexical_scores(q, items))
+    return metrics.rank_all(metrics.lexical_scores(q, items), q, items)
 
 
 @register("lexical_rank", f"WITH {_LEX_SQL} SELECT query_id, item_id, round(score, 6) AS score, rank FROM k", longs=("rank",))
@@ -265,7 +265,7 @@ _METRIC_NAMES = ["MRR", *[f"{m}@{k}" for k in (1, 3, 5) for m in ("P", "R", "NDC
 
 def _per_query(spark, d):
     ranked = _lexical(spark, d).withColumn("hit", (F.col("item_id") + F.col("query_id")) % 3 == 0)
-    n = ranked.select("query_id").distinct().withColumn("n_relevant", F.lit(2))
+    n = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(2).alias("n_relevant")).distinct()
     return metrics.ranking_metrics(ranked, n)
 
 

@@ -5,9 +5,10 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom import lexicon
-from corpusloom.operators import search
+from corpusloom.operators import metrics, search
 from corpusloom.plans import catalog, queries_search, queries_text  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +18,7 @@ def plain(name):
     return duckdb.sql(f"SELECT * FROM '{SF}/{name}.parquet'").df().to_dict("records")
 
 
-@pytest.mark.parametrize("name", ["rerank"])
+@pytest.mark.parametrize("name", ["rerank", "lexical_rank"])
 def test_rows_of_the_sql_are_among_them(spark, name):
     con = duckdb.connect()
     for t in ("documents", "benchmark", "embeddings"):
@@ -104,3 +105,30 @@ def test_all_scores_blocks(spark):
         found = sorted(map(tuple, search.all_scores(q, df, **blocks).collect()))
         assert found == [(a, b, a * b + 1.0) for a in (1, 2, 4) for b in (1, 2, 4, 9, 10)]
     assert search.all_scores(q.limit(0), df).count() == 0
+
+
+def test_items_that_share_no_word_are_ranked_too(spark):
+    q = spark.createDataFrame([(1, "a b"), (2, "nothing shared"), (3, "c")], "query_id long, query string")
+    texts = {7: "x", 3: "b", 5: "y", 9: "a b", 4: "c", 6: "z"}
+    items = spark.createDataFrame(list(texts.items()), "item_id long, text string").withColumns({"keywords": F.array().cast("array<string>"), "section": F.lit("s")})
+    expected = {1: [9, 3, 4, 5, 6, 7], 2: [3, 4, 5, 6, 7, 9], 3: [4, 3, 5, 6, 7, 9]}
+    for block in (1, 2, 4096):
+        found = metrics.rank_all(metrics.lexical_scores(q, items), q, items, block=block).collect()
+        assert len(found) == 18
+        for k, order in expected.items():
+            assert [r["item_id"] for r in sorted((r for r in found if r["query_id"] == k), key=lambda r: r["rank"])] == order
+            assert sorted(r["rank"] for r in found if r["query_id"] == k) == [1, 2, 3, 4, 5, 6]
+    ranked = metrics.rank_all(metrics.lexical_scores(q, items), q, items).withColumn("hit", F.col("item_id") == 6)
+    per = metrics.ranking_metrics(ranked, q.select("query_id", F.lit(1).alias("n_relevant"))).collect()
+    assert {r["query_id"]: r["MRR"] for r in per} == {1: 1 / 5, 2: 1 / 4, 3: 1 / 4}
+
+
+def test_queries_that_match_nothing_count(spark, tmp_path):
+    spark.createDataFrame([(0, "d e"), (1, "q"), (2, "c")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(k, t, "l", "s") for k, t in enumerate(["a", "b", "c", "d"])], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    per = {r["query_id"]: r["MRR"] for r in catalog.QUERIES["ir_metrics_per_query"](spark, str(tmp_path)).collect()}
+    assert per == {0: 1.0, 1: pytest.approx(1 / 3, abs=1e-6), 2: pytest.approx(1 / 3, abs=1e-6)}
+    assert catalog.QUERIES["ir_metrics_avg"](spark, str(tmp_path)).first()["MRR"] == pytest.approx((1 + 1 / 3 + 1 / 3) / 3, abs=1e-6)
+    hits = {r["query_id"]: r["hit"] for r in catalog.QUERIES["chunk_hit"](spark, str(tmp_path)).collect()}
+    assert hits == {0: "none", 1: "true", 2: "true"}
+    assert catalog.QUERIES["lexical_rank"](spark, str(tmp_path)).count() == 12
