@@ -118,10 +118,11 @@ def likelihood_ratio(token: Column, model: list[float]) -> Column:
 
 
 def markov_spans(text: Column, model: list[float], base: Column, prior_odds: float = PRIOR_ODDS) -> Column:
-    """Spans of random-looking runs that touch no base span."""
+    """Spans of random-looking runs that the base spans, sorted, don't cover whole."""
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     runs = F.when(text.rlike(RUN), _spans(text, RUN, 3, lambda m: likelihood_ratio(m, model) > math.log(prior_odds))).otherwise(none)
-    return F.filter(runs, lambda x: ~F.exists(base, lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"])))
+    covered = lambda x: F.aggregate(base, x["start"], lambda at, y: F.when(y["start"] <= at, F.greatest(at, y["end"])).otherwise(at))
+    return F.filter(runs, lambda x: covered(x) < x["end"])
 
 
 def train_on(docs: DataFrame, *, text_col: str = "text") -> list[float]:
