@@ -144,3 +144,12 @@ def test_a_secret_that_base_spans_cover_in_part_goes_whole(spark):
     rows = {r["doc_id"]: r for r in found.select("doc_id", "markov_spans", secrets.redact(F.col("text"), spans).alias("x")).collect()}
     assert {k: r["x"] for k, r in rows.items()} == dict.fromkeys(range(4), "see [SECRET] here")
     assert [len(rows[k]["markov_spans"]) for k in range(4)] == [1, 1, 0, 0]
+
+
+def test_keyword_filter_takes_all_hits(spark):
+    hits = {}
+    for r in catalog.QUERIES["vector_topk"](spark, SF).collect():
+        hits.setdefault(r["query_id"], []).append((r["query_id"], r["item_id"], r["rank"]))
+    wanted = {q: [h for h in some if h[1] % 3 == 0 or h[1] % 7 == 5] or some for q, some in hits.items()}
+    found = sorted(tuple(r) for r in catalog.QUERIES["keyword_filter"](spark, SF).collect())
+    assert found == sorted(h for some in wanted.values() for h in some)
