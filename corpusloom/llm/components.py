@@ -3,7 +3,8 @@
 Each round re-links every node to the least node it knows of; both steps take a
 minimum for each node with a map-side combine and a join, so a node with links to a
 third of all others is split like any skewed join. Rounds are written to the shared
-folder, which ends their lineage; nothing but two counts comes to the driver.
+folder, which ends their lineage, and deleted when the next one is there; nothing but
+two counts comes to the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import drop_scratch, materialize
 
 
 def _relink(links: DataFrame) -> DataFrame:
@@ -25,10 +26,11 @@ def _relink(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every linked node that isn't itself the least of its
-    component; ``component`` is that least node."""
+    component; ``component`` is that least node. The result reads a scratch table."""
     now = materialize(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col("u") != F.col("v")).distinct(), "links")
     while True:
         nodes = now.agg(F.count("*").alias("n"), F.countDistinct("u").alias("d")).first()
         if nodes["n"] == nodes["d"] and now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        now = materialize(_relink(now), "links")
+        last, now = now, materialize(_relink(now), "links")
+        drop_scratch(last)

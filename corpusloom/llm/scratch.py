@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -29,10 +30,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table that nothing lazy still refers to."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+def drop_scratch(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing lazy still reads."""
+    for table in tables:
+        context = table.sparkSession.sparkContext
+        where = context._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -41,7 +44,25 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, whatever marks are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, *taken: str) -> Column:
+    """All columns of ``df`` but the ``taken`` ones as one struct, so that their names
+    can't meet those an operator works with; fields that nobody reads are pruned."""
+    return F.struct(*[column(c) for c in df.columns if c not in taken] or [F.lit(0).alias("nothing")])
+
+
+def unpacked(df: DataFrame, struct: str, *taken: str) -> list[Column]:
+    """The columns that ``packed`` has put into the column ``struct`` of another frame."""
+    return [F.col(struct)[c].alias(c) for c in df.columns if c not in taken]
 
 
 #: Bytes of rows that go to a Python worker at once; texts are several times that in Python.
