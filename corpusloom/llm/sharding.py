@@ -6,7 +6,9 @@ for itself, so it moves about 1/(n+1) of them and no others.
 
 Defined results: a null key counts as the empty string; a null text is empty;
 repeated rows each get a slot of their own; equal draws go to the lower shard
-number; an empty table gives an empty result; other columns are ignored.
+number; texts of any length are digested whole; an empty table gives an empty result.
+``shard_records`` passes other columns through, whatever their names, but for ``shard``,
+``grown_shard`` and ``slot``, which the result's own replace; the query ignores them.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import column, materialize, packed, unpacked
 
 SHARDS = 24
 #: Hex digits of each draw: 52 bits, which a double holds exactly.
@@ -28,35 +30,46 @@ def _draw(key: Column, shard: int) -> Column:
     return (bits + 0.5) / float(16**DIGITS)
 
 
-def rendezvous(key: Column, weights: Sequence[float]) -> Column:
-    """The shard, from 0, of a string key: largest ``weight / -ln(draw)``."""
+def _score(key: Column, shard: int, weight: float) -> Column:
+    return F.struct((F.lit(-float(weight)) / F.ln(_draw(key, shard))).alias("score"), F.lit(-shard).alias("order"))
+
+
+def _best(key: Column, weights: Sequence[float]) -> Column:
+    """(score, minus the shard) of the largest draw."""
     if not weights or min(weights) <= 0:
         raise ValueError("weights must be positive")
-    scores = [F.struct((F.lit(-float(w)) / F.ln(_draw(key, s))).alias("score"), F.lit(-s).alias("order")) for s, w in enumerate(weights)]
-    best = scores[0] if len(scores) == 1 else F.greatest(*scores)
-    return (-best["order"]).cast("int")
+    scores = [_score(key, s, w) for s, w in enumerate(weights)]
+    return scores[0] if len(scores) == 1 else F.greatest(*scores)
+
+
+def rendezvous(key: Column, weights: Sequence[float]) -> Column:
+    """The shard, from 0, of a string key: largest ``weight / -ln(draw)``."""
+    return (-_best(key, weights)["order"]).cast("int")
 
 
 def shard_records(df: DataFrame, key: str, weights: Sequence[float], *, order: Sequence[str] = ()) -> DataFrame:
     """``df`` with ``shard``, ``grown_shard`` (with one more shard of the mean
-    weight) and ``slot``, gapless from 0 in each shard, by the key's digest.
+    weight, which takes one draw more) and ``slot``, gapless from 0 in each shard, by the
+    key's digest.
 
     Slots come from one range exchange, whose last key is the row's own number,
     so that even a key that holds a third of all rows is split over tasks; what
     is gathered besides is a row for each task and shard.
     """
-    df = df.drop("shard", "grown_shard", "slot")
-    text_key = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    grown = [*weights, sum(weights) / len(weights)]
-    placed = df.select("*", rendezvous(text_key, weights).alias("shard"), rendezvous(text_key, grown).alias("grown_shard"), F.md5(text_key).alias("__digest"), F.monotonically_increasing_id().alias("__tie"))
-    by = ["shard", "__digest", key, *order, "__tie"]
-    placed = placed.repartitionByRange(*by).sortWithinPartitions(*by).drop("__digest", "__tie").withColumn("__at", F.monotonically_increasing_id())
+    taken = ("shard", "grown_shard", "slot")
+    text_key = F.coalesce(column(key).cast("string"), F.lit(""))
+    rows = df.select(packed(df, *taken).alias("row"), text_key.alias("key"), F.md5(text_key).alias("digest"), F.monotonically_increasing_id().alias("tie"))
+    rows = rows.withColumn("best", _best(F.col("key"), weights))
+    grown = F.greatest("best", _score(F.col("key"), len(weights), sum(weights) / len(weights)))
+    placed = rows.select("row", "digest", "tie", (-F.col("best")["order"]).cast("int").alias("shard"), (-grown["order"]).cast("int").alias("grown_shard"))
+    by = ["shard", "digest", F.col("row")[key], *[F.col("row")[c] for c in order], "tie"]
+    placed = placed.repartitionByRange(*by).sortWithinPartitions(*by).select("row", "shard", "grown_shard", F.monotonically_increasing_id().alias("at"))
     placed = materialize(placed, "shards")
-    spans = placed.groupBy("shard", F.shiftright("__at", 33).alias("__task")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.select("shard", "__task", "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    joined = placed.withColumn("__task", F.shiftright("__at", 33)).join(spans, ["shard", "__task"])
-    return joined.withColumn("slot", F.col("__at") - F.col("__first") + F.col("__before")).drop("__at", "__first", "__before", "__task")
+    spans = placed.groupBy("shard", F.shiftright("at", 33).alias("task")).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("shard", "task", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    joined = placed.withColumn("task", F.shiftright("at", 33)).join(spans, ["shard", "task"])
+    return joined.select(*unpacked(df, "row", *taken), "shard", "grown_shard", (F.col("at") - F.col("first") + F.col("before")).alias("slot"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
