@@ -7,8 +7,11 @@ no gap becomes common, so that most pieces find one that they fill exactly.
 
 Defined results: a null or empty text is the separator alone; a null doc_id passes
 through; repeated rows are packed as rows of their own; an empty table gives an
-empty result; ties go to the smallest gap; columns other than the id and the text
-are ignored by ``tokenize`` and passed through by ``pack``.
+empty result; ties between gaps go to the smallest, those between pieces of a length
+to the lesser hash of their keys; a text of any length is tokenised and cut whole.
+Columns of ``docs`` other than the id and the text are ignored; ``pack`` passes those
+of its pieces through, whatever their names, but for ``sequence_id`` and ``offset``,
+which the result's own replace.
 """
 
 from __future__ import annotations
@@ -18,13 +21,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import small_batches
+from .scratch import column, packed, small_batches, unpacked
 from .words import MOST, tokenizer
 
 CAPACITY, SEPARATOR = 2048, 0
@@ -37,25 +40,32 @@ def tokenize(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: st
     """A row for each piece: the id, piece, start, length, ids_crc32 and, if
     asked for, ids (little-endian unsigned 32-bit)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = tokenizer(path, kept_words).encode_many, np.uint32(separator).astype("<u4").tobytes()
         step = capacity * 4
         for batch in batches:
-            rows = []
-            keys, texts = list(batch["k"]), [t or "" for t in batch["t"]]
-            for k in range(0, len(texts), TEXTS_AT_ONCE):
-                for key, ids in zip(keys[k : k + TEXTS_AT_ONCE], encode(texts[k : k + TEXTS_AT_ONCE]), strict=True):
+            row, number, sums, kept, sizes = [], [], [], [], []
+            for k in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                texts = [t.as_py() or "" for t in batch.column(1)[k : k + TEXTS_AT_ONCE]]
+                for i, ids in enumerate(encode(texts), k):
                     ids += end
                     for at in range(0, len(ids), step):
                         part = ids[at : at + step]
-                        rows.append((key, at // step, at // 4, len(part) // 4, zlib.crc32(part), *([part] if keep_ids else [])))
-            yield pd.DataFrame(rows, columns=names)
+                        row.append(i)
+                        number.append(at // step)
+                        sizes.append(len(part) // 4)
+                        sums.append(zlib.crc32(part))
+                        if keep_ids:
+                            kept.append(part)
+            numbers = np.array(number, np.int64)
+            columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(numbers, pa.int32()), pa.array(numbers * capacity), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(kept, pa.binary())] if keep_ids else [])], names=names)
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
     if keep_ids:
         schema = schema.add("ids", T.BinaryType())
     names = schema.names
-    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(run, schema)
+    return docs.select(column(id_col).alias("k"), column(text_col).alias("t")).mapInArrow(run, schema)
 
 
 class SumOfSquares:
@@ -99,18 +109,19 @@ def pack(pieces: DataFrame, tasks: int, *, length_col: str = "length", key_cols:
     one counter a gap and the numbers of its open sequences, never a group of rows.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, base = SumOfSquares(capacity), TaskContext.get().partitionId() << 32
         for batch in batches:
-            placed = [packer.place(int(n)) for n in batch[length_col]]
-            batch["sequence_id"] = pd.Series([base + n for n, _ in placed], dtype="int64")
-            batch["offset"] = pd.Series([at for _, at in placed], dtype="int64")
-            yield batch
+            placed = [packer.place(n) for n in batch.column(1).to_pylist()]
+            number, at = pa.array([base + n for n, _ in placed], pa.int64()), pa.array([a for _, a in placed], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), number, at], names=["row", "length", "sequence_id", "offset"])
 
-    schema = T.StructType([f for f in pieces.schema.fields if f.name not in ("sequence_id", "offset")])
-    mixed = F.xxhash64(*key_cols, length_col)
-    dealt = pieces.select(*schema.names, mixed.alias("__mix"), F.monotonically_increasing_id().alias("__row")).repartition(tasks, "__mix", "__row").sortWithinPartitions(F.desc(length_col), "__mix", "__row").drop("__mix", "__row")
-    return dealt.mapInPandas(run, T.StructType([*schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    taken = ("sequence_id", "offset")
+    rows = pieces.select(packed(pieces, *taken).alias("row"), column(length_col).cast("int").alias("length"))
+    mixed = F.xxhash64(*[F.col("row")[c] for c in key_cols], "length")
+    dealt = rows.withColumns({"mix": mixed, "tie": F.monotonically_increasing_id()}).repartition(tasks, "mix", "tie").sortWithinPartitions(F.desc("length"), "mix", "tie").drop("mix", "tie")
+    schema = T.StructType([*dealt.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return dealt.mapInArrow(run, schema).select(*unpacked(pieces, "row", *taken), *taken)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -120,7 +131,8 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, path: str, *, docs_per_task: int = DOCS_PER_TASK, kept_words: int = MOST) -> DataFrame:
-    """``kept_words`` bounds the word tables of a Python worker; fewer cost time alone."""
+    """A row for each piece, with its sequence and place there, by the ``doc_id`` and ``text``
+    of ``docs`` alone. ``kept_words`` bounds the word tables of a Python worker; fewer cost time alone."""
     small_batches(docs.sparkSession)
     tasks = max(1, math.ceil(docs.count() / docs_per_task))
     return pack(tokenize(docs, path, kept_words=kept_words), tasks)
