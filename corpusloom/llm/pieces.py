@@ -13,8 +13,9 @@ Characters that no piece covers, and the space mark itself, become byte pieces,
 weight of the last rank, which makes decoding lossless for every text.
 
 Defined results: a null or empty text has no pieces and decodes to the empty text; a
-null key draws as key 0; repeated rows draw the same pieces; an empty table gives an
-empty result; other columns are ignored.
+null key draws as key 0; repeated rows draw the same pieces; ties don't arise, as
+draws fall between bounds; a text of any length is encoded whole, a long stretch
+without being kept; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +30,12 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import small_batches
+from .scratch import column, small_batches
 
 MARK = "▁"
 ALPHA, SEED = 1.0, 1
@@ -245,7 +247,7 @@ class Lattice:
                     del known[s]
         row = np.repeat(np.arange(len(texts)), counts)
         place = np.arange(len(node)) - np.repeat(np.cumsum(counts) - counts, counts)
-        state = mix(mix(keys.astype(np.uint64) + np.uint64(seed) * GOLD)[row] + place.astype(np.uint64) * GOLD)
+        state = mix(mix(keys.astype(np.uint64) + np.uint64(seed * int(GOLD) & (1 << 64) - 1))[row] + place.astype(np.uint64) * GOLD)
         near = np.argsort(node)  # equal stretches read the same part of the tables
         node, state = node[near], state[near]
         bound, live = self.bound[: self.arcs], np.arange(len(node))
@@ -295,26 +297,29 @@ def encode_sampled(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
 
     small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattice(path, alpha)
         for batch in batches:
-            for at in range(0, len(batch), 1024):
-                part = batch.iloc[at : at + 1024]
-                texts = [t or "" for t in part["t"]]
-                found = model.sample(texts, part["h"].to_numpy(np.int64).view(np.uint64), seed)
-                if not digests:
-                    yield pd.DataFrame({id_col: part["k"].to_numpy(), "ids": [x.astype(np.int32) for x in found]})
-                    continue
-                decoded = [model.decode(x) for x in found]
-                yield pd.DataFrame({
-                    id_col: part["k"].to_numpy(), "n_pieces": [len(x) for x in found], "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in found],
-                    "decoded_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in decoded], "lossless": [a == b for a, b in zip(texts, decoded, strict=True)],
-                })
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    columns = "n_pieces long, ids_crc32 long, decoded_sha256 string, lossless boolean" if digests else "ids array<int>"
-    key = F.coalesce(F.xxhash64(F.col(id_col).cast("string")), F.lit(0))
-    return docs.select(F.col(id_col).alias("k"), F.when(F.col(id_col).isNull(), F.lit(0)).otherwise(key).cast("long").alias("h"), F.col(text_col).alias("t")).mapInPandas(run, f"`{id_col}` {kind}, {columns}")
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                texts = [t.as_py() or "" for t in part.column(2)]
+                found = model.sample(texts, part.column(1).to_numpy().view(np.uint64), seed)
+                if digests:
+                    decoded = [model.decode(x) for x in found]
+                    columns = [
+                        pa.array([len(x) for x in found], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in found], pa.int64()),
+                        pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in decoded], pa.string()), pa.array([a == b for a, b in zip(texts, decoded, strict=True)], pa.bool_()),
+                    ]
+                else:
+                    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                    columns = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=schema.names)
+
+    kinds = {"n_pieces": T.LongType(), "ids_crc32": T.LongType(), "decoded_sha256": T.StringType(), "lossless": T.BooleanType()} if digests else {"ids": T.ArrayType(T.IntegerType())}
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(c, k) for c, k in kinds.items())])
+    key = column(id_col)
+    drawn_by = F.when(key.isNull(), F.lit(0)).otherwise(F.xxhash64(key.cast("string"))).cast("long")
+    return docs.select(key.alias("k"), drawn_by.alias("h"), column(text_col).alias("t")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, *, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
