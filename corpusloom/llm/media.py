@@ -9,7 +9,9 @@ its own offset, without the rest of its range; if it stays bad, the task fails.
 
 The media of a text is a PNG image of 8-bit grey samples, 64 to a row: its UTF-8 bytes,
 padded by zeros to a positive multiple of 64. Defined results: a null text is empty; a
-null doc_id is stored and read back as null; repeated rows are members of their own;
+null doc_id is stored and read back as null; repeated rows are members of their own, and
+equal texts equal media; members keep the order of their rows, so no ties arise; a text
+of any length is one member, read whole in a batch of its own if it passes the bound;
 an empty table gives an empty directory with a manifest; other columns are ignored.
 """
 
@@ -24,14 +26,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .scratch import scratch_path, small_batches
+from .scratch import column, scratch_path, small_batches
 
 FORMAT = "member_archive"
 ROW = 64
@@ -246,14 +246,15 @@ class MemberArchives(DataSource):
 def store_media(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write each row's text as a member of the archive directory ``path``."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"key": batch["key"], "media": [to_png((t or "").encode("utf-8", "surrogatepass")) for t in batch["t"]]})
+            media = [to_png((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], names=["key", "media"])
 
     small_batches(docs.sparkSession)
     docs.sparkSession.dataSource.register(MemberArchives)
     kind = docs.schema[id_col].dataType.simpleString()
-    media = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("t")).mapInPandas(encode, f"key {kind}, media binary")
+    media = docs.select(column(id_col).alias("key"), column(text_col).alias("t")).mapInArrow(encode, f"key {kind}, media binary")
     media.write.format(FORMAT).mode("append").option("keytype", kind).save(path)
 
 
