@@ -4,11 +4,14 @@ Overlapping heuristics vote good, bad or nothing on each text. Expectation
 maximisation over the counts of all vote patterns of the whole corpus estimates how
 each heuristic votes on good and on bad texts; the posterior of a pattern is the soft
 label that trains a logistic scorer of hashed character n-grams. The scorer learns
-from at most ``TRAIN_ROWS`` rows (expected, chosen by hash); counts cover all rows.
+from at most ``TRAIN_ROWS`` rows, those of the least hashes of id and text; counts
+cover all rows.
 
 Defined results: a null text is empty; an empty text gets score 0; a null doc_id
-passes through; repeated rows each count and get their result; an empty table gives
-an empty result; other columns are ignored.
+passes through; repeated rows each count and get their result, and teach once; a score
+of exactly ``KEEP`` is kept, and a pattern whose votes tie starts from even odds; texts
+of any length are read whole; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -17,12 +20,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from . import draw
 from .features import code_points, letter_table, ngram_counts, unit
-from .scratch import materialize, small_batches
+from .scratch import column, drop_scratch, materialize, small_batches
 
 BITS, ORDERS = 13, (1, 2, 3)
 TRAIN_ROWS = 3_000
@@ -100,15 +105,23 @@ def text_vector(text: str) -> np.ndarray:
 
 
 def train_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 300, rate: float = 8.0, decay: float = 1e-4) -> np.ndarray:
-    """Weights, the last one the bias, of a logistic scorer on soft labels."""
-    w = np.zeros(x.shape[1] + 1)
+    """Weights, the last one the bias, of a logistic scorer on soft labels; in single
+    precision throughout, as its rows are."""
+    w, bias, y = np.zeros(x.shape[1], np.float32), np.float32(0), y.astype(np.float32)
     for k in range(rounds if len(y) else 0):
-        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
-        g = (p - y) / len(y)
-        step = rate / (1 + k / 100)
-        w[:-1] -= step * (x.T @ g + decay * w[:-1])
-        w[-1] -= step * g.sum()
-    return w
+        p = 1 / (1 + np.exp(-np.clip(x @ w + bias, -30, 30)))
+        g = (p - y) / np.float32(len(y))
+        step = np.float32(rate / (1 + k / 100))
+        w -= step * (g @ x + np.float32(decay) * w)
+        bias -= step * g.sum()
+    return np.append(w, bias)
+
+
+def scored(text: str, weights: np.ndarray) -> float:
+    """0 for an empty text, else the logistic function of its weighted n-grams."""
+    if not text:
+        return 0.0
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, float(text_vector(text) @ weights[:-1] + weights[-1])))))
 
 
 def score_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS) -> DataFrame:
@@ -117,34 +130,37 @@ def score_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     sample are what comes to the driver."""
     small_batches(docs.sparkSession)
     labellers = len(LABELLERS)
+    key, text = column(id_col), column(text_col)
 
-    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or "" for t in batch["t"]]
-            yield pd.DataFrame({"pattern": [pattern_number(votes(t)) for t in texts], "v": [text_vector(t).astype("<f2").tobytes() if s else None for t, s in zip(texts, batch["s"], strict=True)]})
-
-    every = max(1, math.ceil(docs.count() / rows))
-    chosen = (F.pmod(F.xxhash64(id_col, F.lit(5)), F.lit(every)) == 0).alias("s")
-    voted = materialize(docs.select(F.col(text_col).alias("t"), chosen).mapInPandas(vote, "pattern long, v binary"), "votes")
+            texts = [t.as_py() or "" for t in batch.column(0)]
+            found = [pattern_number(votes(t)) for t in texts]
+            vectors = [text_vector(t).astype("<f2").tobytes() if s else None for t, s in zip(texts, batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column(1), pa.array(vectors, pa.binary())], names=["pattern", "h", "v"])
+
+    h = F.xxhash64(key, F.lit(5), text)
+    voted = docs.select(text.alias("t"), h.alias("h"), draw.part(h, draw.share(rows, docs.count())).alias("s"))
+    voted = materialize(voted.mapInArrow(vote, "pattern long, h long, v binary"), "votes")
     table = sorted((r["pattern"], r["count"]) for r in voted.groupBy("pattern").count().collect())
     numbers = np.array([k for k, _ in table], np.int64)
     posterior, _ = estimate(pattern_votes(numbers, labellers), np.array([c for _, c in table], float))
     belief = dict(zip(numbers.tolist(), posterior.tolist(), strict=True))
-    sample = sorted((bytes(r["v"]), r["pattern"]) for r in voted.filter(F.col("v").isNotNull()).limit(2 * rows).collect())
+    sample = sorted((bytes(r["v"]), r["pattern"]) for r in draw.least(voted.filter(F.col("v").isNotNull()), "h", rows).collect())
+    drop_scratch(voted)
     x = np.stack([np.frombuffer(v, "<f2") for v, _ in sample]).astype(np.float32) if sample else np.zeros((0, 1 << BITS), np.float32)
-    weights = train_scorer(x, np.array([belief[k] for _, k in sample])).astype(np.float32)
+    weights = train_scorer(x, np.array([belief[k] for _, k in sample]))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for key, text in zip(batch["k"], batch["t"], strict=True):
-                v = votes(text or "")
-                s = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(text_vector(text) @ weights[:-1] + weights[-1]))))) if text else 0.0
-                out.append((key, sum(x != 0 for x in v), belief[pattern_number(v)], s, s >= KEEP))
-            yield pd.DataFrame(out, columns=[id_col, "n_votes", "posterior", "score", "kept"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(score, f"`{id_col}` {kind}, n_votes int, posterior double, score double, kept boolean")
+            texts = [t.as_py() or "" for t in batch.column(1)]
+            found = [votes(t) for t in texts]
+            said, scores = [sum(x != 0 for x in v) for v in found], [scored(t, weights) for t in texts]
+            columns = [pa.array(said, pa.int32()), pa.array([belief[pattern_number(v)] for v in found], pa.float64()), pa.array(scores, pa.float64()), pa.array([s >= KEEP for s in scores], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=schema.names)
+
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_votes", T.IntegerType()), T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())])
+    return docs.select(key.alias("k"), text.alias("t")).mapInArrow(score, schema)
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
