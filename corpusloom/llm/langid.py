@@ -3,14 +3,18 @@ one-versus-one linear support vector machines tell the languages in it apart.
 
 Families are learned: languages whose mean n-gram profiles are most alike are joined
 until about the square root of their number is left. All machines are trained here,
-by dual coordinate descent, on at most ``TRAIN_ROWS`` labelled rows (expected, chosen
-by hash, as many for each language); predictions read nothing but the text, whole.
+by dual coordinate descent, on at most ``TRAIN_ROWS`` labelled rows, as many for each
+language, those of the least hashes of id and text. The ``MOST_LANGUAGES`` most frequent
+values of the label are learned. Predictions read nothing but the text, whole.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; rows
 without a language teach nothing; with no labelled row all texts are ``und``; with
 one language it gets every other text; a null doc_id passes through and counts as the
-empty string for the fold; repeated rows each get their result; an empty table gives
-an empty result; other columns are ignored by the query and kept by ``identify``.
+empty string for the fold; repeated rows each get their result, and teach once; of
+languages with equal votes the first by name wins, of labels of equal count the first
+ones are learned; texts of any length are read whole; an empty table gives an empty
+result. ``identify`` keeps other columns, but for ``lang_pred`` and ``score``, which the
+result's own replace; the query ignores them.
 """
 
 from __future__ import annotations
@@ -22,15 +26,16 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .scratch import small_batches
+from . import draw
 from .features import code_points, letter_table, ngram_counts, unit
+from .scratch import column, small_batches
 
 BITS, ORDERS = 13, (1, 2, 3)
-TRAIN_ROWS = 2_000
+TRAIN_ROWS, MOST_LANGUAGES = 2_000, 250
 UND = "und"
 SHARPNESS = 4.0
 
@@ -123,16 +128,23 @@ def train_languages(x: np.ndarray, labels: list[str]) -> LanguageModel:
     return LanguageModel(languages, families, np.stack(columns, axis=1), pairs)
 
 
-def fit(labelled: DataFrame, *, key_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> LanguageModel:
+def fit(labelled: DataFrame, *, key_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS, most: int = MOST_LANGUAGES) -> LanguageModel:
     """A model from rows with text and language. Counting reads the languages alone;
-    the sample's hashed vectors are what comes to the driver, at most twice ``rows``."""
-    rated = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rated.groupBy(lang_col).count().collect()}
+    the sample's hashed vectors are what comes to the driver, at most ``rows`` (or one a
+    language), and the counts of ``most`` languages."""
+    key, text = column(key_col), column(text_col)
+    rated = labelled.filter(column(lang_col).isNotNull() & text.isNotNull()).select(column(lang_col).alias("lang"), key.alias("key"), text.alias("t"))
+    counts = {r["lang"]: r["count"] for r in rated.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()}
     if not counts:
         return train_languages(np.zeros((0, 1 << BITS), np.float32), [])
     per = max(1, rows // len(counts))
-    draw = F.pmod(F.xxhash64(key_col, lang_col), F.lit(10**9)) / 1e9
-    rate = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, per / n))])[F.col(lang_col)]
+    rate = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, draw.share(per, n))])[F.col("lang")]
+    h = F.xxhash64("key", "lang", "t")
+    drawn = rated.filter(rate.isNotNull()).withColumn("h", h).filter(F.pmod("h", F.lit(10**9)) < rate * 1e9)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    # Two keys for each row to come, so their number is bounded by ``rows``.
+    few = drawn.select("lang", "h").distinct().withColumn("place", place).filter(F.col("place") <= per).drop("place")
+    drawn = drawn.join(F.broadcast(few), ["lang", "h"], "left_semi").dropDuplicates(["lang", "h"])
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -140,7 +152,7 @@ def fit(labelled: DataFrame, *, key_col: str = "doc_id", text_col: str = "text",
             if found:
                 yield pd.DataFrame({"lang": [k for k, _ in found], "v": [v.astype("<f2").tobytes() for _, v in found]})
 
-    sample = rated.filter(draw < rate).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t")).mapInPandas(vectors, "lang string, v binary").limit(2 * rows).collect()
+    sample = drawn.select("lang", "t").mapInPandas(vectors, "lang string, v binary").collect()
     sample.sort(key=lambda r: (r["lang"], bytes(r["v"])))
     x = np.stack([np.frombuffer(r["v"], "<f2") for r in sample]).astype(np.float32) if sample else np.zeros((0, 1 << BITS), np.float32)
     return train_languages(x, [r["lang"] for r in sample])
@@ -160,7 +172,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text_col: str = "text") -
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], schema=pa.schema([*batch.schema, ("lang_pred", pa.string()), ("score", pa.float64())]))
 
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*[f"`{f.name}`" for f in kept]).mapInArrow(run, schema)
+    return docs.select(*[column(f.name) for f in kept]).mapInArrow(run, schema)
 
 
 def fold(key: str = "doc_id"):
