@@ -4,21 +4,23 @@ verification drops those that can hardly be similar enough, and exact sets decid
 Words are runs of ``[^\x20\x09-\x0D]`` with A-Z lower-cased; a document's set is that
 of its distinct five-word shingles, or its whole word sequence if that is shorter.
 
-1. Documents with equal sets form a class; only classes go on.
+1. Documents with equal sets form a class, combined on the map side; only classes go on.
 2. In each bucket of equal bands all members are paired with one of them, the one
    whose own buckets are largest: as many pairs as rows, whatever the bucket's size.
 3. Pairs are compared by batches of signature slots. After each batch the posterior
    of the similarity (uniform prior) is bounded, and the pair dropped when similarity
    over the threshold has a probability below ``miss``. Survivors are verified exactly.
-4. In buckets whose members are not all in one component yet, members are compared
-   block by block, across components alone, in the same sequential way, each pair in
+4. In buckets whose members are not all in one component yet (large ones are cut by
+   further bands first), members are compared block by block, across components alone, in the same sequential way, each pair in
    the bucket of its first common band. Members with a survivor meet once more, with
    their texts, and are verified on the spot, so pairs are never rows. No link
    between different components is left untried.
 
 Defined results: a null or empty text, or one without words, has an empty set and
 links with nothing; a null doc_id links with nothing; rows that repeat a doc_id are
-one node; an empty table gives an empty result; other columns are ignored.
+one node, whatever their texts; a similarity of just the threshold links, and of equal
+ids for a component the least stands; texts of any length are read whole; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,13 +38,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import components
-from .scratch import materialize, small_batches
+from .scratch import column, drop_scratch, materialize, small_batches
+from .skew import heavy_keys, spread_join
 
 WIDTH, SLOTS, BATCH, THRESHOLD = 5, 128, 32, 0.8
 #: Probability, for a pair at the threshold, that the bands or the posterior bound miss it.
 MISS = 1e-6
 #: Members of a bucket, and shingles in their sets, that a task holds twice at once.
 BLOCK, BLOCK_SHINGLES = 256, 2_000_000
+#: Buckets of more blocks are cut into smaller ones by further bands first.
+WIDE_BLOCKS = 16
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -132,7 +137,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, rows: int, *, width: int
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(np.array(d2, np.uint64).view(np.int64)), lists, pa.array(sigs, pa.binary())], names=["id", "n", "d1", "d2", "bands", "sig"])
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(run, schema)
+    return docs.select(column(id_col).alias("id"), column(text_col).alias("t")).mapInArrow(run, schema)
 
 
 def least_matches(threshold: float, slots: int = SLOTS, batch: int = BATCH, miss: float = MISS) -> list[int]:
@@ -318,12 +323,14 @@ def block_links(rows: DataFrame, bounds: list[int], percent: int, *, width: int
 def _texts(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, t) of these ids; written once, as they are read more than once."""
     ids = materialize(ids.select("id").distinct(), "ids")
-    return materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(ids, "id", "left_semi"), "texts")
+    texts = materialize(docs.select(column(id_col).alias("id"), column(text_col).alias("t")).join(ids, "id", "left_semi"), "texts")
+    drop_scratch(ids)
+    return texts
 
 
-def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int, width: int = WIDTH) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 |A and B| >= percent |A or B|."""
-    texts = _texts(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), docs, id_col, text_col)
+def verify(pairs: DataFrame, texts: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
+    """The pairs (a, b) whose full sets, from texts (id, t), have
+    100 |A and B| >= percent |A or B|."""
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -342,42 +349,81 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percen
     return both.select("a", "b", "ta", "tb").mapInPandas(run, pairs.schema)
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+@cache
+def shuffled_bands(rows: int, slots: int = SLOTS) -> list[list[int]]:
+    """Bands of slots in another order than that of ``_bands``."""
+    order = np.random.default_rng(20240301).permutation(slots)
+    return order[: slots // rows * rows].reshape(-1, rows).tolist()
+
+
+def reband(wide: DataFrame, signatures: DataFrame, rows: int) -> DataFrame:
+    """Members (band, key, id, comp) of buckets too large for a few blocks, in the
+    smaller buckets of those that share a shuffled band as well: (band, key, id, comp,
+    size, shingles). Given one common band, a pair at the threshold shares no further
+    one with a probability under that of sharing no band at all. Buckets of one
+    component go."""
+    by = ["band", "key"]
+    key = F.explode(F.array(*[F.xxhash64(F.lit(j), "key", *[F.substring("sig", 2 * s + 1, 2) for s in band]) for j, band in enumerate(shuffled_bands(rows))]))
+    members = wide.select(*by, "id", "comp").join(signatures.select("id", "n", "sig"), "id").select("band", key.alias("key"), "id", "comp", "n")
+    sizes = members.groupBy(*by).agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    sizes = materialize(sizes.filter(F.col("x") != F.col("y")).drop("x", "y"), "sizes")
+    return spread_join(members.drop("n"), sizes, by, heavy_keys(sizes, by, "size"), F.xxhash64("id"))
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, wide_blocks: int = WIDE_BLOCKS) -> DataFrame:
     """A row for each of ``docs``: id_col, n_shingles, component_id and kept."""
     small_batches(docs.sparkSession)
     percent = round(100 * threshold)
     rows, bounds = band_rows(threshold, SLOTS, miss), least_matches(threshold, SLOTS, BATCH, miss)
+    by, digest, tie = ["band", "key"], ["d1", "d2"], F.xxhash64("id")
     sketches = materialize(sketch(docs, id_col, text_col, rows), "sketches")
-    known = sketches.filter((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = known.groupBy("d1", "d2").agg(F.min("id").alias("rep"))
-    reps = known.join(classes, ["d1", "d2"]).filter(F.col("id") == F.col("rep")).dropDuplicates(["d1", "d2"])
-    banded = reps.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    sizes = banded.groupBy("band", "key").agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).filter(F.col("size") > 1)
-    buckets = materialize(banded.drop("n").join(sizes, ["band", "key"]), "buckets")
-    signatures = sketches.select("id", "n", "sig", "bands").filter(F.col("id").isNotNull())
-
+    usable = (F.col("n") > 0) & F.col("id").isNotNull()
+    known = sketches.filter(usable)
+    # Copies are combined where they lie: what is exchanged is a row for each task and class.
+    classes = known.groupBy(*digest).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first(F.struct("n", "bands", "sig")).alias("r"))
+    classes = materialize(classes.select(*digest, "rep", "copies", "r.*"), "classes")
+    signatures = classes.select(F.col("rep").alias("id"), "n", "sig", "bands")
+    # An id with several sets joins their classes.
+    several = known.groupBy("id").agg(*[f(d).alias(f"{f.__name__}_{d}") for f in (F.min, F.max) for d in digest]).filter("min_d1 <> max_d1 or min_d2 <> max_d2")
+    links = [materialize(known.select("id", *digest).join(several.select("id"), "id", "left_semi").join(classes.select(*digest, "rep"), digest).filter(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "links")]
+
+    banded = signatures.select("id", "n", F.posexplode("bands").alias("band", "key"))
+    sizes = materialize(banded.groupBy(*by).agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).filter(F.col("size") > 1), "sizes")
+    heavy = heavy_keys(sizes, by, "size")
+    buckets = materialize(spread_join(banded.drop("n"), sizes, by, heavy, tie), "buckets")
     weight = buckets.groupBy("id").agg(F.sum("size").alias("weight"))
-    hubs = buckets.join(weight, "id").groupBy("band", "key").agg(F.max_by("id", F.struct("weight", F.xxhash64("id"), "id")).alias("b"))
-    star = buckets.select("band", "key", F.col("id").alias("a")).join(hubs, ["band", "key"]).filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    hubs = buckets.join(weight, "id").groupBy(*by).agg(F.max_by("id", F.struct("weight", F.xxhash64("id"), "id")).alias("b"))
+    star = spread_join(buckets.select(*by, F.col("id").alias("a")), hubs, by, heavy, F.xxhash64("a"))
+    star = star.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     star = materialize(bayes_filter(_signed(star, signatures, percent), bounds), "pairs")
-    links = materialize(verify(star, docs, id_col, text_col, percent), "links")
-
-    labels = components(links, "a", "b")
-    labelled = buckets.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    mixed = labelled.groupBy("band", "key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter(F.col("x") != F.col("y")).select("band", "key")
+    texts = _texts(star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))), docs, id_col, text_col)
+    links.append(materialize(verify(star, texts, percent), "links"))
+    drop_scratch(texts, star)
+
+    labels = components(links[0].union(links[1]), "a", "b")
+    labelled = buckets.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    mixed = labelled.groupBy(*by).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter(F.col("x") != F.col("y")).select(*by)
+    rest = materialize(spread_join(labelled, mixed, by, heavy, tie).select(*by, "id", "comp", "size", "shingles"), "mixed")
+    drop_scratch(buckets, sizes)
     n_blocks = F.ceil(F.greatest(F.col("size") / block, F.col("shingles") / block_shingles)).cast("int")
-    rest = labelled.join(mixed, ["band", "key"]).select("band", "key", "id", "comp", n_blocks.alias("n_blocks"))
-    rest = rest.withColumn("at", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-    rest = rest.select("band", "key", "id", "comp", "at", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
-    rest = rest.select("band", "key", "id", "comp", "at", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"))
-    bucketed = lambda df: df.repartition("band", "key", "lo", "hi").sortWithinPartitions("band", "key", "lo", "hi", "id")
-    rest = materialize(block_members(bucketed(rest.join(signatures, "id")), bounds, percent), "members")
-    rest = rest.join(_texts(rest, docs, id_col, text_col), "id")
-    links = links.union(materialize(block_links(bucketed(rest), bounds, percent), "links"))
-    labels = components(links, "a", "b")
-    full = sketches.select("id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component", "rep")).otherwise(F.col("id"))
-    return full.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    wide = n_blocks > wide_blocks
+    rest = rest.filter(~wide).unionByName(reband(rest.filter(wide), signatures, rows))
+    rest = rest.select(*by, "id", "comp", n_blocks.alias("n_blocks")).withColumn("at", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
+    rest = rest.select(*by, "id", "comp", "at", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
+    rest = rest.select(*by, "id", "comp", "at", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"))
+    bucketed = lambda df: df.repartition(*by, "lo", "hi").sortWithinPartitions(*by, "lo", "hi", "id")
+    members = materialize(block_members(bucketed(rest.join(signatures, "id")), bounds, percent), "members")
+    texts = _texts(members, docs, id_col, text_col)
+    links.append(materialize(block_links(bucketed(members.join(texts, "id")), bounds, percent), "links"))
+    drop_scratch(texts, members)
+    labels = components(links[0].union(links[1]).union(links[2]), "a", "b")
+    drop_scratch(*links)
+
+    named = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*digest, F.coalesce("component", "rep").alias("component"))
+    whole = spread_join(known.select("id", "n", *digest), named, digest, heavy_keys(classes, digest, "copies"), F.xxhash64("id"))
+    # Rows without a set join nothing, so that they don't meet under one key.
+    whole = whole.select("id", "n", "component").unionByName(sketches.filter(~usable).select("id", "n", F.col("id").alias("component")))
+    return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def _signed(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
