@@ -3,13 +3,15 @@ r"""Secret scans in DataFrame functions alone.
 Base spans come from three fixed patterns. Further ones are runs of key characters
 whose log-likelihood ratio, under character Markov models of random strings and of
 ordinary identifiers, exceeds the log of the prior odds. Both models are bigram
-counts over labelled samples; at most ``TRAIN_DOCS`` documents (expected; chosen by
-hash) give the ordinary identifiers, and a generator gives the random strings.
+counts over labelled samples; at most ``TRAIN_DOCS`` different texts, those of the least
+digests, give the ordinary identifiers, and a generator gives the random strings.
 
 Defined results: a null text is empty; a null doc_id passes through; repeated rows
-each get their result; an empty table gives an empty result (its ordinary model is
-then smoothing alone); other columns are ignored by the query and kept by the rest.
-Positions count code points, the end exclusive.
+each get their result; spans of one start stand in the order of the kinds, and a ratio
+of just the bound is no span; texts of any length are scanned whole; an empty table
+gives an empty result (its ordinary model is then smoothing alone). ``scan_secrets``
+keeps other columns, but for ``base_spans`` and ``markov_spans``, which the result's own
+replace; the query ignores them. Positions count code points, the end exclusive.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import draw
+from .scratch import column
+
 KINDS = ("assign", "access", "hex", "markov")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: A run of these either fails as a whole or is taken as a whole, so the least length can stand in the pattern.
@@ -79,15 +84,24 @@ def _steps(token: Column) -> Column:
     return F.zip_with(F.slice(states, 1, n), F.slice(states, 2, n), lambda a, b: a * STATES + b)
 
 
-def _instr_tokens(docs: DataFrame, text_col: str, docs_in_all: int) -> DataFrame:
-    """Ordinary identifiers: words of a bounded sample of documents, alone and
-    joined in pairs as identifiers, paths and versions are, and numbers."""
-    every = max(1, math.ceil(docs_in_all / TRAIN_DOCS))
+def _number(text: Column) -> Column:
+    """A number under 2^28 from a text's digest."""
+    return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("long")
+
+
+def ordinary_tokens(docs: DataFrame, text_col: str, rows: int = TRAIN_DOCS) -> DataFrame:
+    """Ordinary identifiers: words of at most ``rows`` texts, those of the least digests,
+    alone and joined in pairs as identifiers, paths and versions are, and numbers. A text
+    that many rows repeat is drawn once."""
+    texts = docs.select(column(text_col).alias("t")).filter(F.col("t").isNotNull()).withColumn("h", F.md5("t"))
+    few = F.conv(F.substring("h", 1, 7), 16, 10).cast("long") < math.ceil(draw.share(rows, docs.count()) * 16**7)
+    texts = draw.least(texts.filter(few), "h", rows)
     words = F.expr("filter(split(t, '[^\\\\p{L}]+'), w -> length(w) > 1)")
-    pairs = docs.select(F.col(text_col).alias("t")).filter(F.col("t").isNotNull() & (F.pmod(F.xxhash64("t"), F.lit(every)) == 0))
-    pairs = pairs.select(words.alias("w")).filter(F.size("w") > 2).select(F.posexplode(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w) - 1)").alias("b"))).alias("i", "p"))
+    pairs = texts.select(words.alias("w")).filter(F.size("w") > 2).select(F.posexplode(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w) - 1)").alias("b"))).alias("i", "p"))
     a, b, i = F.col("p.a"), F.col("p.b"), F.pmod("i", F.lit(8))
-    joined = F.when(i == 0, F.concat(a, F.lit("_"), b)).when(i == 1, F.concat(a, F.initcap(b))).when(i == 2, F.concat(a, F.lit("/"), b)).when(i == 3, F.concat(a, F.lit("-"), b)).when(i == 4, F.upper(F.concat(a, F.lit("_"), b))).when(i == 5, F.concat(F.pmod(F.xxhash64(a, b), F.lit(10**9)).cast("string"), F.lit("-"), F.pmod(F.xxhash64(b, a), F.lit(10**9)).cast("string"))).when(i == 6, F.concat(a, b)).otherwise(a)
+    upper = lambda c: F.translate(c, ALPHABET[:26], ALPHABET[26:52])
+    numbers = F.concat(_number(F.concat(a, F.lit("/"), b)).cast("string"), F.lit("-"), _number(F.concat(b, F.lit("/"), a)).cast("string"))
+    joined = F.when(i == 0, F.concat(a, F.lit("_"), b)).when(i == 1, F.concat(a, upper(F.substring(b, 1, 1)), F.substring(b, F.lit(2), F.length(b)))).when(i == 2, F.concat(a, F.lit("/"), b)).when(i == 3, F.concat(a, F.lit("-"), b)).when(i == 4, upper(F.concat(a, F.lit("_"), b))).when(i == 5, numbers).when(i == 6, F.concat(a, b)).otherwise(a)
     return pairs.select(joined.alias("token"), F.lit(0).alias("label"))
 
 
@@ -126,14 +140,13 @@ def markov_spans(text: Column, model: list[float], base: Column, prior_odds: flo
 
 
 def train_on(docs: DataFrame, *, text_col: str = "text") -> list[float]:
-    ordinary = _instr_tokens(docs, text_col, docs.count())
-    return train_markov(ordinary.unionByName(random_tokens(docs.sparkSession)))
+    return train_markov(ordinary_tokens(docs, text_col).unionByName(random_tokens(docs.sparkSession)))
 
 
 def scan_secrets(docs: DataFrame, *, text_col: str = "text", model: list[float] | None = None) -> DataFrame:
     """``docs`` with the array columns ``base_spans`` and ``markov_spans``."""
     model = model or train_on(docs, text_col=text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(column(text_col), F.lit(""))
     found = docs.withColumn("base_spans", base_spans(text))
     return found.withColumn("markov_spans", markov_spans(text, model, F.col("base_spans")))
 
@@ -166,5 +179,49 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(_digest(F.col("base_spans")), 256).alias("base_sha256"), _digest(every).alias("spans"), F.size("markov_spans").cast("long").alias("n_markov"))
 
 
+def _either(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+def _sql_matches(kind: int, pattern: str) -> str:
+    return f"SELECT r, {kind} AS kind, unnest(regexp_split_to_array(t, '{pattern}')) AS gap, unnest(list_append(regexp_extract_all(t, '{pattern}'), NULL)) AS m, generate_subscripts(regexp_split_to_array(t, '{pattern}'), 1) AS i FROM d WHERE regexp_matches(t, '{pattern}')"
+
+
+# RE2 folds letters beyond ASCII as well, so the names are spelt out; and a greedy run of
+# at least so many characters begins where a run does, so it needs no look-behind.
+_ASSIGN_SQL = "(" + "|".join(_either(w) for w in ("password", "passwd", "secret", "token")) + "|" + _either("api") + "_?" + _either("key") + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_STEP_SQL = f"strpos('{ALPHABET}', substr(m, k, 1)) * {STATES} + strpos('{ALPHABET}', substr(m, k + 1, 1))"
+_UPPER_SQL = f"'{ALPHABET[:26]}', '{ALPHABET[26:52]}'"
+_NUMBER_SQL = "('0x' || substr(md5({}), 1, 7))::BIGINT"
+_TOKEN_SQL = " ".join(
+    f"WHEN {k} THEN {t}"
+    for k, t in enumerate([
+        "a || '_' || b", f"a || translate(left(b, 1), {_UPPER_SQL}) || substr(b, 2)", "a || '/' || b", "a || '-' || b", f"translate(a || '_' || b, {_UPPER_SQL})",
+        _NUMBER_SQL.format("a || '/' || b") + " || '-' || " + _NUMBER_SQL.format("b || '/' || a"), "a || b", "a",
+    ])
+)
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+src AS (SELECT md5(text) AS h, any_value(text) AS t FROM documents WHERE text IS NOT NULL AND {_NUMBER_SQL.format("text")} < (SELECT ceil(least(1.0, {2.0 * TRAIN_DOCS} / greatest(count(*), 1)) * {16**7}) FROM documents) GROUP BY 1 ORDER BY h LIMIT {TRAIN_DOCS}),
+ws AS (SELECT list_filter(regexp_split_to_array(t, '[^\\p{{L}}]+'), lambda w: length(w) > 1) AS w FROM src),
+ps AS (SELECT i, w[i + 1] AS a, w[i + 2] AS b FROM (SELECT w, unnest(range(0, len(w) - 1)) AS i FROM ws WHERE len(w) > 2)),
+raw AS (SELECT i, sha256('7/' || i) AS x, to_base64(unhex(sha256('7/' || i))) AS y FROM range({TRAIN_RANDOM}) g(i)),
+tokens AS (SELECT 0 AS label, CASE i % 8 {_TOKEN_SQL} END AS m FROM ps UNION ALL SELECT 1, CASE i % 4 WHEN 0 THEN x WHEN 1 THEN y WHEN 2 THEN translate(y, '+/=', '-_') ELSE translate(y, '+/=', '') END FROM raw),
+steps AS (SELECT label, {_STEP_SQL} AS step FROM (SELECT label, m, unnest(range(1, length(m))) AS k FROM tokens)),
+counted AS (SELECT label, step, count(*) AS n FROM steps GROUP BY ALL),
+every AS (SELECT l AS label, s AS step, s // {STATES} AS state, 0.5 + coalesce(n, 0) AS c FROM range(2) a(l) CROSS JOIN range({STATES**2}) b(s) LEFT JOIN counted ON label = l AND step = s),
+logs AS (SELECT label, step, ln(c / sum(c) OVER (PARTITION BY label, state)) AS x FROM every),
+model AS (SELECT a.step AS step, printf('%.5f', b.x - a.x)::DOUBLE AS x FROM logs a JOIN logs b ON a.step = b.step AND a.label = 0 AND b.label = 1),
+ms AS ({" UNION ALL ".join(_sql_matches(k, p) for k, p in enumerate((_ASSIGN_SQL, ACCESS, HEX, "[A-Za-z0-9+/_=-]{20,}")))}),
+spans AS (SELECT r, kind, m, (sum(length(gap)) OVER upto + coalesce(sum(length(m)) OVER (PARTITION BY r, kind ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS lo FROM ms WINDOW upto AS (PARTITION BY r, kind ORDER BY i ROWS UNBOUNDED PRECEDING)),
+base AS (SELECT r, list_sort(list({{'lo': lo, 'kind': kind, 'hi': lo + length(m)}})) AS base FROM spans WHERE m IS NOT NULL AND kind < 3 AND (kind > 0 OR length(regexp_extract(m, '{_ASSIGN_SQL}', 2)) >= {ASSIGN_CHARS}) GROUP BY r),
+likely AS (SELECT r, lo, any_value(n) AS n FROM (SELECT r, lo, length(m) AS n, {_STEP_SQL} AS step FROM (SELECT r, lo, m, unnest(range(1, length(m))) AS k FROM spans WHERE kind = 3 AND m IS NOT NULL)) JOIN model USING (step) GROUP BY r, lo HAVING sum(x) > ln({PRIOR_ODDS})),
+found AS (SELECT d.doc_id AS doc_id, r, coalesce(base, []) AS base, coalesce(more, []) AS more FROM d LEFT JOIN base USING (r)
+  LEFT JOIN (SELECT r, list({{'lo': lo, 'kind': 3, 'hi': lo + n}} ORDER BY lo) AS more FROM likely GROUP BY r) USING (r)),
+kept AS (SELECT doc_id, base, list_filter(more, lambda x: list_reduce(list_transform(base, lambda y: [y.lo, y.hi]), lambda c, y: CASE WHEN y[1] <= c[1] THEN [greatest(c[1], y[2]), 0] ELSE c END, [x.lo, 0])[1] < x.hi) AS more FROM found),
+named AS (SELECT *, list_transform(base, lambda s: ['assign', 'access', 'hex'][s.kind + 1] || ':' || s.lo || ':' || s.hi) AS names, list_transform(list_sort(list_concat(base, more)), lambda s: ['assign', 'access', 'hex', 'markov'][s.kind + 1] || ':' || s.lo || ':' || s.hi) AS whole FROM kept)
+SELECT doc_id, {", ".join(f"len(list_filter(base, lambda s: s.kind = {k}))::BIGINT AS n_{KINDS[k]}" for k in range(3))}, sha256(array_to_string(names, ',')) AS base_sha256, array_to_string(whole, ',') AS spans, len(more)::BIGINT AS n_markov FROM named
+"""
+
 QUERIES = {"op9_secret_scans": op9_secret_scans}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op9_secret_scans": ORACLE}
