@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import langid, line_dedup, minhash, packing, secrets
-from corpusloom.llm.scratch import materialize
+from corpusloom.llm.scratch import drop_scratch, materialize
 
 MIN_SCORE = 0.4
 SIMILARITY = 0.8
@@ -76,8 +76,9 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 @_shielded
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(docs, threshold=SIMILARITY)
-    kept = materialize(found.filter("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    kept = materialize(found.filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "kept")
+    # Rows without a number join nothing, so that they don't meet under one key.
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 @_shielded
@@ -98,5 +99,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each but the last is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        last, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        if name != STAGES[0][0]:
+            drop_scratch(last)
     return STAGES[-1][1](spark, docs, sf_dir)
