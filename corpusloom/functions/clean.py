@@ -1,6 +1,7 @@
 """Text cleaning, Column to Column.
 
-Only Unicode composition leaves the JVM: Spark has no function for it.
+Only Unicode composition leaves the JVM, as Spark has no function for it, and of texts
+only those that hold a character which composition may change.
 """
 
 from __future__ import annotations
@@ -14,19 +15,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The patterns and marks of the two cleaners, here and in the functions below.
 CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 RULES = r"(?mdU)^[=\-*#~]{3,}\s*$"
 BULLETS = r"(?mdU)^[•●▪▸→►✓✔-]\s+"
 
 
+#: Unicode's white space.
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: Any character but those of which none is a mark, composes with another or has another composed form.
+COMPOSABLE = r"[^\x{0}-\x{2ff}\x{2002}-\x{20cf}\x{2100}-\x{2125}\x{212c}-\x{2328}\x{232b}-\x{2adb}]"
+
+
 @F.pandas_udf(T.StringType())
-def nfc(text: pd.Series) -> pd.Series:
-    """Composed Unicode; texts that are composed already pass as they are."""
-    return text.map(lambda t: t if t is None or t.isascii() or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
+def _composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def nfc(text: Column) -> Column:
+    """Composed Unicode."""
+    return F.coalesce(_composed(F.when(text.rlike(COMPOSABLE), text)), text)
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def drop_controls(text: Column) -> Column:
