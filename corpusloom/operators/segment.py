@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.clean import strip
 from corpusloom.functions.tokens import word_count, words
 
+# The patterns of headings.
+# The patterns of headings.
 SECTION = r"(?isU)\[SEKSI\s+(\d+)\]\s+(.*?)(?=\[SEKSI|\z)"
 SUBSECTION = r"(?mdU)^([A-Z]\.\s+.+)$"
 #: Names of parts without a heading.
@@ -15,26 +21,41 @@ WHOLE, GENERAL, LEAD = "Dokumen Stunting", "Umum", "Pendahuluan"
 CUT = "␞"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it:
+    expressions in lambdas are not shared otherwise."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it:
+    expressions in lambdas are not shared otherwise."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sections(text: Column) -> Column:
     """Array of (num, title, body). Text before the first heading is dropped; a body
     begins with its title line; without headings the whole text is section 0."""
-    found = F.zip_with(
-        F.regexp_extract_all(text, F.lit(SECTION), F.lit(1)),
-        F.regexp_extract_all(text, F.lit(SECTION), F.lit(2)),
-        lambda n, body: F.struct(n.alias("num"), strip(F.substring_index(strip(body), "\n", 1)).alias("title"), strip(body).alias("body")),
-    )
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(F.lit("0").alias("num"), F.lit(WHOLE).alias("title"), text.alias("body"))))
+
+    def named(n: Column, raw: Column) -> Column:
+        return let(strip(raw), lambda body: F.struct(n.alias("num"), strip(F.substring_index(body, "\n", 1)).alias("title"), body.alias("body")))
+
+    found = F.zip_with(F.regexp_extract_all(text, F.lit(SECTION), F.lit(1)), F.regexp_extract_all(text, F.lit(SECTION), F.lit(2)), named)
+    whole = F.array(F.struct(F.lit("0").alias("num"), F.lit(WHOLE).alias("title"), text.alias("body")))
+    return let(found, lambda all_of_them: F.when(F.size(all_of_them) > 0, all_of_them).otherwise(whole))
 
 
 def subsections(text: Column) -> Column:
     """Array of (label, text): parts under lettered headings, text before them as a
     lead, headings without text dropped; without headings one general part."""
-    marked = F.split(F.regexp_replace(text, SUBSECTION, f"{CUT}$1{CUT}"), CUT)
-    lead = strip(F.get(marked, F.lit(0)))
-    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size(marked) / 2).cast("int")), lambda i: F.struct(strip(F.get(marked, 2 * i - 1)).alias("label"), strip(F.get(marked, 2 * i)).alias("text")))
-    kept = F.filter(pairs, lambda p: p["label"].isNotNull() & (p["text"] != ""))
-    first = F.when(lead != "", F.array(F.struct(F.lit(LEAD).alias("label"), lead.alias("text")))).otherwise(F.array().cast("array<struct<label:string,text:string>>"))
-    return F.when(F.size(marked) < 2, F.array(F.struct(F.lit(GENERAL).alias("label"), text.alias("text")))).otherwise(F.concat(first, kept))
+
+    def parts(marked: Column) -> Column:
+        lead = F.array(F.struct(F.lit(LEAD).alias("label"), strip(F.get(marked, F.lit(0))).alias("text")))
+        pairs = F.transform(F.sequence(F.lit(1), F.floor(F.size(marked) / 2).cast("int")), lambda i: F.struct(strip(F.get(marked, 2 * i - 1)).alias("label"), strip(F.get(marked, 2 * i)).alias("text")))
+        kept = F.filter(F.concat(lead, pairs), lambda p: p["text"] != "")
+        return F.when(F.size(marked) < 2, F.array(F.struct(F.lit(GENERAL).alias("label"), text.alias("text")))).otherwise(kept)
+
+    return let(F.split(F.regexp_replace(text, SUBSECTION, f"{CUT}$1{CUT}"), CUT), parts)
 
 
 def paragraphs(text: Column, mark: str = "\n{2,}") -> Column:
@@ -52,20 +73,23 @@ def chunk_words(parts: Column, *, size: int = 200, overlap: int = 50, least: int
 
     A paragraph joins the buffer while both hold ``size`` words at most; else the buffer
     is emitted if it has ``least`` characters, and its last ``overlap`` words lead the
-    next. What is left at the end is emitted or lost by the same least length."""
-
-    def step(acc: Column, p: Column) -> Column:
-        buffer = acc["buffer"]
-        joined = F.when(buffer != "", F.concat(buffer, F.lit(joint), p)).otherwise(p)
-        fits = word_count(joined) <= size
-        tail = overlap_tail(buffer, overlap)
-        after = F.when(tail != "", strip(F.concat(tail, F.lit(joint), p))).otherwise(p)
-        full = ~fits & (F.length(buffer) >= least)
-        return F.struct(F.when(fits, joined).otherwise(after).alias("buffer"), F.when(full, F.concat(acc["out"], F.array(buffer))).otherwise(acc["out"]).alias("out"))
+    next. What is left at the end is emitted or lost by the same least length. Words are
+    counted once a paragraph, as the joint, which is white space, joins none."""
+    if joint.strip():
+        raise ValueError("paragraphs are joined by white space")
+
+    def step(acc: Column, x: Column) -> Column:
+        buffer, n = acc["buffer"], acc["n"]
+        joined = F.when(buffer != "", F.concat(buffer, F.lit(joint), x["p"])).otherwise(x["p"])
+        led = let(overlap_tail(buffer, overlap), lambda tail: F.when(tail != "", strip(F.concat(tail, F.lit(joint), x["p"]))).otherwise(x["p"]))
+        out = F.when(F.length(buffer) >= least, F.concat(acc["out"], F.array(buffer))).otherwise(acc["out"])
+        fits = F.struct(joined.alias("buffer"), (n + x["n"]).alias("n"), acc["out"].alias("out"))
+        full = F.struct(led.alias("buffer"), (F.least(n, F.lit(overlap)) + x["n"]).alias("n"), out.alias("out"))
+        return F.when(n + x["n"] <= size, fits).otherwise(full)
 
     return F.aggregate(
-        parts,
-        F.struct(F.lit("").alias("buffer"), F.array().cast("array<string>").alias("out")),
+        F.transform(parts, lambda p: F.struct(p.alias("p"), word_count(p).alias("n"))),
+        F.struct(F.lit("").alias("buffer"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out")),
         step,
         lambda acc: F.when(F.length(acc["buffer"]) >= least, F.concat(acc["out"], F.array(acc["buffer"]))).otherwise(acc["out"]),
     )
@@ -100,13 +124,20 @@ def chunk_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """Chunks of sections and subsections, numbered within their document.
 
     Overlap never crosses a subsection; offsets are those of the first place where a
-    chunk's first 50 characters stand in the whole text, or 0."""
-    source = F.col(source_col) if source_col else F.lit("")
-    rows = docs.select(F.col(id_col), F.col(text_col).alias("__text"), source.alias("source_file"), F.posexplode(sections(F.col(text_col))).alias("__s", "__section"))
-    rows = rows.select(id_col, "__text", "source_file", "__s", F.concat(F.lit("SEKSI "), F.col("__section.num"), F.lit(": "), F.col("__section.title")).alias("section"), F.posexplode(subsections(F.col("__section.body"))).alias("__u", "__part"))
-    chunks = chunk_words(paragraphs(F.col("__part.text")), size=size, overlap=overlap, least=least)
-    rows = rows.select(id_col, "__text", "source_file", "__s", "__u", "section", F.col("__part.label").alias("subsection"), F.posexplode(chunks).alias("__c", "__chunk"))
-    start = F.greatest(F.lit(0), F.expr("instr(__text, substring(__chunk, 1, 50))") - 1)
-    rows = rows.select(id_col, "source_file", "section", "subsection", "__s", "__u", "__c", strip(F.col("__chunk")).alias("text"), start.alias("char_start"), (start + F.length("__chunk")).alias("char_end"), word_count(F.col("__chunk")).alias("token_count"))
-    number = F.expr(f"row_number() over (partition by `{id_col}` order by __s, __u, __c)")
-    return rows.withColumn("chunk_no", number).withColumn("chunk_id", F.concat(F.lit("chunk_"), F.when(F.col("chunk_no") < 10000, F.lpad(F.col("chunk_no").cast("string"), 4, "0")).otherwise(F.col("chunk_no").cast("string")))).drop("__s", "__u", "__c")
+    chunk's first 50 characters stand in the whole text, or 0. All chunks of a document
+    are made, and numbered, in its own row, so nothing is exchanged."""
+    source, text = F.col(source_col) if source_col else F.lit(""), F.col(text_col)
+
+    def chunk(heading: Column, label: Column, raw: Column) -> Column:
+        start = F.greatest(F.lit(0), F.instr(text, F.substring(raw, 1, 50)) - 1)
+        return let(start, lambda at: F.struct(heading.alias("section"), label.alias("subsection"), strip(raw).alias("text"), at.alias("char_start"), (at + F.length(raw)).alias("char_end"), word_count(raw).alias("token_count")))
+
+    def section(s: Column) -> Column:
+        heading = F.concat(F.lit("SEKSI "), s["num"], F.lit(": "), s["title"])
+        return F.transform(subsections(s["body"]), lambda u: F.transform(chunk_words(paragraphs(u["text"]), size=size, overlap=overlap, least=least), lambda c: chunk(heading, u["label"], c)))
+
+    rows = docs.select(F.col(id_col), source.alias("source_file"), F.posexplode(F.flatten(F.flatten(F.transform(sections(text), section)))).alias("__no", "__c"))
+    no = (F.col("__no") + 1).alias("chunk_no")
+    number = (F.col("__no") + 1).cast("string")
+    chunk_id = F.concat(F.lit("chunk_"), F.when(F.length(number) < 4, F.lpad(number, 4, "0")).otherwise(number)).alias("chunk_id")
+    return rows.select(id_col, "source_file", *[F.col("__c")[c].alias(c) for c in ("section", "subsection", "text", "char_start", "char_end", "token_count")], no, chunk_id)
