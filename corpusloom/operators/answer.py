@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import cache
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,12 +47,19 @@ def route(n_relevant: Column, outside: Column) -> Column:
     return F.when(n_relevant > 0, MODES[2]).when(outside, MODES[0]).otherwise(MODES[1])
 
 
-def build_prompt(mode: Column, query: Column, context: Column) -> Column:
+#: Our own wording; a caller may give another.
+SYSTEM = "You answer questions on one subject from the passages that come with them. Keep to what they say, name the source of each statement, and say so when they are not enough."
+
+
+def build_prompt(mode: Column, query: Column, context: Column, *, system: str = "") -> Column:
+    """The prompt of a question by its mode, behind the ``system`` prompt, if there is one."""
     asked = F.concat(F.lit("\nQuestion: "), query)
-    return (
+    lead = F.lit(f"{system}\n\n" if system else "")
+    return F.concat(
+        lead,
         F.when(mode == MODES[0], F.concat(F.lit(f"[MODE: {MODES[0]}]"), asked, F.lit("\nSay kindly that the question lies outside the subject, and offer to help within it.")))
         .when(mode == MODES[1], F.concat(F.lit(f"[MODE: {MODES[1]}]"), asked, F.lit("\nThe corpus holds nothing on this. Answer from general knowledge and mark it as such.")))
-        .otherwise(F.concat(F.lit(f"[MODE: {MODES[2]}]\n"), F.coalesce(context, F.lit("")), asked, F.lit("\nAnswer from the context and name the source of each statement.")))
+        .otherwise(F.concat(F.lit(f"[MODE: {MODES[2]}]\n"), F.coalesce(context, F.lit("")), asked, F.lit("\nAnswer from the context and name the source of each statement."))),
     )
 
 
@@ -65,7 +73,26 @@ class ExtractiveGenerator:
     """Stands in for a language model: the first lines of the context, or the mode."""
 
     def generate(self, prompts: list[str]) -> list[str]:
-        return [p.split("---\n", 1)[1].split("\n", 1)[0] if "---\n" in p else p.split("\n", 1)[0] for p in prompts]
+        return [p.split("---\n", 1)[1].split("\n", 1)[0] if "---\n" in p else p[max(0, p.find("[MODE:")) :].split("\n", 1)[0] for p in prompts]
+
+
+class ChatGenerator:
+    """A chat model behind a client that ``connect`` makes on the executors, once to a
+    Python worker: ``client(messages, model=, temperature=, max_tokens=)`` gives a text.
+    Keys belong in the configuration that ``connect`` reads, never in here."""
+
+    def __init__(self, connect, model: str, *, system: str = SYSTEM, temperature: float = 0.5, max_tokens: int = 4096) -> None:
+        self.connect, self.model, self.system = connect, model, system
+        self.options = {"temperature": temperature, "max_tokens": max_tokens}
+
+    def generate(self, prompts: list[str]) -> list[str]:
+        client = _client(self.connect)
+        return [client([{"role": "system", "content": self.system}, {"role": "user", "content": p}], model=self.model, **self.options) for p in prompts]
+
+
+@cache
+def _client(connect):
+    return connect()
 
 
 def generate(prompts: DataFrame, generator: Generator | None, prompt_col: str = "prompt", batch_size: int = 32) -> DataFrame:
@@ -73,20 +100,24 @@ def generate(prompts: DataFrame, generator: Generator | None, prompt_col: str =
     response; the job goes on."""
     fields = [f for f in prompts.schema.fields if f.name not in ("response", "ok")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [*(f.name for f in fields), "response", "ok"]
+
+    def answers(part: list[str]) -> list[tuple[str, bool]]:
+        try:
+            if generator is None:
+                raise RuntimeError("the engine is not set up")
+            return [(text, True) for text in generator.generate(part)]
+        except Exception as e:  # noqa: BLE001  one row's trouble is that row's answer
+            if len(part) == 1 or generator is None:
+                return [(f"No answer: {e}", False)] * len(part)
+            return answers(part[: len(part) // 2]) + answers(part[len(part) // 2 :])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, fine = [], []
-            asked = list(batch[prompt_col])
-            for at in range(0, len(asked), batch_size):
-                part = asked[at : at + batch_size]
-                try:
-                    if generator is None:
-                        raise RuntimeError("the engine is not set up")
-                    texts += generator.generate(part)
-                    fine += [True] * len(part)
-                except Exception as e:  # noqa: BLE001  one row's trouble is that row's answer
-                    texts += [f"No answer: {e}"] * len(part)
-                    fine += [False] * len(part)
-            yield batch.assign(response=texts, ok=fine)
-
-    return prompts.mapInPandas(run, T.StructType([*fields, T.StructField("response", T.StringType()), T.StructField("ok", T.BooleanType())]))
+            asked = batch.column(at_prompt).to_pylist()
+            found = [x for at in range(0, len(asked), batch_size) for x in answers(asked[at : at + batch_size])]
+            texts, fine = [t for t, _ in found], [ok for _, ok in found]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(fine, pa.bool_())], names=names)
+
+    at_prompt = names.index(prompt_col)
+    return prompts.select(*[f"`{f.name}`" for f in fields]).mapInArrow(run, T.StructType([*fields, T.StructField("response", T.StringType()), T.StructField("ok", T.BooleanType())]))
