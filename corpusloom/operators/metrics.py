@@ -11,14 +11,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from corpusloom.functions import vectors
+from corpusloom.functions.frozen import frozen
 from corpusloom.functions.tokens import word_count, word_set
 from corpusloom.functions.vectors import norm
 
 PAIR_BLOCK = 4096
+#: Of partial sums that a task holds at once.
+MOMENT_BYTES = 64 << 20
 #: Span of ids of the items that are listed at once behind a query's matches.
 ID_BLOCK = 4096
 #: Levels of a badge; metric, good from, fair from.
@@ -44,13 +51,30 @@ def token_stats(df: DataFrame, text_col: str = "text", short: int = 30) -> DataF
     return n.agg(F.min("n").alias("tokens_min"), F.max("n").alias("tokens_max"), F.avg("n").alias("tokens_mean"), F.stddev_pop("n").alias("tokens_std"), F.count_if(F.col("n") < short).alias("short_chunks"))
 
 
-def _moments(df: DataFrame, vector_col: str, group_col: str | None) -> DataFrame:
-    """For each group the number, the sum, the Gram matrix and the sums of the second
-    and fourth powers of norms; partial sums are one row a task and group."""
+def _compared(df: DataFrame, vector_col: str) -> tuple[DataFrame, int]:
+    """The rows whose vectors are not null nor empty and hold finite numbers alone, and
+    their length; vectors of several lengths are an error."""
+    some = df.filter(vectors.usable(F.col(vector_col)))
+    n = F.size(vector_col)
+    found = some.agg(F.min(n).alias("least"), F.max(n).alias("most")).first()
+    if found["least"] != found["most"]:
+        raise ValueError(f"vectors of several lengths, {found['least']} to {found['most']}")
+    return some, found["most"] or 0
+
+
+def _moments(df: DataFrame, vector_col: str, group_col: str | None, dim: int) -> DataFrame:
+    """(g, i, x): for each group, by place, the number of vectors, the sums of the second
+    and fourth powers of their norms, the number of those not zero, their sum, and their
+    Gram matrix.
+
+    A task gives a partial row for each group, and gives away those it holds when they
+    pass ``MOMENT_BYTES``, so that the number of groups doesn't matter."""
     group = F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")
+    most = max(1, MOMENT_BYTES // (8 * (dim + 1) ** 2))
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
+        given = lambda: pd.DataFrame({"g": list(held), "m": [m.tolist() for m in held.values()]})
         for batch in batches:
             for g, part in batch.groupby("g", dropna=False):
                 x = np.stack(part["v"]).astype(np.float64)
@@ -58,128 +82,128 @@ def _moments(df: DataFrame, vector_col: str, group_col: str | None) -> DataFrame
                 new = np.concatenate([[len(x), n2.sum(), (n2 * n2).sum(), (n2 > 0).sum()], x.sum(axis=0), (x.T @ x).ravel()])
                 key = None if g is None or g != g else g
                 held[key] = held.get(key, 0) + new
+                if len(held) > most:
+                    yield given()
+                    held.clear()
         if held:
-            yield pd.DataFrame({"g": list(held), "m": [m.tolist() for m in held.values()]})
+            yield given()
+
+    rows = df.select(group.alias("g"), F.col(vector_col).alias("v")).mapInPandas(partial, "g string, m array<double>")
+    return rows.select("g", F.posexplode("m").alias("i", "x")).groupBy("g", "i").agg(F.sum("x").alias("x"))
 
-    rows = df.filter(F.col(vector_col).isNotNull()).select(group.alias("g"), F.col(vector_col).alias("v")).mapInPandas(partial, "g string, m array<double>")
-    each = rows.select("g", F.posexplode("m").alias("i", "x")).groupBy("g", "i").agg(F.sum("x").alias("x"))
-    return each.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
 
+def _pair_sums(moments: DataFrame, dim: int, *by: str) -> DataFrame:
+    """(by, n, some, s, q) of moments: vectors, those not zero, and over pairs i < j the sum
+    of inner products and that of their squares."""
+    i, x = F.col("i"), F.col("x")
+    at = lambda k: F.max(F.when(i == k, x))
+    of_sum, of_gram = (F.coalesce(F.sum(F.when(c, x * x)), F.lit(0.0)) for c in ((i >= 4) & (i < 4 + dim), i >= 4 + dim))
+    return moments.groupBy(*by).agg(at(0).alias("n"), at(3).alias("some"), ((of_sum - at(1)) / 2).alias("s"), ((of_gram - at(2)) / 2).alias("q"))
 
-def _pair_sums(m: np.ndarray, dim: int) -> tuple[float, float, float]:
-    """(pairs, sum of inner products, sum of their squares) of i < j."""
-    n, n2, n4, _ = m[:4]
-    s, g = m[4 : 4 + dim], m[4 + dim :]
-    return n * (n - 1) / 2, (float(s @ s) - n2) / 2, (float(g @ g) - n4) / 2
+
+def _spread(pairs: Column, s: Column, q: Column) -> tuple[Column, Column]:
+    """(mean, population deviation), null without pairs."""
+    some = F.when(pairs > 0.5, pairs)
+    mean = s / some
+    return mean, F.when(some.isNotNull(), F.sqrt(F.greatest(q / some - mean * mean, F.lit(0.0))))
 
 
 def coherence(df: DataFrame, *, vector_col: str = "embedding", section_col: str = "label") -> DataFrame:
     """Cosine within and across sections, of unit vectors: means, population deviations
-    and the ratio of the means; without pairs 0. What is gathered is a row a section."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, intra = 0, np.zeros(3)
-        for batch in batches:
-            for m in batch["m"]:
-                m = np.asarray(m)
-                dim = round((-1 + (1 + 4 * (len(m) - 4)) ** 0.5) / 2)
-                total = total + m
-                intra += _pair_sums(m, dim)
-        if isinstance(total, int):
-            return
-        every = np.array(_pair_sums(total, dim))
-        out = []
-        for pairs, s, q in (intra, every - intra, every):
-            mean = s / pairs if pairs > 0.5 else 0.0
-            out += [mean, max(0.0, q / pairs - mean * mean) ** 0.5 if pairs > 0.5 else 0.0]
-        yield pd.DataFrame([[*out[:4], out[0] / out[2] if out[2] else 0.0, out[4]]], columns=names)
-
-    names = ["intra_mean", "intra_std", "inter_mean", "inter_std", "separation_ratio", "cosine_mean"]
-    return _moments(df, vector_col, section_col).coalesce(1).mapInPandas(run, ", ".join(f"{n} double" for n in names))
+    and the ratio of the means; without pairs 0, and no row without vectors. Vectors
+    that are null or hold no finite numbers alone are left out."""
+    some, dim = _compared(df, vector_col)
+    each = _moments(some, vector_col, section_col, dim)
+    total = each.groupBy("i").agg(F.sum("x").alias("x"))
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    parts = _pair_sums(each, dim, "g").select(F.lit(True).alias("within"), pairs.alias("p"), "s", "q")
+    parts = parts.union(_pair_sums(total, dim).filter("n > 0").select(F.lit(False), pairs, "s", "q"))
+    one = parts.agg(*[F.coalesce(F.sum(F.when(F.col("within") == w, F.col(c))), F.lit(0.0)).alias(f"{c}_{n}") for w, n in ((True, "in"), (False, "all")) for c in ("p", "s", "q")], F.count_if(~F.col("within")).alias("k")).filter("k > 0")
+    sums = {"intra": [F.col(f"{c}_in") for c in "psq"], "inter": [F.col(f"{c}_all") - F.col(f"{c}_in") for c in "psq"], "cosine": [F.col(f"{c}_all") for c in "psq"]}
+    found = {f"{name}_{what}": F.coalesce(value, F.lit(0.0)) for name, three in sums.items() for what, value in zip(("mean", "std"), _spread(*three), strict=True)}
+    ratio = F.when(F.col("inter_mean") != 0, F.col("intra_mean") / F.col("inter_mean")).otherwise(0.0)
+    return one.select(*[c.alias(n) for n, c in found.items()]).select("intra_mean", "intra_std", "inter_mean", "inter_std", ratio.alias("separation_ratio"), "cosine_mean")
 
 
 def section_coherence(df: DataFrame, *, vector_col: str = "embedding", section_col: str = "label") -> DataFrame:
     """(section, n_chunks, avg_sim, std_sim); a section of one has nulls. Pairs with a
-    zero vector, whose similarity is 0, don't count."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for g, m in zip(batch["g"], batch["m"], strict=True):
-                m = np.asarray(m)
-                dim = round((-1 + (1 + 4 * (len(m) - 4)) ** 0.5) / 2)
-                some = m[3]
-                _, s, q = _pair_sums(m, dim)
-                pairs = some * (some - 1) / 2
-                mean = s / pairs if pairs else None
-                rows.append((g, int(m[0]), mean, max(0.0, q / pairs - mean * mean) ** 0.5 if pairs else None))
-            yield pd.DataFrame(rows, columns=["section", "n_chunks", "avg_sim", "std_sim"])
-
-    return _moments(df, vector_col, section_col).mapInPandas(run, "section string, n_chunks long, avg_sim double, std_sim double")
+    zero vector, whose similarity is 0, don't count, nor do vectors that are null or
+    hold no finite numbers alone."""
+    some, dim = _compared(df, vector_col)
+    sums = _pair_sums(_moments(some, vector_col, section_col, dim), dim, "g")
+    mean, deviation = _spread(F.col("some") * (F.col("some") - 1) / 2, F.col("s"), F.col("q"))
+    return sums.select(F.col("g").alias("section"), F.col("n").cast("long").alias("n_chunks"), mean.alias("avg_sim"), deviation.alias("std_sim"))
 
 
 def _blocks(df: DataFrame, id_col: str, vector_col: str, block: int) -> DataFrame:
-    """Rows dealt to all pairs of blocks of bounded size that hold them."""
-    n = max(1, -(-df.count() // block))
-    rows = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
-    return rows.select("id", "v", "at", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"))
-
-
-def _pairs_of(pdf: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, ids, inner products, squared distances) of the pairs of a block pair, row by row group."""
-    pdf = pdf.sort_values("id")
-    lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-    a, b = pdf[pdf["at"] == lo], pdf[pdf["at"] == hi]
-    if not len(a) or not len(b):
-        return
-    x, y = np.stack(a["v"]).astype(np.float64), np.stack(b["v"]).astype(np.float64)
-    i, j = a["id"].to_numpy(), b["id"].to_numpy()
-    nx, ny = (x * x).sum(axis=1), (y * y).sum(axis=1)
-    for at in range(0, len(x), 256):
-        s = x[at : at + 256] @ y.T
-        d = np.maximum(nx[at : at + 256, None] + ny - 2 * s, 0.0)
-        p, q = np.nonzero(np.arange(at, at + len(s))[:, None] < np.arange(len(y))) if lo == hi else np.nonzero(np.ones(s.shape, bool))
-        yield i[at + p], j[q], s[p, q], d[p, q]
+    """Rows that can be compared, dealt to all pairs of blocks of bounded size that hold them."""
+    some = df.filter(F.col(id_col).isNotNull() & vectors.usable(F.col(vector_col)))
+    n = max(1, -(-some.count() // block))
+    rows = some.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), F.size(vector_col).alias("dim"), F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("at"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
+    return rows.select("id", "v", "dim", "at", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"))
+
+
+def _pairs_of(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, row, inner products, squared distances) of the pairs of a block pair, some
+    rows at a time; the first row has the lesser id."""
+    at, lo, hi = table["at"].to_numpy(), table["lo"][0].as_py(), table["hi"][0].as_py()
+    a, b = np.flatnonzero(at == lo), np.flatnonzero(at == hi)
+    v = pc.list_flatten(table["v"].combine_chunks()).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(table), -1)
+    n2 = (v * v).sum(axis=1)
+    for k in range(0, len(a), 256):
+        some = a[k : k + 256]
+        s = v[some] @ v[b].T
+        d = np.maximum(n2[some, None] + n2[b] - 2 * s, 0.0)
+        p, q = np.nonzero(some[:, None] < b if lo == hi else np.ones(s.shape, bool))
+        yield np.minimum(some[p], b[q]), np.maximum(some[p], b[q]), s[p, q], d[p, q]
 
 
 def pair_extremes(df: DataFrame, *, id_col: str, vector_col: str = "embedding", block: int = PAIR_BLOCK) -> DataFrame:
     """One row: n_pairs, uniformity_loss (null without pairs) and cosine_max (never under
-    0, as a vector's own place in the matrix counts as 0)."""
+    0, as a vector's own place in the matrix counts as 0), of unit vectors.
+
+    The loss is a sum over all pairs that no sum over rows gives, so each is computed, in
+    blocks. A null id, and a vector that is null, empty or holds a null or a non-finite
+    element, take no part; vectors pair with those of their own length."""
+    schema = pa.schema([("n", pa.int64()), ("e", pa.float64()), ("m", pa.float64())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(table: pa.Table) -> pa.Table:
         n, total, top = 0, 0.0, 0.0
-        for _, _, s, d in _pairs_of(pdf):
+        for _, _, s, d in _pairs_of(table.sort_by("id")):
             if len(s):
                 n, total, top = n + len(s), total + float(np.exp(-2 * d).sum()), max(top, float(s.max()))
-        return pd.DataFrame({"n": [n], "e": [total], "m": [top]})
+        return pa.table([[n], [total], [top]], schema=schema)
 
-    parts = _blocks(df, id_col, vector_col, block).groupBy("lo", "hi").applyInPandas(run, "n long, e double, m double")
-    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.when(F.sum("n") > 0, F.ln(F.sum("e") / F.sum("n"))).alias("uniformity_loss"), F.greatest(F.max("m"), F.lit(0.0)).alias("cosine_max"))
+    parts = _blocks(df, id_col, vector_col, block).groupBy("lo", "hi", "dim").applyInArrow(run, "n long, e double, m double")
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.when(F.sum("n") > 0, F.ln(F.sum("e") / F.sum("n"))).alias("uniformity_loss"), F.coalesce(F.greatest(F.max("m"), F.lit(0.0)), F.lit(0.0)).alias("cosine_max"))
 
 
 def near_duplicate_pairs(df: DataFrame, threshold: float = 0.95, *, id_col: str, vector_col: str = "embedding", block: int = PAIR_BLOCK) -> DataFrame:
-    """(a, b, cosine) of unit vectors, a < b."""
-    kind = df.schema[id_col].dataType
+    """(a, b, cosine) of unit vectors, a < b, whatever the threshold, so all blocks meet.
+    What takes no part in ``pair_extremes`` takes none here."""
+    schema = T.StructType([T.StructField("a", df.schema[id_col].dataType), T.StructField("b", df.schema[id_col].dataType), T.StructField("cosine", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [(np.minimum(i, j)[s >= threshold], np.maximum(i, j)[s >= threshold], s[s >= threshold]) for i, j, s, _ in _pairs_of(pdf)]
-        if not out:
-            return pd.DataFrame()
-        a, b, s = (np.concatenate(z) for z in zip(*out, strict=True))
-        return pd.DataFrame({"a": a, "b": b, "cosine": s}) if len(a) else pd.DataFrame()
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("id")
+        out = [(i[s >= threshold], j[s >= threshold], s[s >= threshold]) for i, j, s, _ in _pairs_of(table)]
+        a, b, s = (np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
+        ids = table["id"].combine_chunks()
+        return pa.table([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(s.astype(np.float64))], schema=arrow)
 
-    return _blocks(df, id_col, vector_col, block).groupBy("lo", "hi").applyInPandas(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("cosine", T.DoubleType())]))
+    return _blocks(df, id_col, vector_col, block).groupBy("lo", "hi", "dim").applyInArrow(run, schema)
 
 
 def pca_geometry(df: DataFrame, vector_col: str = "embedding") -> DataFrame:
     """Explained variance: components for 80, 90 and 95 %, isotropy, first five shares
-    and compression at 90 %, over min(rows, length) components."""
+    and compression at 90 %, over min(rows, length) components. Vectors that are null or
+    hold no finite numbers alone are left out; no row without vectors."""
+    some, dim = _compared(df, vector_col)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for m in batch["m"]:
                 m = np.asarray(m)
-                dim = round((-1 + (1 + 4 * (len(m) - 4)) ** 0.5) / 2)
                 n, s, g = m[0], m[4 : 4 + dim], m[4 + dim :].reshape(dim, dim)
                 values = np.linalg.eigvalsh((g - np.outer(s, s) / n) / max(1.0, n - 1))[::-1][: int(min(n, dim))]
                 values = np.maximum(values, 0.0)
@@ -188,7 +212,8 @@ def pca_geometry(df: DataFrame, vector_col: str = "embedding") -> DataFrame:
                 at = [int((run_sum < t - 1e-12).sum()) + 1 for t in (0.8, 0.9, 0.95)]
                 yield pd.DataFrame([[dim, *at, float(values[-1] / values[0]) if values[0] > 0 else 0.0, share[:5].tolist(), at[1] / dim]], columns=["dim", "dims_80", "dims_90", "dims_95", "isotropy", "top5", "compression"])
 
-    return _moments(df, vector_col, None).mapInPandas(run, "dim int, dims_80 int, dims_90 int, dims_95 int, isotropy double, top5 array<double>, compression double")
+    whole = _moments(some, vector_col, None, dim).groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
+    return whole.mapInPandas(run, "dim int, dims_80 int, dims_90 int, dims_95 int, isotropy double, top5 array<double>, compression double")
 
 
 def lexical_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
@@ -204,11 +229,22 @@ def lexical_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
         side = items.select("item_id", F.explode(words).alias("w"), F.lit(weight).alias("weight"))
         terms = side if terms is None else terms.unionByName(side)
     raw = terms.join(q, "w").groupBy("query_id", "item_id").agg(F.sum("weight").alias("raw"))
-    return raw.select("query_id", "item_id", (F.col("raw") / F.max("raw").over(Window.partitionBy("query_id"))).alias("score"))
+    best = raw.groupBy("query_id").agg(F.max("raw").alias("best"))
+    return raw.join(best, "query_id").select("query_id", "item_id", (F.col("raw") / F.col("best")).alias("score"))
 
 
 def rank(scores: DataFrame, *, tie: str = "item_id") -> DataFrame:
-    return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(tie))))
+    """``scores`` with ``rank``, from 1 for each query, by score and then the lesser item.
+
+    One range exchange over all queries at once, so that the items of one query, which may
+    be the whole corpus, are sorted in many tasks; each adds what the tasks before it hold."""
+    by = ["query_id", F.desc("score"), F.asc(tie)]
+    placed = frozen(scores.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
+    task = F.shiftright("__at", 33)
+    spans = placed.groupBy("query_id", task.alias("__task")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("query_id").orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = spans.select("query_id", "__task", (before + 1 - F.col("__first")).alias("__shift"))
+    return placed.withColumn("__task", task).join(spans, ["query_id", "__task"]).withColumn("rank", F.col("__at") + F.col("__shift")).drop("__at", "__task", "__shift")
 
 
 def rank_all(scores: DataFrame, queries: DataFrame, items: DataFrame, *, block: int = ID_BLOCK) -> DataFrame:

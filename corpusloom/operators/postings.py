@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.frozen import frozen
+
+#: Documents, by span of integral id, to a list of an index block.
+ID_SPAN = 100_000
+
 
 def add_documents(index: DataFrame, new: DataFrame) -> DataFrame:
     """Documents are lower-cased when they enter."""
@@ -14,8 +18,7 @@ def add_documents(index: DataFrame, new: DataFrame) -> DataFrame:
 
 def list_documents(docs: DataFrame, by: str = "doc_id") -> DataFrame:
     """Documents numbered from 1: ranks in range partitions plus the rows before them."""
-    ranged = docs.repartitionByRange(by).sortWithinPartitions(by).withColumn("__at", F.monotonically_increasing_id())
-    ranged = ranged.persist(StorageLevel.MEMORY_AND_DISK)  # both uses must see the same ranges
+    ranged = frozen(docs.repartitionByRange(by).sortWithinPartitions(by).withColumn("__at", F.monotonically_increasing_id()))
     starts = ranged.groupBy(F.shiftright("__at", 33).alias("__p")).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
     starts = starts.withColumn("__before", F.expr("coalesce(sum(__n) over (order by __p rows between unbounded preceding and 1 preceding), 0)"))
     return ranged.withColumn("__p", F.shiftright("__at", 33)).join(F.broadcast(starts), "__p").withColumn("no", (F.col("__at") - F.col("__first") + F.col("__before") + 1).cast("long")).drop("__p", "__at", "__n", "__first", "__before")
@@ -30,10 +33,19 @@ def sorted_postings(docs: DataFrame) -> DataFrame:
     return postings(docs).orderBy("term", "doc_id")
 
 
+def index_blocks(docs: DataFrame, span: int = ID_SPAN) -> DataFrame:
+    """(term, block, doc_ids): sorted ids (integral) of the documents with a term, a list for
+    each span of ids, so that a term in all documents is many lists of bounded length."""
+    terms = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), " ", -1))).alias("term"), F.floor(F.col("doc_id") / span).alias("block"), "doc_id")
+    return terms.groupBy("term", "block").agg(F.sort_array(F.collect_set("doc_id")).alias("doc_ids"))
+
+
 def inverted_index(docs: DataFrame) -> DataFrame:
-    """(term, doc_ids). A term's list is as long as its document count: for corpora
-    beyond a task's memory use ``postings`` and joins, as ``boolean_and`` does."""
-    return docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), " ", -1))).alias("term"), "doc_id").groupBy("term").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
+    """(term, doc_ids), the blocks of each term joined. Such a list is as long as its term's
+    document count: for corpora beyond a task's memory use ``index_blocks``, or look terms
+    up as ``boolean_and`` does."""
+    blocks = F.array_sort(F.collect_list(F.struct("block", "doc_ids")))
+    return index_blocks(docs).groupBy("term").agg(F.flatten(F.transform(blocks, lambda b: b["doc_ids"])).alias("doc_ids"))
 
 
 def intersect(a: Column, b: Column) -> Column:
