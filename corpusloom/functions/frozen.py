@@ -3,20 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def frozen(df: DataFrame) -> DataFrame:
-    """``df``, written once to the folder of ``spark.checkpoint.dir``, so that all that reads
-    it sees the same partitions. Where it is unset and Spark is local, to one of our own."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; where it is unset and Spark is local,
+    one of our own."""
     context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="corpusloom-")
     if not context.getCheckpointDir():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            root = tempfile.mkdtemp(prefix="corpusloom-")
         context.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/corpusloom-{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def frozen(df: DataFrame) -> DataFrame:
+    """``df``, written once to the shared folder, so that all that reads it sees the same
+    partitions, and a lost executor takes nothing with it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

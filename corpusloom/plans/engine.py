@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,17 @@ def ingest(docs: DataFrame, *, id_col: str = "doc_id", source_col: str | None =
     return enrich.union_chunks(level(chunks), level(refs))
 
 
+_SHARED: dict = {}
+
+
+def shared_engine(spark: SparkSession, name: str, make: Callable[[], Engine]) -> Engine:
+    """The engine of this name for the session, made when it is first asked for."""
+    key = (id(spark), name)
+    if key not in _SHARED:
+        _SHARED[key] = make()
+    return _SHARED[key]
+
+
 @dataclass
 class Engine:
     """What answering needs: vectors of chunks, a model, and a generator."""
@@ -33,6 +45,7 @@ class Engine:
     chunks: DataFrame
     embedder: embed.Embedder
     generator: answer.Generator | None = None
+    system: str = ""
     lexicons: dict = field(default_factory=lambda: {"synonyms": lexicon.QUERY_SYNONYMS, "stopwords": lexicon.STOPWORDS, "out": lexicon.OUT_OF_SCOPE, "in": lexicon.IN_SCOPE})
 
     @classmethod
@@ -47,6 +60,11 @@ class Engine:
     def save(self, path: str) -> None:
         corpus.write_vectors(self.chunks, path, model=self.embedder.name)
 
+    def written(self, path: str) -> Engine:
+        """This engine over its saved index: texts are embedded once, not by each reader."""
+        self.save(path)
+        return replace(self, chunks=self.chunks.sparkSession.read.parquet(path))
+
     def retrieve(self, queries: DataFrame, *, k: int = search.TOP_K, least: float = search.MIN_SCORE, wanted=()) -> DataFrame:
         """Queries (query_id, query) are embedded as expanded and reranked as asked."""
         vectors = embed.embed(queries, self.embedder, search.expand_query(F.col("query"), self.lexicons["synonyms"]))
@@ -60,5 +78,5 @@ class Engine:
         counts = relevant.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
         full = queries.select("query_id", "query").join(counts, "query_id", "left").join(context, "query_id", "left")
         mode = answer.route(F.coalesce("n_relevant", F.lit(0)), answer.out_of_scope(F.col("query"), self.lexicons["out"], self.lexicons["in"]))
-        full = full.withColumn("mode", mode).withColumn("prompt", answer.build_prompt(F.col("mode"), F.col("query"), F.col("context")))
+        full = full.withColumn("mode", mode).withColumn("prompt", answer.build_prompt(F.col("mode"), F.col("query"), F.col("context"), system=self.system))
         return answer.generate(full.select("query_id", "query", "mode", "prompt"), self.generator)

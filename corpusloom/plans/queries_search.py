@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from corpusloom import lexicon
 from corpusloom.functions import embed, vectors
+from corpusloom.functions.frozen import scratch_folder
 from corpusloom.operators import answer, metrics, present, search, session
 
 from .catalog import register, table
@@ -128,8 +129,8 @@ def keyword_filter(spark, d):
 _SYNONYMS = {**lexicon.QUERY_SYNONYMS, "the": ["and", "of", "to"], "der": ["die", "und"]}
 
 
-def _expand_sql() -> str:
-    parts = [f"CASE WHEN (contains(low, {quote(k)}) OR {' OR '.join(f'contains(low, {quote(t)})' for t in v)}) AND NOT contains(low, {quote(t)}) THEN {quote(t)} END" for k, v in _SYNONYMS.items() for t in v]
+def _expand_sql(synonyms=_SYNONYMS) -> str:
+    parts = [f"CASE WHEN (contains(low, {quote(k)}) OR {' OR '.join(f'contains(low, {quote(t)})' for t in v)}) AND NOT contains(low, {quote(t)}) THEN {quote(t)} END" for k, v in synonyms.items() for t in v]
     return f"SELECT item_id, text || CASE WHEN len(l) > 0 THEN ' ' || array_to_string(l, ' ') ELSE '' END AS expanded FROM (SELECT *, list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL) AS l FROM (SELECT *, lower(text) AS low FROM benchmark))"
 
 
@@ -145,8 +146,8 @@ def _bag(t: str) -> str:
 _STOP = "[" + ", ".join(map(quote, lexicon.STOPWORDS + ["the", "of"])) + "]"
 
 
-def _minus(t: str) -> str:
-    return f"list_filter({t}, lambda w: NOT list_contains({_STOP}, w))"
+def _minus(t: str, stop: str = _STOP) -> str:
+    return f"list_filter({t}, lambda w: NOT list_contains({stop}, w))"
 
 
 _RERANK_SQL = f"""WITH q AS (SELECT item_id, {_minus(_bag('text'))} AS q FROM benchmark),
@@ -250,7 +251,7 @@ def lexical_rank(spark, d):
     return _round(_lexical(spark, d), "score")
 
 
-def _metric_sql(ks=(1, 3, 5)) -> str:
+def _metric_sql(ks=(1, 3, 5), hit="(item_id + query_id) % 3 = 0") -> str:
     out = ["coalesce(1.0 / min(rank) FILTER (hit), 0) AS \"MRR\""]
     for k in ks:
         hits = f"count(*) FILTER (hit AND rank <= {k})"
@@ -258,7 +259,7 @@ def _metric_sql(ks=(1, 3, 5)) -> str:
         out += [f'h{k} / {k}.0 AS "P@{k}"', f'h{k} / 2.0 AS "R@{k}"', f'CASE WHEN h{k} > 0 THEN d{k} / {ideal} ELSE 0 END AS "NDCG@{k}"']
     inner = ", ".join(f"count(*) FILTER (hit AND rank <= {k}) AS h{k}, sum(1 / log2(rank + 1)) FILTER (hit AND rank <= {k}) AS d{k}" for k in ks)
     picked = ", ".join(["mrr AS \"MRR\"", *out[1:]])
-    return f"h AS (SELECT query_id, rank, (item_id + query_id) % 3 = 0 AS hit FROM k), g AS (SELECT query_id, coalesce(1.0 / min(rank) FILTER (hit), 0) AS mrr, {inner} FROM h GROUP BY query_id), m AS (SELECT query_id, {picked} FROM g)"
+    return f"h AS (SELECT query_id, rank, {hit} AS hit FROM k), g AS (SELECT query_id, coalesce(1.0 / min(rank) FILTER (hit), 0) AS mrr, {inner} FROM h GROUP BY query_id), m AS (SELECT query_id, {picked} FROM g)"
 
 
 _METRIC_NAMES = ["MRR", *[f"{m}@{k}" for k in (1, 3, 5) for m in ("P", "R", "NDCG")]]
@@ -368,12 +369,47 @@ def _marked():
     return F.concat(F.lit("## Judul\n1. Satu\n\n1. a **b**\n2. c *d*\n- x `y`\n  - z → (Sumber: Seksi 1)\n"), F.col("text"), F.lit("\n\n📚 Referensi:\n- satu\n* dua <i>"))
 
 
-@register("render_blocks")
+_MARKED_SQL = "('## Judul' || chr(10) || '1. Satu' || chr(10) || chr(10) || '1. a **b**' || chr(10) || '2. c *d*' || chr(10) || '- x `y`' || chr(10) || '  - z → (Sumber: Seksi 1)' || chr(10) || text || chr(10) || chr(10) || '📚 Referensi:' || chr(10) || '- satu' || chr(10) || '* dua <i>')"
+
+
+def _inline_sql(t: str) -> str:
+    """RE2 looks at no neighbours: exact for emphasis marks that don't touch others."""
+    t = _ESC.replace("coalesce(text, '')", t)
+    t = rf"regexp_replace({t}, '\*\*(.+?)\*\*', '<strong>\1</strong>', 'g')"
+    t = rf"regexp_replace({t}, '(^|[^*])\*([^*]+)\*([^*]|$)', '\1<em>\2</em>\3', 'g')"
+    t = rf"regexp_replace({t}, '`([^`]+)`', '<code>\1</code>', 'g')"
+    return rf"""regexp_replace({t}, '→?\s*\(Sumber:\s*([^)]{{1,55}})\)', '<span class="src-tag" title="\1">Sumber: \1</span>', 'g')"""
+
+
+_INDENT = r"length(line) - length(regexp_replace(line, '^\s+', ''))"
+_ITEM = f"'<li' || CASE WHEN kind = 'bullet' AND {_INDENT} >= 2 THEN ' class=\"sub\"' ELSE '' END || '>' || shown || '</li>'"
+
+
+def _blocks_sql(text: str) -> str:
+    """CTEs up to ``blocks`` (conv_id, turn, block, kind, html)."""
+    return rf"""l AS (SELECT conv_id, turn, unnest(string_split({text}, chr(10))) AS line, generate_subscripts(string_split({text}, chr(10)), 1) AS i FROM conversations),
+a AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,3}}\s') THEN 'heading' WHEN regexp_matches(line, '^\d+\.\s+\S.{{0,80}}$') AND NOT regexp_matches(coalesce(lead(line) OVER w, ''), '^\s*[*\-\d]') THEN 'heading' WHEN regexp_matches(line, '^\d+\.\s') THEN 'ordered' WHEN regexp_matches(line, '^\s*[*\-]\s') THEN 'bullet' WHEN regexp_matches(line, '^\s*$') THEN 'gap' ELSE 'text' END AS first FROM l WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
+b AS (SELECT *, CASE WHEN first = 'heading' AND regexp_matches(line, '^\d+\.\s') AND lag(first) OVER w = 'ordered' THEN 'ordered' ELSE first END AS kind FROM a WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
+c AS (SELECT *, CASE WHEN kind IN ('ordered', 'bullet') AND lag(kind) OVER w = kind THEN 0 ELSE 1 END AS starts, CASE kind WHEN 'heading' THEN regexp_replace(line, '^(#+\s*|\d+\.\s+)', '') WHEN 'ordered' THEN regexp_replace(line, '^\d+\.\s+', '') WHEN 'bullet' THEN regexp_replace(line, '^\s*[*\-]\s+', '') ELSE line END AS bare FROM b WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
+n AS (SELECT *, (sum(starts) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS UNBOUNDED PRECEDING))::BIGINT AS block, {_inline_sql('bare')} AS shown FROM c),
+g AS (SELECT conv_id, turn, block, kind, string_agg(CASE kind WHEN 'heading' THEN '<span class="bh">' || shown || '</span>' WHEN 'gap' THEN '<span class="bg"></span>' WHEN 'text' THEN '<span class="bp">' || shown || '</span>' ELSE {_ITEM} END, '' ORDER BY i) AS html FROM n GROUP BY ALL),
+blocks AS (SELECT conv_id, turn, block, kind, CASE kind WHEN 'ordered' THEN '<ol class="bol">' || html || '</ol>' WHEN 'bullet' THEN '<ul class="bul">' || html || '</ul>' ELSE html END AS html FROM g)"""
+
+
+_BODY_SQL = rf"regexp_replace({_MARKED_SQL}, '(?is)\s*📚\s*Referensi.*$', '')"
+_ENTRY_SQL = _inline_sql(r"regexp_replace(e, '^[*\-\d.]\s*', '')")
+_ANSWERS_SQL = rf"""WITH {_blocks_sql(_BODY_SQL)},
+r AS (SELECT conv_id, turn, list_filter(list_transform(string_split(regexp_extract({_MARKED_SQL}, '(?is)(📚\s*Referensi.*)$', 1), chr(10)), lambda s: trim(s)), lambda s: s <> '' AND NOT regexp_matches(s, '(?i)📚\s*Referensi')) AS es FROM conversations),
+s AS (SELECT conv_id, turn, CASE WHEN len(es) > 0 THEN '<div class="ref-block"><div class="ref-head">Referensi</div>' || array_to_string(list_transform(es, lambda e: '<div class="ref-entry">' || {_ENTRY_SQL} || '</div>'), '') || '</div>' ELSE '' END AS refs FROM r)
+SELECT conv_id, turn, string_agg(html, '' ORDER BY block) || any_value(refs) AS html FROM blocks JOIN s USING (conv_id, turn) GROUP BY ALL"""
+
+
+@register("render_blocks", f"WITH {_blocks_sql(_MARKED_SQL)} SELECT * FROM blocks")
 def render_blocks(spark, d):
     return present.blocks(table(spark, d, "conversations").select("conv_id", "turn", _marked().alias("text")), ["conv_id", "turn"])
 
 
-@register("render_answers")
+@register("render_answers", _ANSWERS_SQL)
 def render_answers(spark, d):
     return present.render(table(spark, d, "conversations").select("conv_id", "turn", _marked().alias("text")), ["conv_id", "turn"])
 
@@ -384,8 +420,35 @@ def reference_entries(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(found, "|").alias("entries"))
 
 
-@register("answer_batch")
+def _checksum_sql(word: str) -> str:
+    """CRC-32 of a word's bytes, bit by bit."""
+    step = "xor(a, x)"
+    for _ in range(8):
+        step = f"list_transform([{step}], lambda c: xor(c >> 1, (c & 1) * 3988292384))[1]"
+    octets = f"list_transform(range(0, len(hex(encode({word}))) // 2), lambda i: ('0x' || substr(hex(encode({word})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda a, x: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+_PLAIN_STOP = "[" + ", ".join(map(quote, lexicon.STOPWORDS)) + "]"
+_ANSWER_SQL = f"""WITH d AS (SELECT doc_id::VARCHAR AS id, source AS section, CASE WHEN lang NOT IN ('Umum', 'Pendahuluan', '', source) THEN source || ' > ' || lang ELSE source END AS label, text, trim(trim(coalesce(source, '') || ' ' || coalesce(lang, '')) || ' ' || text) AS t FROM documents),
+q AS (SELECT item_id::VARCHAR AS id, expanded AS t FROM ({_expand_sql(lexicon.QUERY_SYNONYMS)})),
+w AS (SELECT 'd' AS side, id, unnest({sql_words('lower(t)')}) AS word FROM d UNION ALL SELECT 'q', id, unnest({sql_words('lower(t)')}) FROM q),
+h AS (SELECT word, {_checksum_sql('word')} AS h FROM (SELECT DISTINCT word FROM w)),
+v AS (SELECT side, id, h % 64 AS i, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END)::DOUBLE AS x FROM w JOIN h USING (word) GROUP BY ALL),
+u AS (SELECT side, id, i, (x / greatest(sqrt(sum(x * x) OVER (PARTITION BY side, id)), 1e-9))::FLOAT::DOUBLE AS x FROM v),
+s AS (SELECT a.id AS query, b.id AS chunk, sum(a.x * b.x) AS s FROM u a JOIN u b ON a.i = b.i AND a.side = 'q' AND b.side = 'd' GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s DESC, chunk) AS rank FROM s QUALIFY rank <= 10),
+b AS (SELECT r.*, d.label, d.text, {_minus(_bag('k.text'), _PLAIN_STOP)} AS qs, {_minus(_bag('d.text'), _PLAIN_STOP)} AS ts, {_bag('d.section')} AS ss FROM r JOIN d ON d.id = chunk JOIN benchmark k ON k.item_id::VARCHAR = query WHERE s >= 0.15),
+p AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY s + 0.12 * len(list_intersect(qs, ts)) / greatest(len(qs), 1) + 0.10 * len(list_intersect(qs, ss)) / greatest(len(qs), 1) DESC, rank) AS place FROM b QUALIFY place <= 5),
+f AS (SELECT query, place, '[Konteks ' || place || ']' || chr(10) || 'Sumber   : ' || label || chr(10) || 'Relevansi: ' || printf('%.2f', s) || chr(10) || '---' || chr(10) || text AS part FROM p WHERE s >= 0.4),
+o AS (SELECT *, sum(length(part)) OVER (PARTITION BY query ORDER BY place) AS upto FROM f),
+g AS (SELECT query, string_agg(CASE WHEN upto <= 3000 THEN part ELSE left(part, (3000 - upto + length(part))::INT) || '...' END, repeat('=', 40) || repeat(chr(10), 2) ORDER BY place) AS part FROM o WHERE upto <= 3000 OR (upto - length(part) <= 3000 AND 3000 - upto + length(part) > 100) GROUP BY query),
+m AS (SELECT item_id, text, part, CASE WHEN part IS NOT NULL THEN 'DATABASE RAG' WHEN {_has('lower(text)', lexicon.OUT_OF_SCOPE)} AND NOT {_has('lower(text)', lexicon.IN_SCOPE)} THEN 'OUT OF SCOPE' ELSE 'GENERAL KNOWLEDGE' END AS mode FROM benchmark LEFT JOIN g ON query = item_id::VARCHAR)
+SELECT item_id AS query_id, text AS query, mode, CASE WHEN part IS NULL THEN '[MODE: ' || mode || ']' ELSE string_split(substr(part, instr(part, '---' || chr(10)) + 4), chr(10))[1] END AS response, true AS ok FROM m"""
+
+
+@register("answer_batch", _ANSWER_SQL)
 def answer_batch(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("source").alias("section"), F.col("lang").alias("subsection"), F.col("source").alias("source_file"))
-    engine = Engine.build(docs, embed.HashingEmbedder(64), answer.ExtractiveGenerator())
+    engine = Engine.build(docs, embed.HashingEmbedder(64), answer.ExtractiveGenerator()).written(scratch_folder(spark, "index"))
     return engine.answer(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))).drop("prompt")

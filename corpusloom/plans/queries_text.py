@@ -218,7 +218,22 @@ def subsections(spark, d):
     return rows.select("doc_id", "pos", "s.label", "s.text")
 
 
-@register("chunk_documents")
+_SPACED_SQL = f"replace({_HEADED_SQL}, {NL}, repeat({NL}, 2))"
+_BODY_PARAGRAPHS_SQL = rf"list_filter(list_transform(regexp_split_to_array(body, '\n{{2,}}'), lambda p: {sql_strip('p')}), lambda p: p <> '')"
+_CHUNK_DOCUMENTS_SQL = rf"""WITH t AS (SELECT doc_id, source, {_SPACED_SQL} AS text FROM documents),
+h AS (SELECT doc_id, source, text, string_split(regexp_replace(text, '(?i)\[SEKSI\s+(\d+)\]\s+', '␞\1␟', 'g'), '␞')[2:] AS parts FROM t),
+s AS (SELECT doc_id, source, text, s, string_split(part, '␟')[1] AS num, {sql_strip("string_split(part, '␟')[2]")} AS raw FROM (SELECT doc_id, source, text, unnest(parts) AS part, generate_subscripts(parts, 1) AS s FROM h)),
+m AS (SELECT *, 'SEKSI ' || num || ': ' || {sql_strip(f"string_split(raw, {NL})[1]")} AS section, string_split(regexp_replace(raw, '(?m)^([A-Z]\.\s+.+)$', '␞\1␞', 'g'), '␞') AS m FROM s),
+u AS (SELECT doc_id, source, text, s, 0 AS u, section, CASE WHEN len(m) < 2 THEN 'Umum' ELSE 'Pendahuluan' END AS label, CASE WHEN len(m) < 2 THEN raw ELSE {sql_strip('m[1]')} END AS body FROM m
+  UNION ALL SELECT doc_id, source, text, s, i, section, {sql_strip('m[2 * i]')}, {sql_strip('m[2 * i + 1]')} FROM m, LATERAL (SELECT unnest(range(1, len(m) // 2 + 1)) AS i)),
+f AS (SELECT *, {_chunks_sql(_BODY_PARAGRAPHS_SQL, f'repeat({NL}, 2)')} AS r FROM u WHERE body <> ''),
+c AS (SELECT *, CASE WHEN length(r.buffer) >= 50 THEN list_append(r.out, r.buffer) ELSE r.out END AS cs FROM f),
+x AS (SELECT doc_id, source, text, s, u, section, label, unnest(cs) AS chunk, generate_subscripts(cs, 1) AS k FROM c),
+y AS (SELECT *, greatest(0, instr(text, left(chunk, 50)) - 1) AS begins, row_number() OVER (PARTITION BY doc_id ORDER BY s, u, k) AS no FROM x)
+SELECT doc_id, source AS source_file, section, label AS subsection, {sql_strip('chunk')} AS text, begins AS char_start, begins + length(chunk) AS char_end, len({sql_words('chunk')}) AS token_count, no AS chunk_no, 'chunk_' || CASE WHEN no < 1000 THEN lpad(no::VARCHAR, 4, '0') ELSE no::VARCHAR END AS chunk_id FROM y"""
+
+
+@register("chunk_documents", _CHUNK_DOCUMENTS_SQL, longs=("char_start", "char_end", "token_count", "chunk_no"))
 def chunk_documents(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.replace(_headed(), F.lit("\n"), F.lit("\n\n")).alias("text"), "source")
     return segment.chunk_documents(docs, source_col="source")

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +44,10 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/chunks")
 
 
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/manifest")
+
+
 def write_vectors(chunks: DataFrame, path: str, *, model: str, mode: str = "overwrite") -> None:
     """Chunks with their vectors in one table: readers prune the columns they don't need."""
     chunks.withColumn("embedding_dim", F.size("embedding")).withColumn("embedding_model", F.lit(model)).write.mode(mode).parquet(path)
@@ -55,5 +64,38 @@ def chunk_map(chunks: DataFrame, order: str = "ordinal") -> DataFrame:
     return chunks.groupBy("chunk_id").agg(F.min(order).alias(order), F.max_by(F.struct(*rest), order).alias("r")).select("chunk_id", order, "r.*")
 
 
-def write_report(metrics: DataFrame, path: str) -> None:
-    metrics.write.mode("overwrite").json(path)
+def read_chunk_file(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks of a JSON file with a list ``chunks``; without one no rows."""
+    raw = spark.read.json(path, multiLine=True)
+    if "chunks" not in raw.columns:
+        return spark.createDataFrame([], "chunk_id string, text string, section string, keywords array<string>")
+    return raw.select(F.explode("chunks").alias("c")).select("c.*")
+
+
+def read_npz(spark: SparkSession, path: str, *, vectors: str = "embeddings", ids: str = "chunk_ids") -> DataFrame:
+    """(chunk_id, ordinal, embedding) of NumPy archives that hold a matrix and its row ids.
+    One task opens a file, as the format has no parts; its rows leave in batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0):
+                with np.load(io.BytesIO(raw.as_py()), allow_pickle=False) as held:
+                    x, names = held[vectors].astype(np.float64), held[ids].astype(str)
+                for at in range(0, len(x), 4096):
+                    some = x[at : at + 4096]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * x.shape[1]), pa.array(some.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 4096].tolist(), pa.string()), pa.array(np.arange(at, at + len(some))), lists], names=["chunk_id", "ordinal", "embedding"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "chunk_id string, ordinal long, embedding array<double>")
+
+
+REPORT = "part string, item string, metric string, value double, note string"
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A report's rows (part, item, metric, value, note) as JSON lines."""
+    report.write.mode("overwrite").json(path)
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(REPORT).json(path)

@@ -219,3 +219,155 @@ def test_stream(spark, tmp_path):
         assert spark.table("chunks").count() == 1
     finally:
         q.stop()
+
+
+BIG = 2**53 + 1
+
+
+def test_ids_beside_a_null_stay_whole(spark):
+    df = spark.createDataFrame([(BIG, "a b", [1.0, 0.0]), (None, "c", [0.0, 1.0]), (3, None, [1.0, 0.1])], "id long, text string, embedding array<double>").coalesce(1)
+    assert {r["id"] for r in embed.embed(df.drop("embedding"), embed.HashingEmbedder(4), F.col("text")).collect()} == {BIG, None, 3}
+    assert {r["id"] for r in answer.generate(df.withColumn("prompt", F.lit("p")), answer.ExtractiveGenerator()).collect()} == {BIG, None, 3}
+    hits = search.vector_topk(df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "item_id"), 5).collect()
+    assert {(r["query_id"], r["item_id"]) for r in hits} == {(a, b) for a in (BIG, 3) for b in (BIG, 3)}
+    assert {(r["a"], r["b"]) for r in metrics.near_duplicate_pairs(df, 0.5, id_col="id").collect()} == {(3, BIG)}
+
+
+ODD = [(10, None), (11, []), (12, [float("nan"), 1.0]), (13, [float("inf"), 1.0]), (14, [None, 1.0]), (15, [1.0])]
+
+
+def test_unusable_vectors_take_no_part(spark):
+    good = [(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 1.0]), (4, [0.0, 0.0])]
+    schema = "vec_id long, embedding array<double>"
+    clean = spark.createDataFrame(good, schema).withColumn("label", F.col("vec_id") % 2)
+    dirty = spark.createDataFrame(good + ODD, schema).withColumn("label", F.col("vec_id") % 2).repartition(3)
+    q = clean.filter("vec_id < 3").select(F.col("vec_id").alias("query_id"), "embedding")
+    for f in (lambda d: search.vector_topk(q, d, 3, item_id="vec_id"), lambda d: search.all_scores(q, d, item_id="vec_id"), lambda d: metrics.near_duplicate_pairs(d, 0.5, id_col="vec_id"), lambda d: metrics.pair_extremes(d, id_col="vec_id")):
+        assert sorted(map(str, f(dirty).collect())) == sorted(map(str, f(clean).collect()))
+    short = dirty.filter("vec_id <> 15")
+    for f in (metrics.coherence, metrics.section_coherence, metrics.pca_geometry):
+        assert sorted(map(str, f(short).collect())) == sorted(map(str, f(clean).collect()))
+        with pytest.raises(ValueError, match="several lengths"):
+            f(dirty)
+    only = spark.createDataFrame([(15, [1.0]), (16, [2.0])], schema).withColumn("label", F.lit(0))
+    assert search.vector_topk(q, only, 3, item_id="vec_id").count() == 0
+    empty = metrics.pair_extremes(spark.createDataFrame(ODD[:5], schema), id_col="vec_id").first()
+    assert (empty["n_pairs"], empty["uniformity_loss"], empty["cosine_max"]) == (0, None, 0.0)
+
+
+def test_geometry_equals_numpy(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    x = np.stack([r["embedding"] for r in rows.collect()]).astype(float)
+    values = np.linalg.svd(x - x.mean(axis=0), compute_uv=False) ** 2
+    share = values / values.sum()
+    p = metrics.pca_geometry(rows).first()
+    assert [p["dims_80"], p["dims_90"], p["dims_95"]] == [int((np.cumsum(share) < t).sum()) + 1 for t in (0.8, 0.9, 0.95)]
+    assert p["top5"] == pytest.approx(share[:5].tolist()) and p["isotropy"] == pytest.approx(values[-1] / values[0], rel=1e-6) and p["compression"] == p["dims_90"] / 64
+
+
+def test_ranks_over_many_tasks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(q), i, float(s)) for q in (1, 2) for i, s in enumerate(rng.integers(0, 9, 400))]
+    got = metrics.rank(spark.createDataFrame(rows, "query_id long, item_id long, score double").repartition(7)).collect()
+    for q in (1, 2):
+        order = [r[1] for r in sorted((r for r in rows if r[0] == q), key=lambda r: (-r[2], r[1]))]
+        assert [r["item_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == order
+
+
+def test_index_blocks(spark):
+    docs = spark.createDataFrame([(i, f"all t{i % 3}") for i in range(10)], "doc_id long, text string")
+    found = {(r["term"], r["block"]): r["doc_ids"] for r in postings.index_blocks(docs, span=4).collect()}
+    assert found["all", 0] == [0, 1, 2, 3] and found["all", 2] == [8, 9] and found["t1", 1] == [4, 7]
+    assert {r["term"]: r["doc_ids"] for r in postings.inverted_index(docs).collect()}["all"] == list(range(10))
+
+
+def test_composition(spark):
+    for text in ("é", "각", "Å K", "q̣̇ ﬁ", "plain • – ä"):
+        import unicodedata
+
+        assert value(spark, clean.nfc(F.col("t")), t=text) == unicodedata.normalize("NFC", text)
+    import sys
+    import unicodedata
+
+    kept = clean.re.compile(clean.COMPOSABLE.replace(r"\x{0}", r"\x00").replace(r"\x{", r"\u").replace("}", "").replace(r"\u2ff", r"˿"))
+    assert all(kept.match(chr(c)) for c in range(sys.maxunicode + 1) if unicodedata.combining(chr(c)) or unicodedata.normalize("NFC", chr(c)) != chr(c) or 0x1100 <= c <= 0x11FF)
+
+
+def test_generators(spark):
+    class Fussy:
+        def generate(self, prompts):
+            if "bad" in prompts:
+                raise ValueError("no")
+            return [p.upper() for p in prompts]
+
+    df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "c")], "id int, prompt string").coalesce(1)
+    got = {r["id"]: (r["response"], r["ok"]) for r in answer.generate(df, Fussy()).collect()}
+    assert got == {1: ("A", True), 2: ("No answer: no", False), 3: ("C", True)}
+    said = []
+    chat = answer.ChatGenerator(lambda: lambda messages, **options: said.append((messages, options)) or "fine", "m", system="Be brief.")
+    assert chat.generate(["q"]) == ["fine"] and said[0][0][0] == {"role": "system", "content": "Be brief."} and said[0][1] == {"model": "m", "temperature": 0.5, "max_tokens": 4096}
+    prompts = spark.createDataFrame([(m,) for m in answer.MODES], "mode string").select("mode", answer.build_prompt(F.col("mode"), F.lit("why?"), F.lit("\n\nctx"), system="Rules.").alias("p")).collect()
+    assert all(r["p"].startswith("Rules.\n\n[MODE: " + r["mode"]) and "Question: why?" in r["p"] and ("ctx" in r["p"]) == (r["mode"] == answer.MODES[2]) for r in prompts)
+
+
+def test_masked_mean():
+    x = embed.masked_mean(np.array([[[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [[1.0, 1.0]] * 3]), np.array([[1, 1, 0], [0, 0, 0]]))
+    assert x.tolist() == [[2.0, 3.0], [0.0, 0.0]]
+    assert embed.load_embedder("sentence", model="/models/x", dim=384, device="cpu").max_length == 512
+
+
+@pytest.fixture(scope="module")
+def engine(spark):
+    chunks = spark.createDataFrame([("c1", "gizi anak penting untuk tumbuh kembang", "Gizi", "Umum", "a.txt"), ("c2", "air bersih dan sanitasi", "Air", "Umum", "a.txt")], "chunk_id string, text string, section string, subsection string, source_file string")
+    return Engine.build(chunks, embed.HashingEmbedder(64), answer.ExtractiveGenerator())
+
+
+def test_chat(spark, engine, tmp_path):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from corpusloom.plans.engine import shared_engine
+    from corpusloom.streaming import chat
+
+    written = engine.written(f"{tmp_path}/index")
+    assert shared_engine(spark, "e", lambda: written) is shared_engine(spark, "e", lambda: None)
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"query_id": "7", "query": "gizi anak penting untuk tumbuh"}\n{"query_id": "8"}\n')
+    chat.answer_stream(spark, written, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/check", available_now=True).awaitTermination()
+    got = {r["query_id"]: r["response"] for r in spark.read.schema("query_id string, response string").json(f"{tmp_path}/out/batch=0").collect()}
+    assert got == {"7": "gizi anak penting untuk tumbuh kembang", "8": "[MODE: GENERAL KNOWLEDGE]"}
+    server = chat.chat_server(written, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    post = lambda path, body: json.loads(urllib.request.urlopen(urllib.request.Request(f"http://127.0.0.1:{server.server_port}{path}", data=body, method="POST"), timeout=60).read())
+    try:
+        assert post("/chat", b'{"query": "harga bitcoin"}') == {"response": "[MODE: OUT OF SCOPE]"}
+        assert post("/chat", b"{}") == {"response": "[MODE: GENERAL KNOWLEDGE]"}
+        for path, body in (("/none", b"{}"), ("/chat", b"[not json")):
+            with pytest.raises(urllib.error.HTTPError):
+                post(path, body)
+    finally:
+        server.shutdown()
+    said = []
+    assert chat.converse(written, ["  ", "harga bitcoin\n", "exit", "gizi"], said.append) == 1 and said == ["[MODE: OUT OF SCOPE]"]
+
+
+def test_report_command(spark, tmp_path, capsys):
+    from corpusloom.plans import evaluation
+
+    np.savez(tmp_path / "v.npz", embeddings=np.eye(3), chunk_ids=np.array(["c1", "c2", "c3"]))
+    rows = [{"chunk_id": f"c{i}", "text": f"kata {i} gizi", "section": f"s{i % 2}", "keywords": ["k"]} for i in (1, 2, 3)]
+    (tmp_path / "m.json").write_text(json.dumps({"metadata": {}, "chunks": rows}))
+    (tmp_path / "t.json").write_text(json.dumps({"query": "kata 1", "relevant_sections": ["s1"], "relevant_chunk_ids": ["c1"]}))
+    evaluation.main(["--npz", f"{tmp_path}/v.npz", "--meta", f"{tmp_path}/m.json", "--report", f"{tmp_path}/r", "--truth", f"{tmp_path}/t.json"], spark)
+    lines = capsys.readouterr().out.splitlines()
+    assert "coherence: cosine_max = 0.0000" in lines and "retrieval: P@1 = 1.0000" in lines and "retrieval: chunk_hit@3 = 1.0000" in lines and "coverage: total = 3.0000" in lines
+    report = corpus.read_report(spark, f"{tmp_path}/r")
+    assert {r["part"] for r in report.select("part").distinct().collect()} == set(evaluation.PARTS)
+    body = {r["part"]: json.loads(r["body"]) for r in evaluation.report_json(report).collect()}
+    assert body["coverage_sections"] == {"s0/n_chunks": 1.0, "s1/n_chunks": 2.0} and body["scorecard"]["MRR"] == {"value": 1.0, "note": "BAIK"}
+    assert [tuple(r) for r in corpus.read_npz(spark, f"{tmp_path}/v.npz").filter("ordinal = 1").collect()] == [("c2", 1, [0.0, 1.0, 0.0])]
+    (tmp_path / "none.json").write_text("{}")
+    assert corpus.read_chunk_file(spark, f"{tmp_path}/none.json").count() == 0
+    empty = evaluation.evaluate(spark.createDataFrame([], "chunk_id string, embedding array<double>, section string"), spark.createDataFrame([], "item_id long, text string, keywords array<string>, section string"), spark.createDataFrame([], "query_id long, query string"), spark.createDataFrame([], "query_id long, sections array<string>, ids array<long>"))
+    assert {r["metric"]: r["value"] for r in empty.filter("part = 'coverage'").collect()} == {"total": 0.0, "main": 0.0, "reference": 0.0, "sections": 0.0}

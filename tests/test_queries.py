@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from corpusloom.plans import catalog, queries_search, queries_text  # noqa: F401
+from corpusloom.plans import catalog, queries_report, queries_search, queries_text  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -48,3 +48,13 @@ def test_entry_points(spark):
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
     assert set(catalog.QUERIES) <= set(e.queries())
+
+
+@pytest.mark.parametrize("missing", ["xxhash", "public_tokenizers", "corpusloom.llm"])
+def test_core_stands_without_optional_modules(missing):
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; from corpusloom.plans import catalog; assert set(catalog.QUERIES) <= set(e.queries()) and set(catalog.ORACLES) <= set(e.oracle_sql()) and 'pipeline' not in e.queries()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(__file__).resolve().parents[1])
