@@ -2,9 +2,10 @@
 
 import corpus_pipeline
 import pytest
+import test_operators as plain
 from pyspark.sql import functions as F
 
-from corpusloom.llm import catalog
+from corpusloom.llm import catalog, langid, secrets
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -71,12 +72,33 @@ def test_secrets(spark, docs):
     assert len(kept) == len(ROWS) and kept[9] == 'the [SECRET]" stays hidden' and kept[7] == BODY
 
 
-def test_whole_run(spark):
+def test_packing(spark, docs):
+    rows = stage("best_fit_packing")(spark, docs, SF).collect()
+    plain.check_packing(rows, [(k, t) for k, t, *_ in ROWS])
+
+
+def plain_mask(text, model):
+    base = plain.plain_spans(text)
+    out, at = "", 0
+    for a, _, b in sorted([*base, *plain.plain_markov(text, model, base)]):
+        if a >= at:
+            out += text[at:a] + "[SECRET]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_whole_run_equals_plain_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    out = corpus_pipeline.run(spark, SF)
-    ids = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
-    assert 0.7 * docs.count() < len(ids) <= docs.count()
-    assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+    model = langid.fit(docs.filter(~langid.fold()))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    rows = [(k, t) for k, t in rows if any(c.isalpha() for c in t) and plain.plain_language(model, t)[1] >= corpus_pipeline.MIN_SCORE]
+    rows = [(k, t) for k, _, lost, t in plain.plain_line_dedup(rows) if not lost or t.split()]
+    component = plain.plain_components(rows, plain.plain_sets(rows), 80)
+    rows = [r for r, c in zip(rows, component, strict=True) if r[0] == c]
+    markov = secrets.train_on(spark.createDataFrame(rows, "doc_id long, text string"))
+    rows = [(k, plain_mask(t, markov)) for k, t in rows]
+    assert 0.7 * docs.count() < len(rows) < docs.count()
+    plain.check_packing(corpus_pipeline.run(spark, SF).collect(), rows)
 
 
 def test_catalogue_names():
