@@ -33,7 +33,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,39 +104,28 @@ def signature(shingles: np.ndarray, slots: int = SLOTS) -> np.ndarray:
     return least
 
 
-def _bands(sig: np.ndarray, rows: int) -> np.ndarray:
-    n = len(sig) // rows
-    parts = sig[: n * rows].reshape(n, rows).astype(np.uint64)
-    h = np.arange(1, n + 1, dtype=np.uint64) * PRIME
-    for i in range(rows):
-        h ^= parts[:, i]
-        h *= PRIME
-        h ^= h >> np.uint64(31)
-    return h.view(np.int64)
+def band_keys(rows: int, slots: int = SLOTS) -> Column:
+    """The keys of a signature's bands: each a hash of the band's number and its slots."""
+    return F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 2 * rows * k + 1, 2 * rows)) for k in range(slots // rows)])
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, rows: int, *, width: int = WIDTH, slots: int = SLOTS) -> DataFrame:
-    """id, n (size of the set), d1 and d2 (digest of the set), bands, and sig: the
-    low 16 bits of each slot."""
+def sketch(docs: DataFrame, id_col: str, text_col: str, *, width: int = WIDTH, slots: int = SLOTS) -> DataFrame:
+    """id, n (size of the set), d1 and d2 (digest of the set), and sig: the low 16 bits of
+    each slot, of which the bands are made as well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, d1, d2, bands, sigs = [], [], [], [], []
+            n, d1, d2, sigs = [], [], [], []
             for text in batch.column(1):
                 x = shingle_set(text.as_py(), width)
                 raw = x.tobytes()
                 n.append(len(x))
                 d1.append(xxhash.xxh64_intdigest(raw, 1))
                 d2.append(xxhash.xxh64_intdigest(raw, 2))
-                sig = signature(x, slots)
-                bands.append(_bands(sig, rows))
-                sigs.append(sig.astype("<u2").tobytes())
-            per = slots // rows
-            flat = pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * per), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(np.array(d2, np.uint64).view(np.int64)), lists, pa.array(sigs, pa.binary())], names=["id", "n", "d1", "d2", "bands", "sig"])
-
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.BinaryType())])
+                sigs.append(signature(x, slots).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(np.array(d1, np.uint64).view(np.int64)), pa.array(np.array(d2, np.uint64).view(np.int64)), pa.array(sigs, pa.binary())], names=["id", "n", "d1", "d2", "sig"])
+
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("n", "d1", "d2")), T.StructField("sig", T.BinaryType())])
     return docs.select(column(id_col).alias("id"), column(text_col).alias("t")).mapInArrow(run, schema)
 
 
@@ -187,10 +176,11 @@ def bayes_filter(pairs: DataFrame, bounds: list[int], slots: int = SLOTS) -> Dat
 class _Group:
     """Members of one bucket's block, or of two, as they stream in."""
 
-    COLUMNS = ("id", "comp", "at", "n", "sig", "bands", "t")
+    COLUMNS = ("id", "comp", "at", "n", "sig", "t")
 
-    def __init__(self, tag: tuple, columns: tuple[str, ...]) -> None:
+    def __init__(self, tag: tuple, columns: tuple[str, ...], rows: int) -> None:
         self.band, self.key, self.lo, self.hi = tag
+        self.rows = rows
         self.tag, self.parts = tag, {c: [] for c in columns}
 
     def close(self) -> None:
@@ -209,7 +199,10 @@ class _Group:
             others = others[(self.comp_no[others] != self.comp_no[i]) & (100 * np.minimum(n, mine) >= percent * np.maximum(n, mine))]
             others = others[_sequential(self.sig[i], self.sig[others], bounds)[0]]
             # A pair in several buckets belongs to the one of its first common band.
-            others = others[(self.bands[others] == self.bands[i]).argmax(axis=1) == self.band]
+            if len(others):
+                equal = self.sig[others] == self.sig[i]
+                banded = equal[:, : equal.shape[1] // self.rows * self.rows].reshape(len(others), -1, self.rows)
+                others = others[banded.all(axis=2).argmax(axis=1) == self.band]
             if len(others):
                 yield i, others
 
@@ -243,10 +236,10 @@ class _Group:
         return found
 
 
-BLOCK_COLUMNS = ("band", "key", "lo", "hi", "id", "comp", "at", "n", "sig", "bands", "t")
+BLOCK_COLUMNS = ("band", "key", "lo", "hi", "id", "comp", "at", "n", "sig", "t")
 
 
-def _groups(batches: Iterator[pa.RecordBatch], slots: int, with_text: bool) -> Iterator[_Group]:
+def _groups(batches: Iterator[pa.RecordBatch], rows: int, slots: int, with_text: bool) -> Iterator[_Group]:
     """Whole groups of rows that come sorted by band, key, lo and hi."""
     group: _Group | None = None
     names = _Group.COLUMNS if with_text else _Group.COLUMNS[:-1]
@@ -254,9 +247,9 @@ def _groups(batches: Iterator[pa.RecordBatch], slots: int, with_text: bool) -> I
         if not batch.num_rows:
             continue
         band, key, lo, hi, ids, comp, at, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(8))
-        values = [ids, comp, at, n, _matrix(batch.column(8), slots), batch.column(9).flatten().to_numpy().reshape(batch.num_rows, -1)]
+        values = [ids, comp, at, n, _matrix(batch.column(8), slots)]
         if with_text:
-            values.append(batch.column(10).to_numpy(zero_copy_only=False))
+            values.append(batch.column(9).to_numpy(zero_copy_only=False))
         change = np.flatnonzero((key[1:] != key[:-1]) | (band[1:] != band[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
         for begin, end in zip([0, *change], [*change, len(key)], strict=True):
             tag = (band[begin], key[begin], lo[begin], hi[begin])
@@ -264,7 +257,7 @@ def _groups(batches: Iterator[pa.RecordBatch], slots: int, with_text: bool) -> I
                 group.close()
                 yield group
                 group = None
-            group = group or _Group(tag, names)
+            group = group or _Group(tag, names, rows)
             for c, v in zip(names, values, strict=True):
                 group.parts[c].append(v[begin:end])
     if group is not None:
@@ -272,9 +265,9 @@ def _groups(batches: Iterator[pa.RecordBatch], slots: int, with_text: bool) -> I
         yield group
 
 
-def block_members(rows: DataFrame, bounds: list[int], percent: int, slots: int = SLOTS) -> DataFrame:
-    """Those of the rows (BLOCK_COLUMNS without the text) that have a candidate."""
-    arrow = {f.name: f.dataType for f in rows.schema.fields}
+def block_members(members: DataFrame, bounds: list[int], percent: int, rows: int, slots: int = SLOTS) -> DataFrame:
+    """Those of the members (BLOCK_COLUMNS without the text) that have a candidate."""
+    arrow = {f.name: f.dataType for f in members.schema.fields}
     columns = BLOCK_COLUMNS[:-1]
     schema = T.StructType([T.StructField(c, arrow[c]) for c in columns])
 
@@ -286,23 +279,21 @@ def block_members(rows: DataFrame, bounds: list[int], percent: int, slots: int =
                 kinds[:] = [f.type for f in batch.schema]
                 yield batch
 
-        for group in _groups(seen(), slots, False):
+        for group in _groups(seen(), rows, slots, False):
             some = group.members(bounds, percent)
             if len(some):
                 tags = [np.full(len(some), x) for x in group.tag]
                 plain = [group.id[some], group.comp[some], group.at[some], group.n[some]]
-                bands = group.bands[some]
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.ravel()))
                 arrays = [pa.array(v, k) for v, k in zip([*tags, *plain], kinds, strict=False)]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array([s.tobytes() for s in group.sig[some]], pa.binary()), lists], names=list(columns))
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array([s.tobytes() for s in group.sig[some]], pa.binary())], names=list(columns))
 
-    return rows.select(*columns).mapInArrow(run, schema)
+    return members.select(*columns).mapInArrow(run, schema)
 
 
-def block_links(rows: DataFrame, bounds: list[int], percent: int, *, width: int = WIDTH, slots: int = SLOTS) -> DataFrame:
-    """Links (a, b) that join components, from rows (BLOCK_COLUMNS) sorted by bucket
+def block_links(members: DataFrame, bounds: list[int], percent: int, rows: int, *, width: int = WIDTH, slots: int = SLOTS) -> DataFrame:
+    """Links (a, b) that join components, from members (BLOCK_COLUMNS) sorted by bucket
     and blocks: signatures first, then the exact sets."""
-    kind = rows.schema["id"].dataType
+    kind = members.schema["id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target = pa.int64()
@@ -313,11 +304,11 @@ def block_links(rows: DataFrame, bounds: list[int], percent: int, *, width: int
                 target = batch.column(4).type
                 yield batch
 
-        for group in _groups(seen(), slots, True):
+        for group in _groups(seen(), rows, slots, True):
             if found := group.links(bounds, percent, width):
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], target) for k in (0, 1)], names=["a", "b"])
 
-    return rows.select(*BLOCK_COLUMNS).mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    return members.select(*BLOCK_COLUMNS).mapInArrow(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def _texts(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -357,17 +348,15 @@ def shuffled_bands(rows: int, slots: int = SLOTS) -> list[list[int]]:
 
 
 def reband(wide: DataFrame, signatures: DataFrame, rows: int) -> DataFrame:
-    """Members (band, key, id, comp) of buckets too large for a few blocks, in the
-    smaller buckets of those that share a shuffled band as well: (band, key, id, comp,
-    size, shingles). Given one common band, a pair at the threshold shares no further
-    one with a probability under that of sharing no band at all. Buckets of one
-    component go."""
-    by = ["band", "key"]
+    """Members (key, band, id, comp) of buckets too large for a few blocks, in the smaller
+    buckets of those that share a shuffled band as well: (key, band, id, comp, size,
+    shingles). Given one common band, a pair at the threshold shares no further one with
+    a probability under that of sharing no band at all. Buckets of one component go."""
     key = F.explode(F.array(*[F.xxhash64(F.lit(j), "key", *[F.substring("sig", 2 * s + 1, 2) for s in band]) for j, band in enumerate(shuffled_bands(rows))]))
-    members = wide.select(*by, "id", "comp").join(signatures.select("id", "n", "sig"), "id").select("band", key.alias("key"), "id", "comp", "n")
-    sizes = members.groupBy(*by).agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    members = wide.select("key", "band", "id", "comp").join(signatures, "id").select(key.alias("key"), "band", "id", "comp", "n")
+    sizes = members.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), F.min("comp").alias("x"), F.max("comp").alias("y"))
     sizes = materialize(sizes.filter(F.col("x") != F.col("y")).drop("x", "y"), "sizes")
-    return spread_join(members.drop("n"), sizes, by, heavy_keys(sizes, by, "size"), F.xxhash64("id"))
+    return spread_join(members.drop("n"), sizes, ["key"], heavy_keys(sizes, ["key"], "size"), F.xxhash64("id"))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, miss: float = MISS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, wide_blocks: int = WIDE_BLOCKS) -> DataFrame:
@@ -375,22 +364,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     small_batches(docs.sparkSession)
     percent = round(100 * threshold)
     rows, bounds = band_rows(threshold, SLOTS, miss), least_matches(threshold, SLOTS, BATCH, miss)
-    by, digest, tie = ["band", "key"], ["d1", "d2"], F.xxhash64("id")
-    sketches = materialize(sketch(docs, id_col, text_col, rows), "sketches")
+    by, digest, tie = ["key"], ["d1", "d2"], F.xxhash64("id")
+    sketches = materialize(sketch(docs, id_col, text_col), "sketches")
     usable = (F.col("n") > 0) & F.col("id").isNotNull()
     known = sketches.filter(usable)
     # Copies are combined where they lie: what is exchanged is a row for each task and class.
-    classes = known.groupBy(*digest).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first(F.struct("n", "bands", "sig")).alias("r"))
+    classes = known.groupBy(*digest).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first(F.struct("n", "sig")).alias("r"))
     classes = materialize(classes.select(*digest, "rep", "copies", "r.*"), "classes")
-    signatures = classes.select(F.col("rep").alias("id"), "n", "sig", "bands")
+    signatures = classes.select(F.col("rep").alias("id"), "n", "sig")
     # An id with several sets joins their classes.
     several = known.groupBy("id").agg(*[f(d).alias(f"{f.__name__}_{d}") for f in (F.min, F.max) for d in digest]).filter("min_d1 <> max_d1 or min_d2 <> max_d2")
     links = [materialize(known.select("id", *digest).join(several.select("id"), "id", "left_semi").join(classes.select(*digest, "rep"), digest).filter(F.col("id") != F.col("rep")).select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "links")]
 
-    banded = signatures.select("id", "n", F.posexplode("bands").alias("band", "key"))
-    sizes = materialize(banded.groupBy(*by).agg(F.count("*").alias("size"), F.sum("n").alias("shingles")).filter(F.col("size") > 1), "sizes")
+    # A key holds its band's number, so it names a bucket alone.
+    banded = signatures.select("id", F.posexplode(band_keys(rows)).alias("band", "key"))
+    sizes = materialize(banded.groupBy(*by).agg(F.count("*").alias("size")).filter(F.col("size") > 1), "sizes")
     heavy = heavy_keys(sizes, by, "size")
-    buckets = materialize(spread_join(banded.drop("n"), sizes, by, heavy, tie), "buckets")
+    buckets = materialize(spread_join(banded, sizes, by, heavy, tie), "buckets")
     weight = buckets.groupBy("id").agg(F.sum("size").alias("weight"))
     hubs = buckets.join(weight, "id").groupBy(*by).agg(F.max_by("id", F.struct("weight", F.xxhash64("id"), "id")).alias("b"))
     star = spread_join(buckets.select(*by, F.col("id").alias("a")), hubs, by, heavy, F.xxhash64("a"))
@@ -403,18 +393,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     labels = components(links[0].union(links[1]), "a", "b")
     labelled = buckets.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     mixed = labelled.groupBy(*by).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter(F.col("x") != F.col("y")).select(*by)
-    rest = materialize(spread_join(labelled, mixed, by, heavy, tie).select(*by, "id", "comp", "size", "shingles"), "mixed")
-    drop_scratch(buckets, sizes)
+    rest = spread_join(labelled, mixed, by, heavy, tie).join(classes.select(F.col("rep").alias("id"), "n"), "id")
+    mixed = materialize(rest.select(*by, "band", "id", "comp", "size", "n"), "mixed")
+    drop_scratch(buckets)
+    loads = mixed.groupBy(*by).agg(F.sum("n").alias("shingles"))
+    rest = spread_join(mixed.drop("n"), loads, by, heavy, tie)
     n_blocks = F.ceil(F.greatest(F.col("size") / block, F.col("shingles") / block_shingles)).cast("int")
     wide = n_blocks > wide_blocks
     rest = rest.filter(~wide).unionByName(reband(rest.filter(wide), signatures, rows))
-    rest = rest.select(*by, "id", "comp", n_blocks.alias("n_blocks")).withColumn("at", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
-    rest = rest.select(*by, "id", "comp", "at", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
-    rest = rest.select(*by, "id", "comp", "at", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"))
+    rest = rest.select(*by, "band", "id", "comp", n_blocks.alias("n_blocks")).withColumn("at", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
+    rest = rest.select(*by, "band", "id", "comp", "at", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("other"))
+    rest = rest.select(*by, "band", "id", "comp", "at", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"))
     bucketed = lambda df: df.repartition(*by, "lo", "hi").sortWithinPartitions(*by, "lo", "hi", "id")
-    members = materialize(block_members(bucketed(rest.join(signatures, "id")), bounds, percent), "members")
+    members = materialize(block_members(bucketed(rest.join(signatures, "id")), bounds, percent, rows), "members")
+    drop_scratch(mixed, sizes)
     texts = _texts(members, docs, id_col, text_col)
-    links.append(materialize(block_links(bucketed(members.join(texts, "id")), bounds, percent), "links"))
+    links.append(materialize(block_links(bucketed(members.join(texts, "id")), bounds, percent, rows), "links"))
     drop_scratch(texts, members)
     labels = components(links[0].union(links[1]).union(links[2]), "a", "b")
     drop_scratch(*links)
