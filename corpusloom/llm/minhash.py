@@ -11,10 +11,10 @@ of its distinct five-word shingles, or its whole word sequence if that is shorte
    of the similarity (uniform prior) is bounded, and the pair dropped when similarity
    over the threshold has a probability below ``miss``. Survivors are verified exactly.
 4. In buckets whose members are not all in one component yet (large ones are cut by
-   further bands first), members are compared block by block, across components alone, in the same sequential way, each pair in
-   the bucket of its first common band. Members with a survivor meet once more, with
-   their texts, and are verified on the spot, so pairs are never rows. No link
-   between different components is left untried.
+   further bands first), members are compared block by block, across components alone,
+   in the same sequential way, each pair in the bucket of its first common band. Members
+   with a survivor meet once more, with their texts, and are verified on the spot, so
+   pairs are never rows. No candidate between different components is left untried.
 
 Defined results: a null or empty text, or one without words, has an empty set and
 links with nothing; a null doc_id links with nothing; rows that repeat a doc_id are
@@ -342,7 +342,7 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int, width: int = WIDTH)
 
 @cache
 def shuffled_bands(rows: int, slots: int = SLOTS) -> list[list[int]]:
-    """Bands of slots in another order than that of ``_bands``."""
+    """Bands of slots in another order than that of ``band_keys``."""
     order = np.random.default_rng(20240301).permutation(slots)
     return order[: slots // rows * rows].reshape(-1, rows).tolist()
 
