@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, line_dedup, media, minhash, multi_index, packing, pieces, quality, secrets, sharding
+from . import alignment, attention, langid, line_dedup, media, minhash, multi_index, packing, pieces, quality, secrets, sharding
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-for _module in (pieces, langid, packing, quality, media, line_dedup, minhash, multi_index, secrets, sharding):
+for _module in (pieces, langid, packing, quality, media, line_dedup, minhash, multi_index, secrets, sharding, attention, alignment):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
