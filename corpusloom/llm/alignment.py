@@ -102,7 +102,7 @@ class Aligner:
         """The ids of both, if their bytes are those of ``text``."""
         raw = text.encode()
         a = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        b = self.b.encode(text[1:] if text[0] == " " else text, num_threads=1)
+        b = self.b.encode(text[1:] if text[0] == " " else text, num_threads=1) if text != " " else [self.b.piece_to_id("▁")]
         if text[0] != " ":  # the space that B adds is no token of a stretch that has none
             b = b[1:] if b and self.b_bytes[b[0]] == b" " else []
         same = b"".join(map(self.a_bytes.__getitem__, a)) == raw == b"".join(map(self.b_bytes.__getitem__, b))
