@@ -252,6 +252,25 @@ def keyword_tags(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(enrich.keyword_tags(F.col("text"), _TAGS), ",").alias("tags"))
 
 
+# What ingesting the documents gives: cleaned, normalised, cut and tagged.
+_INGESTED_SQL = _typos_sql(_units_sql(_abbreviations_sql(_clean_sql("text"))))
+_TAGS_SQL = "array_to_string(list_sort(list_filter([" + ", ".join(f"CASE WHEN {_any_sql('lower(text)', v)} THEN '{k}' END" for k, v in lexicon.DOMAIN_KEYWORDS.items()) + "], lambda x: x IS NOT NULL)), ',')"
+CORPUS_CHUNKS_SQL = rf"""WITH t AS (SELECT doc_id, source, {_INGESTED_SQL} AS text FROM documents WHERE text IS NOT NULL),
+h AS (SELECT doc_id, source, text, string_split(regexp_replace(text, '(?i)\[SEKSI\s+(\d+)\]\s+', '␞\1␟', 'g'), '␞')[2:] AS found FROM t),
+p AS (SELECT doc_id, source, text, len(found) = 0 AS whole, CASE WHEN len(found) = 0 THEN ['0␟'] ELSE found END AS parts FROM h),
+s AS (SELECT doc_id, source, text, whole, s, string_split(part, '␟')[1] AS num, CASE WHEN whole THEN text ELSE {sql_strip("string_split(part, '␟')[2]")} END AS raw FROM (SELECT doc_id, source, text, whole, unnest(parts) AS part, generate_subscripts(parts, 1) AS s FROM p)),
+m AS (SELECT *, 'SEKSI ' || num || ': ' || CASE WHEN whole THEN {quote(segment.WHOLE)} ELSE {sql_strip(f"string_split(raw, {NL})[1]")} END AS section, string_split(regexp_replace(raw, '(?m)^([A-Z]\.\s+.+)$', '␞\1␞', 'g'), '␞') AS m FROM s),
+u AS (SELECT doc_id, source, text, s, 0 AS u, section, CASE WHEN len(m) < 2 THEN 'Umum' ELSE 'Pendahuluan' END AS label, CASE WHEN len(m) < 2 THEN raw ELSE {sql_strip('m[1]')} END AS body FROM m
+  UNION ALL SELECT doc_id, source, text, s, i, section, {sql_strip('m[2 * i]')}, {sql_strip('m[2 * i + 1]')} FROM m, LATERAL (SELECT unnest(range(1, len(m) // 2 + 1)) AS i)),
+f AS (SELECT *, {_chunks_sql(_BODY_PARAGRAPHS_SQL, f'repeat({NL}, 2)')} AS r FROM (SELECT * FROM u WHERE len({_BODY_PARAGRAPHS_SQL}) > 0)),
+c AS (SELECT *, CASE WHEN length(r.buffer) >= 50 THEN list_append(r.out, r.buffer) ELSE r.out END AS cs FROM f),
+x AS (SELECT doc_id, source, text AS whole_text, s, u, section, label, unnest(cs) AS chunk, generate_subscripts(cs, 1) AS k FROM c),
+y AS (SELECT *, greatest(0, instr(whole_text, left(chunk, 50)) - 1) AS begins, row_number() OVER (PARTITION BY doc_id ORDER BY s, u, k) AS no FROM x),
+z AS (SELECT doc_id, source, no, section, label, {sql_strip('chunk')} AS text, begins, begins + length(chunk) AS ends, len({sql_words('chunk')}) AS n FROM y)
+SELECT doc_id, source, coalesce(nullif(source, ''), 'none') AS part, doc_id || '_chunk_' || CASE WHEN no < 1000 THEN lpad(no::VARCHAR, 4, '0') ELSE no::VARCHAR END AS chunk_id, section, label AS subsection, text, no AS chunk_no, begins AS char_start, ends AS char_end, n AS token_count,
+  {_TAGS_SQL} AS keywords, regexp_matches(text, '\d') AS has_numbers, regexp_matches(text, '(?m)^\s*-\s') AS has_list, CASE WHEN contains(lower(text), 'kendari') THEN 'kendari_sultra' ELSE 'nasional' END AS location FROM z"""
+
+
 @register("chunk_metadata", rf"SELECT doc_id, regexp_matches(text, '\d') AS has_numbers, regexp_matches(text, '(?m)^\s*-\s') AS has_list, len({sql_words('text')}) AS word_count, length(text) AS char_count, 'id' AS language, 'stunting_health' AS domain, CASE WHEN contains(lower(text), 'kendari') THEN 'kendari_sultra' ELSE 'nasional' END AS location, '[Sumber: ' || source || ' | ' || lang || ']' || {NL} || text AS display_text FROM documents", longs=("word_count", "char_count",))
 def chunk_metadata(spark, d):
     return table(spark, d, "documents").select("doc_id", enrich.chunk_metadata(F.col("text"), F.col("source"), F.col("lang")).alias("m")).select("doc_id", "m.*")
