@@ -216,14 +216,19 @@ def pca_geometry(df: DataFrame, vector_col: str = "embedding") -> DataFrame:
     return whole.mapInPandas(run, "dim int, dims_80 int, dims_90 int, dims_95 int, isotropy double, top5 array<double>, compression double")
 
 
+def keyword_set(keywords: Column) -> Column:
+    """The different keywords, lower-cased and whole: one of several words is no word."""
+    return F.array_distinct(F.transform(F.array_compact(F.coalesce(keywords, F.array().cast("array<string>"))), F.lower))
+
+
 def lexical_scores(queries: DataFrame, items: DataFrame) -> DataFrame:
     """(query_id, item_id, score) of queries (query_id, query) with items (item_id, text,
-    keywords, section) that share a word: shared words of the text count 1, of the
-    keywords 2, of the section 1.5, divided by the query's best.
+    keywords, section) that share a word: shared words of the text count 1, whole keywords
+    that are a word of the query 2, words of the section 1.5, divided by the query's best.
 
     Words are the join key, so items that share none with a query never meet it."""
     q = queries.select("query_id", F.explode(word_set(F.col("query"))).alias("w"))
-    sides = [(word_set(F.col("text")), 1.0), (word_set(F.array_join(F.coalesce("keywords", F.array().cast("array<string>")), " ")), 2.0), (word_set(F.coalesce(F.col("section"), F.lit(""))), 1.5)]
+    sides = [(word_set(F.col("text")), 1.0), (keyword_set(F.col("keywords")), 2.0), (word_set(F.coalesce(F.col("section"), F.lit(""))), 1.5)]
     terms = None
     for words, weight in sides:
         side = items.select("item_id", F.explode(words).alias("w"), F.lit(weight).alias("weight"))

@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.operators import metrics
+from corpusloom.operators import metrics, ranking
 from corpusloom.sources import corpus
 
 PARTS = ("intrinsic", "coherence", "section_coherence", "geometry", "duplicates", "retrieval", "retrieval_per_query", "coverage", "coverage_sections", "scorecard", "recommendations")
@@ -61,10 +61,8 @@ def evaluate(vectors: DataFrame, items: DataFrame, queries: DataFrame, relevant:
     if "duplicates" in want:
         found += [near, tidy(pairs, "duplicates", ["n_pairs"])]
     if want & {"retrieval", "retrieval_per_query"} or shown:
-        ranked = metrics.rank_all(metrics.lexical_scores(queries, items), queries, items)
         truth = relevant.select("query_id", "sections")
-        # One row a query joins its own ranking; a section is looked up in a short list.
-        ranked = ranked.join(items.select("item_id", "section"), "item_id").join(truth, "query_id").withColumn("hit", F.array_contains("sections", F.col("section")))
+        ranked = ranking.first_ranks(queries, items, truth, k=max(DEPTHS))
         per = metrics.ranking_metrics(ranked, truth.select("query_id", F.size("sections").alias("n_relevant")), DEPTHS)
         hit = metrics.chunk_hit(ranked, relevant.select("query_id", "ids")).select("query_id", F.col("hit").cast("int").alias("chunk_hit@3"))
         per = per.join(hit, "query_id", "left")

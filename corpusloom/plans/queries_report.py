@@ -13,7 +13,7 @@ from corpusloom.sources import corpus
 from . import evaluation
 from .catalog import register, table
 from .engine import Engine
-from .queries_search import _LEX_SQL, _METRIC_NAMES, _PAIRS, _TOP_SQL, V, _items, _metric_sql, _queries
+from .queries_search import _LEX_SQL, _METRIC_NAMES, _PAIRS, _TOP_SQL, V, _items, _metric_sql, _queries, lexical_items
 from .queries_search import _CARD as CARD
 from .queries_search import _RULES as RULES
 from .queries_text import quote, sql_words
@@ -64,7 +64,7 @@ whole AS (SELECT * FROM rows_of
 
 def _report(spark, d):
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding", F.col("label").cast("string").alias("section"))
-    items = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text", F.array("lang", F.lit("kw")).alias("keywords"), F.col("source").alias("section"))
+    items = lexical_items(spark, d)
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     q = F.col("query_id")
     sections = F.array(*[F.concat(F.lit("src"), ((q + k) % 5).cast("string")) for k in (0, 1)])

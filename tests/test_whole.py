@@ -1,5 +1,6 @@
 """Queries over whole tables: no row, text or pair left out."""
 
+import random
 import re
 
 import duckdb
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom import lexicon
-from corpusloom.operators import metrics, search
+from corpusloom.operators import metrics, ranking, search
 from corpusloom.plans import catalog, queries_search, queries_text  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
@@ -130,3 +131,33 @@ def test_keyword_filter_takes_all_hits(spark):
     wanted = {q: [h for h in some if h[1] % 3 == 0 or h[1] % 7 == 5] or some for q, some in hits.items()}
     found = sorted(tuple(r) for r in catalog.QUERIES["keyword_filter"](spark, SF).collect())
     assert found == sorted(h for some in wanted.values() for h in some)
+
+
+def test_whole_keywords_count(spark):
+    q = spark.createDataFrame([(1, "gizi ibu")], "query_id long, query string")
+    rows = [(1, "gizi", ["x"], "s"), (2, "z", ["ibu hamil"], "s"), (3, "z", ["IBU", "ibu", None], "s"), (4, None, None, None)]
+    items = spark.createDataFrame(rows, "item_id long, text string, keywords array<string>, section string")
+    assert {r["item_id"]: r["score"] for r in metrics.lexical_scores(q, items).collect()} == {1: 0.5, 3: 1.0}
+
+
+@pytest.mark.parametrize("block", [1, 2, 4096])
+def test_first_ranks_are_those_of_the_whole_ranking(spark, block):
+    rng = random.Random(3)
+    words = "a b c d e f g".split()
+    some = lambda n: " ".join(rng.choice(words) for _ in range(rng.randrange(n)))
+    items = spark.createDataFrame([(k * 7 % 61, some(4), [some(2), rng.choice(words)], rng.choice(["s a", "t", "u", None])) for k in range(61)], "item_id long, text string, keywords array<string>, section string").repartition(5)
+    q = spark.createDataFrame([(k, some(5)) for k in range(9)] + [(9, "nothing"), (10, None)], "query_id long, query string")
+    relevant = spark.createDataFrame([(k, [["s a"], ["t", "u"], ["none of them"], []][k % 4]) for k in range(10)], "query_id long, sections array<string>")
+    ranked = metrics.rank_all(metrics.lexical_scores(q, items), q, items).join(items.select("item_id", "section"), "item_id").join(relevant, "query_id", "left")
+    whole = {}
+    for r in ranked.orderBy("rank").collect():
+        whole.setdefault(r["query_id"], []).append((r["item_id"], r["rank"], r["section"] in (r["sections"] or [])))
+    for k in (1, 5, 100):
+        found = {}
+        for r in ranking.first_ranks(q, items, relevant, k=k, query_block=block).collect():
+            found.setdefault(r["query_id"], []).append((r["item_id"], r["rank"], r["hit"]))
+        assert found.keys() == whole.keys()
+        for query, rows in found.items():
+            first = next((x for x in whole[query] if x[2]), None)
+            assert sorted(rows, key=lambda x: x[1]) == whole[query][:k] + ([first] if first and first[1] > k else [])
+    assert ranking.first_ranks(q, items.limit(0), relevant).count() == 0 == ranking.first_ranks(q.limit(0), items, relevant).count()
