@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.functions.tokens import let
+
 # The patterns and marks of the two cleaners, here and in the functions below.
 CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 RULES = r"(?mdU)^[=\-*#~]{3,}\s*$"
@@ -116,10 +118,20 @@ def clean_html_text(text: Column, *, compose: bool = True) -> Column:
     return normalize_whitespace(text)
 
 
+#: Characters that a pattern takes for a letter of either case, though lower-casing leaves or splits them.
+FOLDED = ("ſıİ\u212a", "siik")
+
+
+def _where(text: Column, guard: Callable[[Column], Column], pattern: str, to: str) -> Column:
+    """Replace ``pattern`` in texts that may hold it: most hold none of a table's terms,
+    and looking for one costs far less than running its pattern."""
+    return let(text, lambda t: F.when(guard(t), F.regexp_replace(t, pattern, to)).otherwise(t))
+
+
 def expand_abbreviations(text: Column, table: Sequence[tuple[str, str]]) -> Column:
     """``X`` becomes ``expansion (X)``, rule after rule on what came before."""
     for short, long in table:
-        text = F.regexp_replace(text, rf"(?U)\b{re.escape(short)}\b", f"{long} ({short})".replace("$", r"\$"))
+        text = _where(text, lambda t: F.contains(t, F.lit(short)), rf"(?U)\b{re.escape(short)}\b", f"{long} ({short})".replace("$", r"\$"))  # noqa: B023  used at once
     return text
 
 
@@ -132,7 +144,7 @@ def space_units(text: Column, units: Sequence[tuple[str, bool]]) -> Column:
 def fix_typos(text: Column, table: Sequence[tuple[str, str]]) -> Column:
     """Any case matches; the correction is written as it stands in the table."""
     for wrong, right in table:
-        text = F.regexp_replace(text, rf"(?iU)\b{re.escape(wrong)}\b", right)
+        text = _where(text, lambda t: F.contains(F.lower(F.translate(t, *FOLDED)), F.lit(wrong.lower())), rf"(?iU)\b{re.escape(wrong)}\b", right)  # noqa: B023  used at once
     return text
 
 

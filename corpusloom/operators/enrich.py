@@ -8,14 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.clean import strip
-from corpusloom.functions.tokens import contains_any, word_count
+from corpusloom.functions.tokens import names_found, word_count
 
 
 def keyword_tags(text: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
     """Sorted categories of which any term stands in the lower-cased text."""
-    low = F.lower(text)
-    hits = [F.when(contains_any(low, terms), F.lit(k)) for k, terms in lexicon.items()]
-    return F.array_sort(F.array_compact(F.array(*hits)))
+    return names_found(F.lower(text), lexicon)
 
 
 def chunk_metadata(text: Column, section: Column, subsection: Column, *, place: str = "kendari", near: str = "kendari_sultra", far: str = "nasional", language: str = "id", domain: str = "stunting_health") -> Column:

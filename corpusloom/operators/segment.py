@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.clean import strip
-from corpusloom.functions.tokens import word_count, words
+from corpusloom.functions.tokens import let, word_count, words
 
 # The patterns of headings.
 SECTION = r"(?isU)\[SEKSI\s+(\d+)\]\s+(.*?)(?=\[SEKSI|\z)"
@@ -18,12 +16,6 @@ WHOLE, GENERAL, LEAD = "Dokumen Stunting", "Umum", "Pendahuluan"
 CUT = "␞"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body names it:
-    expressions in lambdas are not shared otherwise."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def sections(text: Column) -> Column:
     """Array of (num, title, body). Text before the first heading is dropped; a body
     begins with its title line; without headings the whole text is section 0."""

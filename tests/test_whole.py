@@ -161,3 +161,28 @@ def test_first_ranks_are_those_of_the_whole_ranking(spark, block):
             first = next((x for x in whole[query] if x[2]), None)
             assert sorted(rows, key=lambda x: x[1]) == whole[query][:k] + ([first] if first and first[1] > k else [])
     assert ranking.first_ranks(q, items.limit(0), relevant).count() == 0 == ranking.first_ranks(q.limit(0), items, relevant).count()
+
+
+def test_terms_within_terms_are_all_found(spark):
+    from corpusloom.operators import enrich
+
+    table = {"a": ["gizi buruk"], "b": ["gizi"], "c": ["buruk sekali", "zi b"], "d": [""], "e": [], "f": ["uruk"], "g": ["none"]}
+    rows = spark.createDataFrame([(1, "Gizi Buruk"), (2, ""), (3, None), (4, "GIZI buruk sekali")], "id long, text string")
+    found = {r["id"]: r["tags"] for r in rows.select("id", enrich.keyword_tags(F.col("text"), table).alias("tags")).collect()}
+    assert found == {1: ["a", "b", "c", "d", "f"], 2: ["d"], 3: [], 4: ["a", "b", "c", "d", "f"]}
+    assert [r[0] for r in rows.select(enrich.keyword_tags(F.col("text"), {})).collect()] == [[], [], [], []]
+
+
+def test_guards_change_no_result(spark):
+    from corpusloom.functions import clean
+
+    texts = ["STUNTIG ſtuntig stuntıg STUNTİG Stuntig", "xSTUNTIG stuntig_ balits", "BALITS baKits", "ASI ASIx (ASI) MPASI ASI", "", None, "kata biasa"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string")
+    plain = F.col("text")
+    for wrong, right in lexicon.TYPOS:
+        plain = F.regexp_replace(plain, rf"(?iU)\b{re.escape(wrong)}\b", right)
+    expanded = F.col("text")
+    for short, long in lexicon.ABBREVIATIONS:
+        expanded = F.regexp_replace(expanded, rf"(?U)\b{re.escape(short)}\b", f"{long} ({short})")
+    for r in rows.select(plain.alias("a"), clean.fix_typos(F.col("text"), lexicon.TYPOS).alias("b"), expanded.alias("c"), clean.expand_abbreviations(F.col("text"), lexicon.ABBREVIATIONS).alias("d")).collect():
+        assert r["a"] == r["b"] and r["c"] == r["d"]
