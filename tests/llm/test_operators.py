@@ -896,3 +896,33 @@ def test_equals_sql(spark, name):
     assert sorted(ours.columns) == sorted(theirs.columns)
     flat = lambda df: sorted(tuple(map(str, r)) for r in df[sorted(df.columns)].itertuples(index=False))
     assert flat(ours) == flat(theirs)
+
+
+def plain_redact(text, spans, mark="[SECRET]"):
+    out, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_many_spans_in_a_text(spark):
+    """Thousands of spans, in blocks: adjacent, overlapping and nested ones among them."""
+    hashes = [hashlib.sha256(str(k).encode()).hexdigest() for k in range(3_000)]
+    texts = [" ".join(hashes), " ".join(f"token={h}" if k % 3 else f'password: "{h[:9]}" AKIA{h[:20].upper()}' for k, h in enumerate(hashes[:1_100])), "é\U0001f600 ".join(hashes[:257]), hashes[0] * 300, "nothing here", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = secrets.train_on(df.limit(0))
+    found = secrets.scan_secrets(df, model=model)
+    every = F.array_sort(F.concat("base_spans", "markov_spans"))
+    for r in found.select("doc_id", "text", "base_spans", "markov_spans", secrets.redact(F.col("text"), every).alias("redacted")).collect():
+        base, more = ([(s["start"], s["kind"], s["end"]) for s in r[c]] for c in ("base_spans", "markov_spans"))
+        want = [(m.start(), 2, m.end()) for m in re.finditer(secrets.HEX, r["text"])] + [(m.start(), 1, m.end()) for m in re.finditer(secrets.ACCESS, r["text"])]
+        want += [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, r["text"]) if len(m[2]) >= secrets.ASSIGN_CHARS]
+        assert base == sorted(want)
+        covered = np.zeros(len(r["text"]) + 1, bool)
+        for a, _, b in base:
+            covered[a:b] = True
+        assert all(not covered[a:b].all() for a, _, b in more) and more == sorted(more)
+        assert r["redacted"] == plain_redact(r["text"], [(a, b) for a, _, b in sorted(base + more)])
+    assert found.select(F.max(F.size("base_spans"))).first()[0] == 3_000
