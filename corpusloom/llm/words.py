@@ -55,7 +55,7 @@ class WordTokenizer:
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip([0, *stops[:-1]], stops, strict=True)]
 
-    def _of_words(self, words: list[str]) -> dict[str, bytes]:
+    def of_words(self, words: list[str]) -> dict[str, bytes]:
         """The ids of words that aren't kept, and of those the ones there is room for are."""
         plain = {w: (m[1].lower(), m[2]) for w in words if len(w) <= LONGEST and (m := PLAIN.fullmatch(w))}
         cores = self.cores
@@ -75,7 +75,7 @@ class WordTokenizer:
         """The ids of each text, little-endian unsigned 32-bit."""
         split = [t.replace("\n", " ").split(" ") for t in texts]
         kept = self.words
-        new = self._of_words([w for w in set(chain.from_iterable(split)) if w not in kept])
+        new = self.of_words([w for w in set(chain.from_iterable(split)) if w not in kept])
         self.seen += sum(map(len, split))
         self.missed += len(new)
         if len(kept) < self.most:

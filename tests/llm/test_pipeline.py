@@ -103,4 +103,4 @@ def test_whole_run_equals_plain_stages(spark):
 
 def test_catalogue_names():
     numbers = [int(n[2:].split("_")[0]) for n in catalog.QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 13))
