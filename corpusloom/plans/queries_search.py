@@ -401,12 +401,13 @@ _INDENT = r"length(line) - length(regexp_replace(line, '^\s+', ''))"
 _ITEM = f"'<li' || CASE WHEN kind = 'bullet' AND {_INDENT} >= 2 THEN ' class=\"sub\"' ELSE '' END || '>' || shown || '</li>'"
 
 
-def _blocks_sql(text: str) -> str:
+def _blocks_sql(text: str, strip_marks: bool = True) -> str:
     """CTEs up to ``blocks`` (conv_id, turn, block, kind, html)."""
+    bare = r"CASE kind WHEN 'heading' THEN regexp_replace(line, '^(#+\s*|\d+\.\s+)', '') WHEN 'ordered' THEN regexp_replace(line, '^\d+\.\s+', '') WHEN 'bullet' THEN regexp_replace(line, '^\s*[*\-]\s+', '') ELSE line END" if strip_marks else "line"
     return rf"""l AS (SELECT conv_id, turn, unnest(string_split({text}, chr(10))) AS line, generate_subscripts(string_split({text}, chr(10)), 1) AS i FROM conversations),
 a AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,3}}\s') THEN 'heading' WHEN regexp_matches(line, '^\d+\.\s+\S.{{0,80}}$') AND NOT regexp_matches(coalesce(lead(line) OVER w, ''), '^\s*[*\-\d]') THEN 'heading' WHEN regexp_matches(line, '^\d+\.\s') THEN 'ordered' WHEN regexp_matches(line, '^\s*[*\-]\s') THEN 'bullet' WHEN regexp_matches(line, '^\s*$') THEN 'gap' ELSE 'text' END AS first FROM l WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
 b AS (SELECT *, CASE WHEN first = 'heading' AND regexp_matches(line, '^\d+\.\s') AND lag(first) OVER w = 'ordered' THEN 'ordered' ELSE first END AS kind FROM a WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
-c AS (SELECT *, CASE WHEN kind IN ('ordered', 'bullet') AND lag(kind) OVER w = kind THEN 0 ELSE 1 END AS starts, CASE kind WHEN 'heading' THEN regexp_replace(line, '^(#+\s*|\d+\.\s+)', '') WHEN 'ordered' THEN regexp_replace(line, '^\d+\.\s+', '') WHEN 'bullet' THEN regexp_replace(line, '^\s*[*\-]\s+', '') ELSE line END AS bare FROM b WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
+c AS (SELECT *, CASE WHEN kind IN ('ordered', 'bullet') AND lag(kind) OVER w = kind THEN 0 ELSE 1 END AS starts, {bare} AS bare FROM b WINDOW w AS (PARTITION BY conv_id, turn ORDER BY i)),
 n AS (SELECT *, (sum(starts) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS UNBOUNDED PRECEDING))::BIGINT AS block, {_inline_sql('bare')} AS shown FROM c),
 g AS (SELECT conv_id, turn, block, kind, string_agg(CASE kind WHEN 'heading' THEN '<span class="bh">' || shown || '</span>' WHEN 'gap' THEN '<span class="bg"></span>' WHEN 'text' THEN '<span class="bp">' || shown || '</span>' ELSE {_ITEM} END, '' ORDER BY i) AS html FROM n GROUP BY ALL),
 blocks AS (SELECT conv_id, turn, block, kind, CASE kind WHEN 'ordered' THEN '<ol class="bol">' || html || '</ol>' WHEN 'bullet' THEN '<ul class="bul">' || html || '</ul>' ELSE html END AS html FROM g)"""

@@ -371,3 +371,20 @@ def test_report_command(spark, tmp_path, capsys):
     assert corpus.read_chunk_file(spark, f"{tmp_path}/none.json").count() == 0
     empty = evaluation.evaluate(spark.createDataFrame([], "chunk_id string, embedding array<double>, section string"), spark.createDataFrame([], "item_id long, text string, keywords array<string>, section string"), spark.createDataFrame([], "query_id long, query string"), spark.createDataFrame([], "query_id long, sections array<string>, ids array<long>"))
     assert {r["metric"]: r["value"] for r in empty.filter("part = 'coverage'").collect()} == {"total": 0.0, "main": 0.0, "reference": 0.0, "sections": 0.0}
+
+
+def test_a_failed_answer_counts_and_leaves_the_time(spark):
+    from corpusloom.operators import session
+
+    empty = spark.createDataFrame([], "conv_id long, turn int, role string, text string, time string, elapsed string")
+    asked = spark.createDataFrame([(1, " satu ", "2024-01-01 09:05:59"), (2, "  ", "2024-01-01 09:00:00"), (3, "tiga", None)], "conv_id long, text string, at string").withColumn("at", F.to_timestamp("at"))
+    said = spark.createDataFrame([(1, "jawab", None, 1.5, "2024-01-01 09:06:01"), (3, None, "boom", 2.0, None)], "conv_id long, response string, error string, took double, at string").withColumn("at", F.to_timestamp("at"))
+    once = session.process(empty, asked, said)
+    again = session.process(once, asked.filter("conv_id = 1"), said.filter("conv_id = 3").withColumn("conv_id", F.lit(1).cast("long")))
+    rows = [tuple(r) for r in again.orderBy("conv_id", "turn").collect()]
+    assert rows[:2] == [(1, 0, "user", "satu", "09:05", ""), (1, 1, "assistant", "jawab", "09:06", "1.5")]
+    assert rows[3] == (1, 3, "assistant", session.FAILED.format("boom"), "09:05", "") and rows[5][4:] == (None, "")
+    stats = {r["conv_id"]: tuple(r)[1:] for r in session.latency_stats(again, F.col("conv_id") == 1).collect()}
+    assert stats == {1: (2, 2, "1.5", "OK"), 3: (1, 1, session.NO_TIME, "ERR")}
+    html = session.timed_transcript(again.filter("conv_id = 1")).first()["html"]
+    assert "09:06 · 1.5s" in html and html.count("·") == 1

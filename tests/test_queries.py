@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from corpusloom.plans import catalog, queries_report, queries_search, queries_text  # noqa: F401
+from corpusloom.plans import catalog, queries_report, queries_search, queries_session, queries_text  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "documents embeddings pages benchmark labels conversations".split()
