@@ -240,7 +240,7 @@ l AS (SELECT query_id, item_id, CASE WHEN raw > 0 THEN raw / max(raw) OVER (PART
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM l)"""
 
 
-def _asked(spark, d):
+def _lexical_queries(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
@@ -251,15 +251,15 @@ def lexical_items(spark, d):
 
 
 def _lexical(spark, d):
-    q, items = _asked(spark, d), lexical_items(spark, d)
+    q, items = _lexical_queries(spark, d), lexical_items(spark, d)
     return metrics.rank_all(metrics.lexical_scores(q, items), q, items)
 
 
 def _first_ranks(spark, d):
     """An item answers a query if their ids add up to a multiple of 3."""
     group = lambda c: F.pmod(c, F.lit(3)).cast("string")
-    relevant = _asked(spark, d).select("query_id", F.array(group(-F.col("query_id"))).alias("sections"))
-    return ranking.first_ranks(_asked(spark, d), lexical_items(spark, d).withColumn("third", group(F.col("item_id"))), relevant, group_col="third")
+    relevant = _lexical_queries(spark, d).select("query_id", F.array(group(-F.col("query_id"))).alias("sections"))
+    return ranking.first_ranks(_lexical_queries(spark, d), lexical_items(spark, d).withColumn("third", group(F.col("item_id"))), relevant, group_col="third")
 
 
 @register("lexical_rank", f"WITH {_LEX_SQL} SELECT query_id, item_id, round(score, 6) AS score, rank FROM k", longs=("rank",))
