@@ -13,7 +13,11 @@ returns the columns of ``docs``, but for the last, which returns pieces in seque
 
 Null texts are empty texts; an n_chars column follows the text; documents with a null
 doc_id pass all stages (as near duplicates they link with nothing); rows that repeat
-a doc_id stay or go together; other columns pass through to the last stage.
+a doc_id stay or go together; other columns pass through to the last stage, whatever
+their names, and those an operator adds stay out of the next one's sight. An empty table
+passes all stages and gives no pieces. Texts of any length are read whole by each stage and
+cut by packing alone. A confidence of just ``MIN_SCORE`` and a line in just as many documents
+as count decide as their operators say; of near duplicates that tie the least id stays.
 """
 
 from __future__ import annotations

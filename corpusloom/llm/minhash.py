@@ -14,7 +14,9 @@ of its distinct five-word shingles, or its whole word sequence if that is shorte
    further bands first), members are compared block by block, across components alone,
    in the same sequential way, each pair in the bucket of its first common band. Members
    with a survivor meet once more, with their texts, and are verified on the spot, so
-   pairs are never rows. No candidate between different components is left untried.
+   pairs are never rows. In buckets of up to ``WIDE_BLOCKS`` blocks no candidate between
+   different components is left untried; in larger ones members meet within the further
+   bands alone, which miss a pair at the threshold with a probability of ``MISS`` at most.
 
 Defined results: a null or empty text, or one without words, has an empty set and
 links with nothing; a null doc_id links with nothing; rows that repeat a doc_id are
