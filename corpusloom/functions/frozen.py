@@ -32,6 +32,7 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 
 def frozen(df: DataFrame) -> DataFrame:
     """``df``, written once to the shared folder, so that all that reads it sees the same
-    partitions, and a lost executor takes nothing with it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    rows, and a lost executor takes nothing with it. It is deleted with the driver's JVM."""
+    path = scratch_folder(df.sparkSession, "frozen")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

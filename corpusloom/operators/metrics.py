@@ -22,10 +22,9 @@ from corpusloom.functions import vectors
 from corpusloom.functions.frozen import frozen
 from corpusloom.functions.tokens import word_count, word_set
 from corpusloom.functions.vectors import norm
+from corpusloom.operators import moments
 
 PAIR_BLOCK = 4096
-#: Of partial sums that a task holds at once.
-MOMENT_BYTES = 64 << 20
 #: Span of ids of the items that are listed at once behind a query's matches.
 ID_BLOCK = 4096
 #: Levels of a badge; metric, good from, fair from.
@@ -62,45 +61,6 @@ def _compared(df: DataFrame, vector_col: str) -> tuple[DataFrame, int]:
     return some, found["most"] or 0
 
 
-def _moments(df: DataFrame, vector_col: str, group_col: str | None, dim: int) -> DataFrame:
-    """(g, i, x): for each group, by place, the number of vectors, the sums of the second
-    and fourth powers of their norms, the number of those not zero, their sum, and their
-    Gram matrix.
-
-    A task gives a partial row for each group, and gives away those it holds when they
-    pass ``MOMENT_BYTES``, so that the number of groups doesn't matter."""
-    group = F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")
-    most = max(1, MOMENT_BYTES // (8 * (dim + 1) ** 2))
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict = {}
-        given = lambda: pd.DataFrame({"g": list(held), "m": [m.tolist() for m in held.values()]})
-        for batch in batches:
-            for g, part in batch.groupby("g", dropna=False):
-                x = np.stack(part["v"]).astype(np.float64)
-                n2 = (x * x).sum(axis=1)
-                new = np.concatenate([[len(x), n2.sum(), (n2 * n2).sum(), (n2 > 0).sum()], x.sum(axis=0), (x.T @ x).ravel()])
-                key = None if g is None or g != g else g
-                held[key] = held.get(key, 0) + new
-                if len(held) > most:
-                    yield given()
-                    held.clear()
-        if held:
-            yield given()
-
-    rows = df.select(group.alias("g"), F.col(vector_col).alias("v")).mapInPandas(partial, "g string, m array<double>")
-    return rows.select("g", F.posexplode("m").alias("i", "x")).groupBy("g", "i").agg(F.sum("x").alias("x"))
-
-
-def _pair_sums(moments: DataFrame, dim: int, *by: str) -> DataFrame:
-    """(by, n, some, s, q) of moments: vectors, those not zero, and over pairs i < j the sum
-    of inner products and that of their squares."""
-    i, x = F.col("i"), F.col("x")
-    at = lambda k: F.max(F.when(i == k, x))
-    of_sum, of_gram = (F.coalesce(F.sum(F.when(c, x * x)), F.lit(0.0)) for c in ((i >= 4) & (i < 4 + dim), i >= 4 + dim))
-    return moments.groupBy(*by).agg(at(0).alias("n"), at(3).alias("some"), ((of_sum - at(1)) / 2).alias("s"), ((of_gram - at(2)) / 2).alias("q"))
-
-
 def _spread(pairs: Column, s: Column, q: Column) -> tuple[Column, Column]:
     """(mean, population deviation), null without pairs."""
     some = F.when(pairs > 0.5, pairs)
@@ -113,11 +73,11 @@ def coherence(df: DataFrame, *, vector_col: str = "embedding", section_col: str
     and the ratio of the means; without pairs 0, and no row without vectors. Vectors
     that are null or hold no finite numbers alone are left out."""
     some, dim = _compared(df, vector_col)
-    each = _moments(some, vector_col, section_col, dim)
-    total = each.groupBy("i").agg(F.sum("x").alias("x"))
+    each = moments.moments(some, vector_col, section_col, dim)
+    total = moments.pair_sums(moments.whole(each), dim)
     pairs = F.col("n") * (F.col("n") - 1) / 2
-    parts = _pair_sums(each, dim, "g").select(F.lit(True).alias("within"), pairs.alias("p"), "s", "q")
-    parts = parts.union(_pair_sums(total, dim).filter("n > 0").select(F.lit(False), pairs, "s", "q"))
+    parts = moments.pair_sums(each, dim).select(F.lit(True).alias("within"), pairs.alias("p"), "s", "q")
+    parts = parts.union(total.select(F.lit(False), pairs, "s", "q"))
     one = parts.agg(*[F.coalesce(F.sum(F.when(F.col("within") == w, F.col(c))), F.lit(0.0)).alias(f"{c}_{n}") for w, n in ((True, "in"), (False, "all")) for c in ("p", "s", "q")], F.count_if(~F.col("within")).alias("k")).filter("k > 0")
     sums = {"intra": [F.col(f"{c}_in") for c in "psq"], "inter": [F.col(f"{c}_all") - F.col(f"{c}_in") for c in "psq"], "cosine": [F.col(f"{c}_all") for c in "psq"]}
     found = {f"{name}_{what}": F.coalesce(value, F.lit(0.0)) for name, three in sums.items() for what, value in zip(("mean", "std"), _spread(*three), strict=True)}
@@ -130,7 +90,7 @@ def section_coherence(df: DataFrame, *, vector_col: str = "embedding", section_c
     zero vector, whose similarity is 0, don't count, nor do vectors that are null or
     hold no finite numbers alone."""
     some, dim = _compared(df, vector_col)
-    sums = _pair_sums(_moments(some, vector_col, section_col, dim), dim, "g")
+    sums = moments.pair_sums(moments.moments(some, vector_col, section_col, dim), dim)
     mean, deviation = _spread(F.col("some") * (F.col("some") - 1) / 2, F.col("s"), F.col("q"))
     return sums.select(F.col("g").alias("section"), F.col("n").cast("long").alias("n_chunks"), mean.alias("avg_sim"), deviation.alias("std_sim"))
 
@@ -202,9 +162,8 @@ def pca_geometry(df: DataFrame, vector_col: str = "embedding") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for m in batch["m"]:
-                m = np.asarray(m)
-                n, s, g = m[0], m[4 : 4 + dim], m[4 + dim :].reshape(dim, dim)
+            for pieces in batch["ms"]:
+                n, s, g = moments.unpack(np.concatenate([np.frombuffer(p) for p in pieces]), dim)
                 values = np.linalg.eigvalsh((g - np.outer(s, s) / n) / max(1.0, n - 1))[::-1][: int(min(n, dim))]
                 values = np.maximum(values, 0.0)
                 share = values / values.sum() if values.sum() > 0 else values
@@ -212,8 +171,7 @@ def pca_geometry(df: DataFrame, vector_col: str = "embedding") -> DataFrame:
                 at = [int((run_sum < t - 1e-12).sum()) + 1 for t in (0.8, 0.9, 0.95)]
                 yield pd.DataFrame([[dim, *at, float(values[-1] / values[0]) if values[0] > 0 else 0.0, share[:5].tolist(), at[1] / dim]], columns=["dim", "dims_80", "dims_90", "dims_95", "isotropy", "top5", "compression"])
 
-    whole = _moments(some, vector_col, None, dim).groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("m"))
-    return whole.mapInPandas(run, "dim int, dims_80 int, dims_90 int, dims_95 int, isotropy double, top5 array<double>, compression double")
+    return moments.joined(moments.moments(some, vector_col, None, dim)).mapInPandas(run, "dim int, dims_80 int, dims_90 int, dims_95 int, isotropy double, top5 array<double>, compression double")
 
 
 def keyword_set(keywords: Column) -> Column:
