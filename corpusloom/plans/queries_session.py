@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions.frozen import scratch_folder
 from corpusloom.operators import answer, present, session
+from corpusloom.streaming import sessions
 
 from .catalog import register, table
 from .queries_search import _ESC, _blocks_sql, _marked, _MARKED_SQL
@@ -76,3 +78,19 @@ def prompts(spark, d):
 @register("render_blocks_marked", f"WITH {_blocks_sql(_MARKED_SQL, strip_marks=False)} SELECT * FROM blocks")
 def render_blocks_marked(spark, d):
     return present.blocks(table(spark, d, "conversations").select("conv_id", "turn", _marked().alias("text")), ["conv_id", "turn"], strip_marks=False)
+
+
+@register("session_state", f"""WITH {_TIMED_SQL}, e AS (SELECT conv_id, turn // 3 AS epoch, turn, role, elapsed FROM t WHERE role IN ('user', 'assistant')),
+l AS (SELECT conv_id, max(epoch) AS epoch FROM e GROUP BY conv_id), s AS (SELECT conv_id, l.epoch AS epoch, count(*) FILTER (role = 'user') AS q, count(*) FILTER (role = 'assistant') AS r, arg_max(elapsed, turn) FILTER (role = 'assistant' AND elapsed <> '') AS took FROM e JOIN l USING (conv_id) WHERE e.epoch = l.epoch GROUP BY ALL)
+SELECT conv_id, epoch + (conv_id % 5 = 0)::INT AS epoch, CASE WHEN conv_id % 5 = 0 THEN 0 ELSE q END AS n_questions, CASE WHEN conv_id % 5 = 0 THEN 0 ELSE r END AS n_responses, CASE WHEN conv_id % 5 = 0 THEN '—' ELSE coalesce(took, '—') END AS last_time, conv_id % 5 = 0 AS greet, CASE WHEN conv_id % 9 > 0 THEN 'OK' ELSE 'ERR' END AS status FROM s""", longs=("epoch", "n_questions", "n_responses"))
+def session_state(spark, d):
+    """A session begins anew at every third turn, and every fifth one is cleared at its end;
+    its events come in two parts, each followed by the stream."""
+    path, turns = scratch_folder(spark, "sessions"), _timed(spark, d).filter(F.col("role").isin("user", "assistant"))
+    events = turns.select("conv_id", F.floor(F.col("turn") / 3).alias("epoch"), F.col("turn").cast("long").alias("turn"), F.col("role").alias("kind"), "elapsed")
+    cleared = events.filter(F.col("conv_id") % 5 == 0).select("conv_id", (F.col("epoch") + 1).alias("epoch"), "turn", F.lit("clear").alias("kind"), F.lit("").alias("elapsed"))
+    events = events.unionByName(cleared)
+    for part in (F.col("turn") % 4 < 2, F.col("turn") % 4 >= 2):
+        events.filter(part).write.mode("append").parquet(f"{path}/events")
+        sessions.follow(spark, f"{path}/events", f"{path}/states", f"{path}/mark").awaitTermination()
+    return sessions.shown(sessions.states(spark, f"{path}/states"), F.col("conv_id") % 9 > 0)
