@@ -73,7 +73,7 @@ def coherence(df: DataFrame, *, vector_col: str = "embedding", section_col: str
     and the ratio of the means; without pairs 0, and no row without vectors. Vectors
     that are null or hold no finite numbers alone are left out."""
     some, dim = _compared(df, vector_col)
-    each = moments.moments(some, vector_col, section_col, dim)
+    each = frozen(moments.moments(some, vector_col, section_col, dim))
     total = moments.pair_sums(moments.whole(each), dim)
     pairs = F.col("n") * (F.col("n") - 1) / 2
     parts = moments.pair_sums(each, dim).select(F.lit(True).alias("within"), pairs.alias("p"), "s", "q")

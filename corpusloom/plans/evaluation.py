@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions.frozen import frozen
 from corpusloom.operators import metrics, ranking
 from corpusloom.sources import corpus
 
@@ -29,25 +30,28 @@ def evaluate(vectors: DataFrame, items: DataFrame, queries: DataFrame, relevant:
 
     ``vectors`` has id_col, embedding and section; ``items`` item_id (integral), text,
     keywords and section; ``queries`` query_id and query; ``relevant`` query_id, sections
-    and ids (arrays of what answers it). Only the parts asked for are computed, each in
-    its own plan; without vectors or items a part has what its operator gives then."""
+    and ids (arrays of what answers it). Only the parts asked for are computed, and each of
+    them once: what several parts show is written and read again. Without vectors or
+    items a part has what its operator gives then."""
     spark = vectors.sparkSession
     found = [spark.createDataFrame([], COLUMNS)]
     embedding = {"vector_col": "embedding", "section_col": "section"}
     want = set(parts)
     shown = want & {"scorecard", "recommendations"}
+    once = lambda df: frozen(df) if shown or len(want) > 1 else df
     intrinsic = metrics.norm_stats(vectors).withColumn("is_normalized", F.col("is_normalized").cast("int"))
     elements = metrics.element_stats(vectors).withColumnsRenamed({c: f"element_{c}" for c in ("mean", "std", "min", "max")})
     tokens = metrics.token_stats(items)
-    pairs = metrics.pair_extremes(vectors, id_col=id_col)
+    if want & {"intrinsic", "coherence", "duplicates"} or shown:
+        pairs = once(metrics.pair_extremes(vectors, id_col=id_col))
     if "intrinsic" in want or shown:
-        norms, loss = tidy(intrinsic, "intrinsic", intrinsic.columns), tidy(pairs, "intrinsic", ["uniformity_loss"])
-        words = tidy(tokens, "intrinsic", tokens.columns)
+        norms, loss = once(tidy(intrinsic, "intrinsic", intrinsic.columns)), tidy(pairs, "intrinsic", ["uniformity_loss"])
+        words = once(tidy(tokens, "intrinsic", tokens.columns))
     if "intrinsic" in want:
         found += [norms, tidy(elements, "intrinsic", elements.columns), loss, words]
     if "coherence" in want or shown:
         alike = metrics.coherence(vectors, **embedding)
-        alike = tidy(alike, "coherence", alike.columns)
+        alike = once(tidy(alike, "coherence", alike.columns))
     if "coherence" in want:
         found += [alike, tidy(pairs, "coherence", ["cosine_max"])]
     if "section_coherence" in want:
@@ -57,7 +61,7 @@ def evaluate(vectors: DataFrame, items: DataFrame, queries: DataFrame, relevant:
         found.append(tidy(shape, "geometry", shape.columns))
     if "duplicates" in want or shown:
         near = metrics.near_duplicate_pairs(vectors, duplicate, id_col=id_col).agg(F.count("*").alias("n_duplicates"))
-        near = tidy(near, "duplicates", ["n_duplicates"])
+        near = once(tidy(near, "duplicates", ["n_duplicates"]))
     if "duplicates" in want:
         found += [near, tidy(pairs, "duplicates", ["n_pairs"])]
     if want & {"retrieval", "retrieval_per_query"} or shown:
@@ -65,7 +69,7 @@ def evaluate(vectors: DataFrame, items: DataFrame, queries: DataFrame, relevant:
         ranked = ranking.first_ranks(queries, items, truth, k=max(DEPTHS))
         per = metrics.ranking_metrics(ranked, truth.select("query_id", F.size("sections").alias("n_relevant")), DEPTHS)
         hit = metrics.chunk_hit(ranked, relevant.select("query_id", "ids")).select("query_id", F.col("hit").cast("int").alias("chunk_hit@3"))
-        per = per.join(hit, "query_id", "left")
+        per = once(per.join(hit, "query_id", "left"))
         mean = metrics.mean_metrics(per)
         mean = tidy(mean, "retrieval", mean.columns)
     if "retrieval" in want:
