@@ -7,6 +7,7 @@ of its distinct five-word shingles, or its whole word sequence if that is shorte
 1. Documents with equal sets form a class, combined on the map side; only classes go on.
 2. In each bucket of equal bands all members are paired with one of them, the one
    whose own buckets are largest: as many pairs as rows, whatever the bucket's size.
+   Pairs of a member that many share are dealt to several tasks.
 3. Pairs are compared by batches of signature slots. After each batch the posterior
    of the similarity (uniform prior) is bounded, and the pair dropped when similarity
    over the threshold has a probability below ``miss``. Survivors are verified exactly.
@@ -321,10 +322,12 @@ def _texts(ids: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataF
     return texts
 
 
-def verify(pairs: DataFrame, texts: DataFrame, percent: int, width: int = WIDTH) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, percent: int, heavy: DataFrame, width: int = WIDTH) -> DataFrame:
     """The pairs (a, b) whose full sets, from texts (id, t), have
-    100 |A and B| >= percent |A or B|."""
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    100 |A and B| >= percent |A or B|. The text of ``a`` travels with its pair to that of
+    ``b``, which may stand in many pairs: the ``heavy`` ones are dealt to several tasks."""
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
+    both = spread_join(both, texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), ["b"], heavy, F.xxhash64("a"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, held = None, np.empty(0, np.uint64)
@@ -386,11 +389,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     weight = buckets.groupBy("id").agg(F.sum("size").alias("weight"))
     hubs = buckets.join(weight, "id").groupBy(*by).agg(F.max_by("id", F.struct("weight", F.xxhash64("id"), "id")).alias("b"))
     star = spread_join(buckets.select(*by, F.col("id").alias("a")), hubs, by, heavy, F.xxhash64("a"))
-    star = star.filter(F.col("a") != F.col("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    star = materialize(bayes_filter(_signed(star, signatures, percent), bounds), "pairs")
+    # Of a pair, b is the hub: a stands in no more pairs than there are bands, b in any number.
+    star = star.filter(F.col("a") != F.col("b")).groupBy(F.least("a", "b"), F.greatest("a", "b")).agg(F.max(F.struct("b", "a")).alias("p"))
+    proposed = materialize(star.select("p.a", "p.b"), "proposed")
+    loads = materialize(proposed.groupBy("b").agg(F.count("*").alias("size")), "hubs")
+    heavy_hubs = heavy_keys(loads, ["b"], "size")
+    star = materialize(bayes_filter(_signed(proposed, signatures, percent, heavy_hubs), bounds), "pairs")
+    drop_scratch(proposed)
     texts = _texts(star.select(F.col("a").alias("id")).union(star.select(F.col("b").alias("id"))), docs, id_col, text_col)
-    links.append(materialize(verify(star, texts, percent), "links"))
-    drop_scratch(texts, star)
+    links.append(materialize(verify(star, texts, percent, heavy_hubs), "links"))
+    drop_scratch(texts, star, loads)
 
     labels = components(links[0].union(links[1]), "a", "b")
     labelled = buckets.join(labels.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
@@ -422,9 +430,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return whole.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
-def _signed(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+def _signed(pairs: DataFrame, signatures: DataFrame, percent: int, heavy: DataFrame) -> DataFrame:
     one = lambda c: signatures.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}"))
-    return pairs.join(one("a"), "a").join(one("b"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return spread_join(pairs.join(one("a"), "a"), one("b"), ["b"], heavy, F.xxhash64("a")).filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
 
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

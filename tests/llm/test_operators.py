@@ -926,3 +926,12 @@ def test_many_spans_in_a_text(spark):
         assert all(not covered[a:b].all() for a, _, b in more) and more == sorted(more)
         assert r["redacted"] == plain_redact(r["text"], [(a, b) for a, _, b in sorted(base + more)])
     assert found.select(F.max(F.size("base_spans"))).first()[0] == 3_000
+
+
+def test_near_dedup_of_a_hub_that_most_pairs_share(spark):
+    """One hub with 1,500 variants, each of other words at its end, beside pairs and lone texts."""
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*base, f"end{i}"])) for i in range(1500)]
+    rows += [(2000 + i, " ".join(f"p{i // 2}x{j}" for j in range(30 + i % 2))) for i in range(40)] + [(3000 + i, " ".join(f"lone{i}x{j}" for j in range(9))) for i in range(10)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), threshold=0.85).collect()}
+    assert got == {d: 0 if d < 1500 else d - d % 2 if d < 3000 else d for d, _ in rows}
