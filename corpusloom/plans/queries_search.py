@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusloom import lexicon
 from corpusloom.functions import embed, vectors
 from corpusloom.functions.frozen import scratch_folder
-from corpusloom.operators import answer, metrics, present, ranking, search, session
+from corpusloom.operators import answer, cells, metrics, present, ranking, search, session
 
 from .catalog import register, table
 from .engine import Engine
@@ -99,6 +99,18 @@ def near_duplicate_vectors(spark, d):
     return _round(metrics.near_duplicate_pairs(table(spark, d, "embeddings"), 0.3, id_col="vec_id"), "cosine")
 
 
+@register("near_duplicate_classes", f"WITH c AS (SELECT min(vec_id) AS vec_id, count(*) AS n, embedding FROM embeddings GROUP BY embedding) SELECT a.vec_id AS a, b.vec_id AS b, round({_DOT}, 6) AS cosine, a.n AS n_a, b.n AS n_b FROM c a JOIN c b ON a.vec_id < b.vec_id OR (a.vec_id = b.vec_id AND a.n > 1) WHERE {_DOT} >= 0.95")
+def near_duplicate_classes(spark, d):
+    return _round(cells.near_classes(table(spark, d, "embeddings"), id_col="vec_id"), "cosine")
+
+
+@register("vector_topk_cells", f"SELECT query_id, item_id, round(score, 6) AS score, rank FROM ({_TOP_SQL % 10})", longs=("rank",))
+def vector_topk_cells(spark, d):
+    path = scratch_folder(spark, "cells")
+    cells.write_cells(table(spark, d, "embeddings"), path, id_col="vec_id")
+    return _round(cells.topk(_queries(spark, d), path, 10), "score")
+
+
 @register("pca_geometry")
 def pca_geometry(spark, d):
     return metrics.pca_geometry(table(spark, d, "embeddings"))
