@@ -92,7 +92,7 @@ class Grid:
         for half, c in zip((x[:, : self.cut], x[:, self.cut :]), self.books, strict=True):
             d = _square(half, c)
             a = d.argmin(axis=1)
-            apart = np.sqrt(_square(c, c))[a]
+            apart = np.sqrt(_square(c[a], c))
             gap = np.where(apart > 0, (d - d[np.arange(len(d)), a][:, None]) / (2 * np.where(apart > 0, apart, 1)), 0.0)
             own.append(a)
             far.append(np.maximum(gap, 0.0) ** 2)
