@@ -109,43 +109,81 @@ def visits(rows: DataFrame, centres: np.ndarray, threshold: float, most: float)
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("__home", T.IntegerType()), T.StructField("cell", T.IntegerType())]))
 
 
+def _classes(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(__id, __v, __n): different vectors with the least id and the number of their rows."""
+    return frozen(_usable(df, id_col, vector_col).groupBy("__v").agg(F.min("__id").alias("__id"), F.count("*").alias("__n")).select("__id", "__v", "__n"))
+
+
+def _near(asking: pa.Table, held: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row that asks, row held, inner product) of near classes, each two of them once and
+    a class of several rows also with itself."""
+    x, y = _matrix(asking["__v"].combine_chunks()), _matrix(held["__v"].combine_chunks())
+    mine, theirs = (t["__id"].to_numpy() for t in (asking, held))
+    at_home, many = asking["__home"].to_numpy() == asking["cell"].to_numpy(), asking["__n"].to_numpy() > 1
+    for at in range(0, len(x), 256):
+        part = x[at : at + 256] @ y.T
+        p, q = np.nonzero(part >= threshold)
+        a, b = mine[p + at], theirs[q]
+        keep = ~at_home[p + at] | (a < b) | ((a == b) & many[p + at])
+        yield p[keep] + at, q[keep], part[p[keep], q[keep]]
+
+
+def _meet(classes: DataFrame, threshold: float, cells: int | None, block: int, run, schema: T.StructType) -> DataFrame:
+    """``run`` over blocks of classes that ask and classes that are held, by cell."""
+    n, most = _size(classes)
+    if not n:
+        return classes.sparkSession.createDataFrame([], schema)
+    placed = visits(classes, fit_centres(classes, n, cells), threshold, most)
+    homes = placed.filter(F.col("__home") == F.col("cell")).drop("__home")
+    return _dealt(placed, homes, block, block).applyInArrow(run, schema)
+
+
 def near_classes(df: DataFrame, threshold: float = 0.95, *, id_col: str, vector_col: str = "embedding", cells: int | None = None, block: int = PAIR_BLOCK) -> DataFrame:
     """(a, b, cosine, n_a, n_b) of classes of equal vectors, named by their least id, whose
     inner product is at least ``threshold``: a < b, and a = b for a class of several rows
-    that reaches it with itself. All links of the rows follow, without a row for each."""
-    rows = frozen(_usable(df, id_col, vector_col).groupBy("__v").agg(F.min("__id").alias("__id"), F.count("*").alias("__n")).select("__id", "__v", "__n"))
-    n, most = _size(rows)
+    that reaches it with itself. All links of the rows follow, without a row for each; where
+    many vectors that differ are near each other, ``near_links`` gives fewer rows."""
     kind = df.schema[id_col].dataType
     schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("cosine", T.DoubleType()), T.StructField("n_a", T.LongType()), T.StructField("n_b", T.LongType())])
     arrow = to_arrow_schema(schema)
-    if not n:
-        return df.sparkSession.createDataFrame([], schema)
-    placed = visits(rows, fit_centres(rows, n, cells), threshold, most)
 
     def run(asking: pa.Table, held: pa.Table) -> pa.Table:
         if not len(asking) or not len(held):
             return arrow.empty_table()
-        x, y = _matrix(asking["__v"].combine_chunks()), _matrix(held["__v"].combine_chunks())
-        mine, theirs = (t["__id"].to_numpy() for t in (asking, held))
-        at_home, many = asking["__home"].to_numpy() == asking["cell"].to_numpy(), asking["__n"].to_numpy() > 1
-        i, j, s = [], [], []
-        for at in range(0, len(x), 256):
-            part = x[at : at + 256] @ y.T
-            p, q = np.nonzero(part >= threshold)
-            a, b = mine[p + at], theirs[q]
-            keep = ~at_home[p + at] | (a < b) | ((a == b) & many[p + at])
-            i.append(p[keep] + at)
-            j.append(q[keep])
-            s.append(part[p[keep], q[keep]])
-        i, j, s = (np.concatenate(z) for z in (i, j, s))
-        swap = mine[i] > theirs[j]
+        i, j, s = (np.concatenate(z) for z in zip(*_near(asking, held, threshold), strict=True))
+        swap = asking["__id"].to_numpy()[i] > held["__id"].to_numpy()[j]
         ids = asking["__id"].combine_chunks().take(pa.array(i)), held["__id"].combine_chunks().take(pa.array(j))
         counts = asking["__n"].to_numpy()[i], held["__n"].to_numpy()[j]
         pick = lambda first: pc.if_else(pa.array(swap), ids[1 - first], ids[first])
         return pa.table([pick(0), pick(1), pa.array(s), pa.array(np.where(swap, counts[1], counts[0])), pa.array(np.where(swap, counts[0], counts[1]))], schema=arrow)
 
-    homes = placed.filter(F.col("__home") == F.col("cell")).drop("__home")
-    return _dealt(placed, homes, block, block).applyInArrow(run, schema)
+    return _meet(_classes(df, id_col, vector_col), threshold, cells, block, run, schema)
+
+
+def near_links(df: DataFrame, threshold: float = 0.95, *, id_col: str, vector_col: str = "embedding", cells: int | None = None, block: int = PAIR_BLOCK) -> DataFrame:
+    """(id, class_id, n_links) of each row that takes part: the least id of the rows with its
+    vector, and how many other rows it has an inner product of at least ``threshold`` with.
+    Blocks give counts by class, so no pair is a row, however many vectors are near."""
+    kind = df.schema[id_col].dataType
+    schema = T.StructType([T.StructField("__id", kind), T.StructField("n", T.LongType())])
+    arrow = to_arrow_schema(schema)
+    classes = _classes(df, id_col, vector_col)
+
+    def run(asking: pa.Table, held: pa.Table) -> pa.Table:
+        if not len(asking) or not len(held):
+            return arrow.empty_table()
+        mine, theirs, n_a, n_h = (t[c].to_numpy() for c in ("__id", "__n") for t in (asking, held))
+        a, h = np.zeros(len(mine), np.int64), np.zeros(len(theirs), np.int64)
+        for i, j, _ in _near(asking, held, threshold):
+            itself = mine[i] == theirs[j]
+            np.add.at(a, i, n_h[j] - itself)
+            np.add.at(h, j[~itself], n_a[i[~itself]])
+        ids = pa.chunked_array([t["__id"].combine_chunks().filter(pa.array(c > 0)) for t, c in ((asking, a), (held, h))])
+        return pa.table([ids, pa.array(np.concatenate([a[a > 0], h[h > 0]]))], schema=arrow)
+
+    counts = _meet(classes, threshold, cells, block, run, schema).groupBy("__id").agg(F.sum("n").alias("n"))
+    found = classes.join(counts, "__id", "left").select("__v", F.col("__id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+    return _usable(df, id_col, vector_col).join(found, "__v").select(F.col("__id").alias(id_col), "class_id", "n_links")
 
 
 def write_cells(df: DataFrame, path: str, *, id_col: str, vector_col: str = "embedding", cells: int | None = None) -> None:

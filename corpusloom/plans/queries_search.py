@@ -104,6 +104,11 @@ def near_duplicate_classes(spark, d):
     return _round(cells.near_classes(table(spark, d, "embeddings"), id_col="vec_id"), "cosine")
 
 
+@register("near_duplicate_links", "WITH l AS (SELECT a.vec_id, count(*) AS n FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE " + _DOT + " >= 0.95 GROUP BY a.vec_id) SELECT e.vec_id, min(e.vec_id) OVER (PARTITION BY embedding) AS class_id, coalesce(l.n, 0) AS n_links FROM embeddings e LEFT JOIN l ON l.vec_id = e.vec_id")
+def near_duplicate_links(spark, d):
+    return cells.near_links(table(spark, d, "embeddings"), id_col="vec_id")
+
+
 @register("vector_topk_cells", f"SELECT query_id, item_id, round(score, 6) AS score, rank FROM ({_TOP_SQL % 10})", longs=("rank",))
 def vector_topk_cells(spark, d):
     path = scratch_folder(spark, "cells")

@@ -43,6 +43,17 @@ def test_near_classes(spark, threshold):
     assert links == metrics.near_duplicate_pairs(_frame(spark, x), threshold, id_col="vec_id").count()
 
 
+@pytest.mark.parametrize("threshold", [0.95, 0.6])
+def test_near_links(spark, threshold):
+    x = _clustered()
+    df = _frame(spark, x).unionByName(_odd(spark)).repartition(5)
+    s = x.astype(np.float64) @ x.astype(np.float64).T >= threshold
+    _, first, inverse = np.unique(x, axis=0, return_index=True, return_inverse=True)
+    want = [(i, int(first[inverse[i]]), int(s[i].sum() - s[i, i])) for i in range(len(x))]
+    assert sorted(map(tuple, cells.near_links(df, threshold, id_col="vec_id", block=64).collect())) == want
+    assert cells.near_links(df.limit(0), id_col="vec_id").count() == 0
+
+
 def test_near_classes_skips_and_takes_any_norm(spark):
     x = _clustered() * np.random.default_rng(1).uniform(0.5, 2.0, 900)[:, None].astype(np.float32)
     df = _frame(spark, x)
