@@ -11,6 +11,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import npz
+
 REFERENCE = "references array<struct<id:string,judul:string,tahun:string,penulis:array<string>,kategori:string,ringkasan:string,poin_kunci:array<string>,relevansi_topik:array<string>,doi:string,url:string>>"
 
 
@@ -73,9 +75,17 @@ def read_chunk_file(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_npz(spark: SparkSession, path: str, *, vectors: str = "embeddings", ids: str = "chunk_ids") -> DataFrame:
-    """(chunk_id, ordinal, embedding) of NumPy archives that hold a matrix and its row ids.
-    One task opens a file, as the format has no parts; its rows leave in batches."""
+    """(chunk_id, ordinal, embedding) of NumPy archives that hold a matrix and its row ids:
+    by ranges of rows where the path's scheme is one that Arrow opens, and else a file to a
+    task, whose rows leave in batches."""
+    try:
+        npz.file_system(path)
+    except pa.ArrowInvalid:
+        return _read_npz_whole(spark, path, vectors, ids)
+    return npz.read_rows(spark, path, vectors=vectors, ids=ids)
+
 
+def _read_npz_whole(spark: SparkSession, path: str, vectors: str, ids: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0):
