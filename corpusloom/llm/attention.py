@@ -6,9 +6,13 @@ others fall into clusters of ids that stand in like places; the share of an id i
 comes from the counts of the whole corpus, so that every id of every text has a
 probability and all of them sum to 1. Attention runs over windows of ``BEFORE`` ids that
 are context alone and ``STRIDE`` ids that are scored, so each id is scored once; windows
-are batched over texts, and a mask hides later ids and those of other texts. Weights are
-trained in numpy on at most ``TRAIN_WINDOWS`` windows, those of the least hashes, of about
-``TRAIN_DOCS`` texts; counts cover all rows.
+are batched over texts, and a mask hides later ids and those of other texts.
+
+Counts, clusters and weights are learnt from all rows to learn from. Weights start from
+those trained on at most ``TRAIN_WINDOWS`` windows, those of the least hashes, of about
+``TRAIN_DOCS`` texts; each task then goes on from them over all windows of its rows, and the
+tasks' weights are averaged by the ids they saw. So weights depend on how the rows are
+split over tasks, and no other figure does.
 
 A token's probability is half that of its ids by attention and half its share in the counts
 of the whole corpus, as the base score has it; tokens never seen share what the counts
@@ -52,6 +56,8 @@ STRIDE, BEFORE, AT_ONCE = 32, 16, 64
 #: Units: the end, ids of their own, clusters; ids with an input vector of their own; widths.
 OWN, CLUSTERS, INPUTS, WIDTH, HIDDEN = 90, 36, 2048, 16, 32
 TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BATCH, RATE = 1_500, 16_000, 4, 128, 0.01
+#: Step over all rows; numbers of a piece of the weights that tasks hand on; pairs a task counts before it does.
+WHOLE_RATE, PIECE, PAIRS = 0.002, 4096, 2_000_000
 #: Frequent words sent to the tasks; words a task counts before it hands them on; bytes of text at once.
 MOST_WORDS, COUNTED, TEXT_BYTES = 200_000, 300_000, 2 << 20
 #: Words whose ids the library's wrapper keeps.
@@ -195,6 +201,12 @@ def _forward(w: dict[str, np.ndarray], entries: np.ndarray, first: np.ndarray, m
     return {"x": x, "k": k, "v": v, "q": q, "p": p, "both": both, "h": h, "logits": np.clip(logits, -60, 60, out=logits)}
 
 
+def _sum_by(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of ``values`` that share a number."""
+    at = (rows[:, None] * values.shape[1] + np.arange(values.shape[1])).reshape(-1)
+    return np.bincount(at, values.reshape(-1), n * values.shape[1]).reshape(n, -1).astype(values.dtype)
+
+
 def _gradients(w: dict[str, np.ndarray], entries: np.ndarray, first: np.ndarray, wanted: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean cross-entropy over the real places."""
     f = _forward(w, entries, first, _mask(w["distance"]))
@@ -220,8 +232,7 @@ def _gradients(w: dict[str, np.ndarray], entries: np.ndarray, first: np.ndarray,
     out |= {"query": here.T @ flat(dq), "key": x.T @ flat(dk), "value": x.T @ flat(dv)}
     dx = dk @ w["key"].T + dv @ w["value"].T
     dx[:, BEFORE:] += both[..., :WIDTH] + dq @ w["query"].T
-    out["embed"] = np.zeros_like(w["embed"])
-    np.add.at(out["embed"], entries.reshape(-1), flat(dx))
+    out["embed"] = _sum_by(entries.reshape(-1), flat(dx), len(w["embed"]))
     return out
 
 
@@ -235,48 +246,72 @@ def _initial(units: int, entries: int) -> dict[str, np.ndarray]:
     }
 
 
+class _Adam:
+    """Adam's steps on weights that are changed in place."""
+
+    def __init__(self, w: dict[str, np.ndarray]) -> None:
+        self.w, self.step = w, 0
+        self.state = {n: (np.zeros_like(a), np.zeros_like(a)) for n, a in w.items()}
+
+    def take(self, g: dict[str, np.ndarray], rate: float) -> None:
+        self.step += 1
+        rate *= math.sqrt(1 - 0.99**self.step) / (1 - 0.9**self.step)
+        for n, (m, s) in self.state.items():
+            m += np.float32(0.1) * (g[n] - m)
+            s += np.float32(0.01) * (g[n] * g[n] - s)
+            self.w[n] -= np.float32(rate) * m / (np.sqrt(s) + np.float32(1e-8))
+
+
 def train_weights(units: int, entries: int, seen: np.ndarray, wanted: np.ndarray, real: np.ndarray, first: np.ndarray, epochs: int = EPOCHS) -> dict[str, np.ndarray]:
     """Adam on the cross-entropy of units, over windows in a drawn order."""
-    w, rng, step = _initial(units, entries), np.random.default_rng(2), 0
-    state = {n: (np.zeros_like(a), np.zeros_like(a)) for n, a in w.items()}
-    total = epochs * -(-len(seen) // BATCH)
+    w, rng = _initial(units, entries), np.random.default_rng(2)
+    adam, total = _Adam(w), epochs * -(-len(seen) // BATCH)
     for _ in range(epochs):
         order = rng.permutation(len(seen))
         for a in range(0, len(order), BATCH):
             some = order[a : a + BATCH]
             g = _gradients(w, seen[some], first[some], wanted[some], real[some])
-            step += 1
-            rate = RATE * (1 - 0.95 * step / total) * math.sqrt(1 - 0.99**step) / (1 - 0.9**step)
-            for n, (m, s) in state.items():
-                m += np.float32(0.1) * (g[n] - m)
-                s += np.float32(0.01) * (g[n] * g[n] - s)
-                w[n] -= np.float32(rate) * m / (np.sqrt(s) + np.float32(1e-8))
+            adam.take(g, RATE * (1 - 0.95 * (adam.step + 1) / total))
     return w
 
 
-def cluster_ids(counts: np.ndarray, seen: np.ndarray, target: np.ndarray, real: np.ndarray, rounds: int = 12) -> np.ndarray:
-    """The unit of each id, the end (unit 0) being the last: the ``OWN`` most frequent ones
-    have their own; the others are clustered by what stands before and behind them in
-    the windows, and those found in none share the last unit."""
+def _marks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids that occur, most frequent first; and the number of each id as a neighbour, or -1."""
     size = len(counts)
-    unit = np.full(size + 1, OWN + CLUSTERS + 1)
-    unit[size] = 0
     rank = np.lexsort((np.arange(size), -counts))
     rank = rank[counts[rank] > 0]
-    unit[rank[:OWN]] = np.arange(1, 1 + len(rank[:OWN]))
     marks = np.full(size + 1, -1)
     marks[rank[:255]] = np.arange(len(rank[:255]))
     marks[size] = 255
-    before, now = seen[:, BEFORE:][real], target[real]
-    number = np.full(size + 1, -1)
-    members = np.setdiff1d(np.unique(now), [size, *rank[:OWN]])
+    return rank, marks
+
+
+def _neighbours(marks: np.ndarray, before: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """id * 512 + neighbour, of each id and a marked one before it or, from 256, behind it."""
+    out = []
+    for a, b, shift in ((now, before, 0), (before, now, 256)):
+        ok = (a < len(marks) - 1) & (marks[b] >= 0)
+        out.append(a[ok] * 512 + marks[b[ok]] + shift)
+    return np.concatenate(out)
+
+
+def cluster_ids(counts: np.ndarray, pairs: np.ndarray, times: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """The unit of each id, the end (unit 0) being the last: the ``OWN`` most frequent ones
+    have their own; the others are clustered by what stands before and behind them, which
+    ``times`` counts of ``pairs`` (``_neighbours``), and those without share the last unit."""
+    size = len(counts)
+    unit = np.full(size + 1, OWN + CLUSTERS + 1)
+    unit[size] = 0
+    rank, _ = _marks(counts)
+    unit[rank[:OWN]] = np.arange(1, 1 + len(rank[:OWN]))
+    number = np.full(size, -1)
+    members = np.setdiff1d(np.unique(pairs // 512), rank[:OWN])
     if not len(members):
         return unit
     number[members] = np.arange(len(members))
+    ok = number[pairs // 512] >= 0
     table = np.zeros((len(members), 512), np.float32)
-    for a, b, shift in ((now, before, 0), (before, now, 256)):
-        ok = (number[a] >= 0) & (marks[b] >= 0)
-        table += np.bincount(number[a[ok]] * 512 + marks[b[ok]] + shift, minlength=table.size).reshape(table.shape)
+    table[number[pairs[ok] // 512], pairs[ok] % 512] = times[ok]
     weight = table.sum(1) + 1
     table = np.sqrt(table / weight[:, None])
     heads = np.argsort(-counts[members], kind="stable")[:CLUSTERS]
@@ -291,10 +326,11 @@ def cluster_ids(counts: np.ndarray, seen: np.ndarray, target: np.ndarray, real:
     return unit
 
 
-def build_model(counts: np.ndarray, ends: int, seen: np.ndarray, target: np.ndarray, real: np.ndarray, first: np.ndarray, epochs: int = EPOCHS) -> Model:
-    """A model from corpus counts and training windows of ids, the end being the last id."""
+def build_model(counts: np.ndarray, ends: int, seen: np.ndarray, target: np.ndarray, real: np.ndarray, first: np.ndarray, epochs: int = EPOCHS, near: tuple[np.ndarray, np.ndarray] | None = None) -> Model:
+    """A model from corpus counts and training windows of ids, the end being the last id;
+    ``near`` has the corpus's neighbours and their counts, or those of the windows are taken."""
     size, units = len(counts), OWN + CLUSTERS + 2
-    unit = cluster_ids(counts, seen, target, real)
+    unit = cluster_ids(counts, *(near or np.unique(_neighbours(_marks(counts)[1], seen[:, BEFORE:][real], target[real]), return_counts=True)))
     mass = np.append(counts, ends) + 1.0
     share = np.log(mass / np.bincount(unit, mass, units)[unit]).astype(np.float32)
     entry = INPUTS + unit
@@ -321,22 +357,17 @@ class _Codes(dict):
             del self[word]
 
 
-class Scorer:
-    """A worker's tables: frequent words with their ids, counts and log probabilities by
-    counts; ``divisor`` turns counts into probabilities."""
+class Streams:
+    """A worker's table of frequent words with their ids, that turns texts into ids."""
 
-    def __init__(self, model: Model, path: str, words: list[bytes], counts: list[int], ends: int, divisor: float) -> None:
-        self.model, self.path, self.codes = model, path, _Codes(words)
-        self.known = np.array([*counts, ends]) > 0
-        self.logs = np.log((np.array([*counts, ends], float) + 0.5) / divisor)
+    def __init__(self, path: str, words: list[bytes], end: int) -> None:
+        self.path, self.codes, self.end = path, _Codes(words), end
         ids, sizes = _ids_of(words, path)
-        self.ids, self.sizes = np.append(ids, len(model.unit) - 1), np.append(sizes, 1)
-        self.end = len(model.unit) - 1
+        self.ids, self.sizes = np.append(ids, end), np.append(sizes, 1)
 
-    def score(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-        """Of each text: tokens; how many of them are known, their base logarithms' sum and
-        their score, without words that aren't frequent; those, each with its spelling's
-        log probability. Logarithms are natural."""
+    def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+        """The numbers of all tokens; how many each text has; where the ids of each token
+        begin, and the last one's end; the ids; the words that aren't frequent."""
         codes, end = self.codes, self.codes.size
         split = [_words(t) for t in texts]
         sizes = np.array([len(s) + 1 for s in split], np.int64)
@@ -352,6 +383,25 @@ class Scorer:
         begins = np.cumsum(lengths) - lengths
         bounds = np.append(0, np.cumsum(lengths[token]))
         stream = ids[np.arange(bounds[-1]) + np.repeat(begins[token] - bounds[:-1], lengths[token])]
+        return token, sizes, bounds, stream, new
+
+
+class Scorer:
+    """A worker's tables: frequent words with their ids, counts and log probabilities by
+    counts; ``divisor`` turns counts into probabilities."""
+
+    def __init__(self, model: Model, path: str, words: list[bytes], counts: list[int], ends: int, divisor: float) -> None:
+        self.model, self.end = model, len(model.unit) - 1
+        self.streams = Streams(path, words, self.end)
+        self.known = np.array([*counts, ends]) > 0
+        self.logs = np.log((np.array([*counts, ends], float) + 0.5) / divisor)
+
+    def score(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Of each text: tokens; how many of them are known, their base logarithms' sum and
+        their score, without words that aren't frequent; those, each with its spelling's
+        log probability. Logarithms are natural."""
+        token, sizes, bounds, stream, new = self.streams.of(texts)
+        end, behind = self.streams.codes.size, np.cumsum(sizes)
         seen, target, real, first = _windows(stream, np.append(0, bounds[behind]), self.end)
         sums = np.append(0, np.cumsum(self.model.log_probabilities(seen, target, first)[real], dtype=np.float64))
         attended = sums[bounds[1:]] - sums[bounds[:-1]]
@@ -367,15 +417,93 @@ class Scorer:
         return sizes, total(known).astype(np.int64), total(self.logs[t]), total(mixed), pa.ListArray.from_arrays(offsets, rest)
 
 
-_SCORERS: dict[str, Scorer] = {}
+_TABLES: dict[str, Scorer | Streams] = {}
+
+
+def _kept(name: str, make) -> Scorer | Streams:
+    """The worker's tables of this name; one is kept from task to task."""
+    if name not in _TABLES:
+        _TABLES.clear()
+        _TABLES[name] = make()
+    return _TABLES[name]
+
+
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes | None]]]:
+    """The texts of a batch, about ``TEXT_BYTES`` at once, with the row of the first."""
+    texts, at, part, held_bytes = batch.column(column).to_pylist(), 0, [], 0
+    for k, t in enumerate(texts):
+        part.append(t)
+        held_bytes += len(t or b"")
+        if held_bytes >= TEXT_BYTES or k + 1 == len(texts):
+            yield at, part
+            at, part, held_bytes = k + 1, [], 0
 
 
-def _scorer(name: str, path: str, sent: Broadcast) -> Scorer:
-    """The worker's scorer of this name; one is kept from task to task."""
-    if name not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[name] = Scorer(sent.value[0], path, *sent.value[1:])
-    return _SCORERS[name]
+def count_neighbours(docs: DataFrame, text: Column, path: str, sent: Broadcast, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``_neighbours`` over all texts, and how often each occurs: at most 512 for each id of
+    the vocabulary come to the driver. ``sent`` has the frequent words."""
+    name, end = uuid.uuid4().hex, len(marks) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        streams = _kept(name, lambda: Streams(path, sent.value, end))
+        held, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            for _, texts in _parts(batch, 0):
+                stream = streams.of(texts)[3]
+                pairs, n = np.unique(_neighbours(marks, np.append(end, stream[:-1]), stream), return_counts=True)
+                both, at = np.unique(np.concatenate([held, pairs]), return_inverse=True)
+                held, times = both, np.bincount(at, np.concatenate([times, n]), len(both)).astype(np.int64)
+                if len(held) > PAIRS:
+                    yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(times)], names=["pair", "n"])
+                    held, times = held[:0], times[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array(times)], names=["pair", "n"])
+
+    part = docs.select(text.cast("binary").alias("t")).mapInArrow(run, "pair int, n long")
+    got = part.groupBy("pair").agg(F.sum("n").alias("n")).toArrow().sort_by("pair")
+    return got["pair"].to_numpy().astype(np.int64), got["n"].to_numpy()
+
+
+def learn_weights(docs: DataFrame, text: Column, path: str, sent: Broadcast, model: Model) -> tuple[dict[str, np.ndarray], int]:
+    """Weights learnt from all windows of all texts, and how many ids those hold.
+
+    Each task goes on from the weights of ``model``; the means of the tasks' weights are
+    made by pieces, and one set of weights comes to the driver."""
+    name, end = uuid.uuid4().hex, len(model.unit) - 1
+    tables = docs.sparkSession.sparkContext.broadcast((model.unit, model.entry, model.weights))
+    order = list(model.weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        streams = _kept(name, lambda: Streams(path, sent.value, end))
+        unit, entry, start = tables.value
+        w, rng, n = {k: a.copy() for k, a in start.items()}, np.random.default_rng(3), 0
+        adam = _Adam(w)
+        for batch in batches:
+            for _, texts in _parts(batch, 0):
+                _, sizes, bounds, stream, _ = streams.of(texts)
+                seen, target, real, first = _windows(stream, np.append(0, bounds[np.cumsum(sizes)]), end)
+                n += len(stream)
+                drawn = rng.permutation(len(seen))
+                for a in range(0, len(drawn), BATCH):
+                    some = drawn[a : a + BATCH]
+                    adam.take(_gradients(w, entry[seen[some]], first[some], unit[target[some]], real[some]), WHOLE_RATE)
+        flat = np.concatenate([w[k].reshape(-1) for k in order]).astype(np.float64)
+        pieces = [(flat[a : a + PIECE] * n).tobytes() for a in range(0, len(flat), PIECE)] if n else []
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([n] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], names=["piece", "n", "sums"])
+
+    def added(table: pa.Table) -> pa.Table:
+        sums = np.sum([np.frombuffer(b) for b in sorted(table["sums"].to_pylist())], axis=0)
+        return pa.table([table["piece"].slice(0, 1), pa.array([sum(table["n"].to_pylist())], pa.int64()), pa.array([sums.tobytes()], pa.binary())], names=["piece", "n", "sums"])
+
+    kind = "piece int, n long, sums binary"
+    got = docs.select(text.cast("binary").alias("t")).mapInArrow(run, kind).groupBy("piece").applyInArrow(added, kind).orderBy("piece").collect()
+    tables.unpersist()
+    if not got:
+        return model.weights, 0
+    flat, out = np.concatenate([np.frombuffer(r["sums"]) / r["n"] for r in got]).astype(np.float32), {}
+    for k in order:
+        size = model.weights[k].size
+        out[k], flat = flat[:size].reshape(model.weights[k].shape), flat[size:]
+    return out, got[0]["n"]
 
 
 def score_texts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", most_words: int = MOST_WORDS, epochs: int = EPOCHS) -> DataFrame:
@@ -392,8 +520,6 @@ def score_texts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
 
     size = vocabulary_size(path)
     counts = count_ids(words, path, size)
-    model = build_model(counts, rows["learnt"], *_training_windows(docs.filter(~held), column(text_col), path, rows["learnt"], size), epochs)
-
     level = F.floor(F.log2("every") * 64).cast("int")  # at most 64 levels for each doubling
     kept, border = 0, 1 << 30
     for b, n in sorted((tuple(r) for r in words.filter(F.octet_length("word") <= 64).groupBy(level.alias("b")).count().collect()), reverse=True):
@@ -402,19 +528,19 @@ def score_texts(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col:
         border = b
     is_frequent = (level >= border) & (F.octet_length("word") <= 64)
     frequent = sorted((bytes(r["word"]), r["learnt"]) for r in words.filter(is_frequent).select("word", "learnt").collect())
-    sent = spark.sparkContext.broadcast((model, [w for w, _ in frequent], [n for _, n in frequent], rows["learnt"], divisor))
+    spelt = spark.sparkContext.broadcast([w for w, _ in frequent])
+    learnt, text = docs.filter(~held), column(text_col)
+    near = count_neighbours(learnt, text, path, spelt, _marks(counts)[1])
+    model = build_model(counts, rows["learnt"], *_training_windows(learnt, text, path, rows["learnt"], size), epochs, near)
+    model.weights, _ = learn_weights(learnt, text, path, spelt, model)
+    sent = spark.sparkContext.broadcast((model, path, [w for w, _ in frequent], [n for _, n in frequent], rows["learnt"], divisor))
     name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(name, path, sent)
+        scorer = _kept(name, lambda: Scorer(*sent.value))
         for batch in batches:
-            texts, at, part, held_bytes = batch.column(2).to_pylist(), 0, [], 0
-            for k, t in enumerate(texts):
-                part.append(t)
-                held_bytes += len(t or b"")
-                if held_bytes >= TEXT_BYTES or k + 1 == len(texts):
-                    yield pa.RecordBatch.from_arrays([*(c.slice(at, len(part)) for c in batch.columns[:2]), *map(pa.array, scorer.score(part))], names=schema.names)
-                    at, part, held_bytes = k + 1, [], 0
+            for at, part in _parts(batch, 2):
+                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(part)) for c in batch.columns[:2]), *map(pa.array, scorer.score(part))], names=schema.names)
 
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType)]).add("held_out", "boolean").add("n_tokens", "long").add("known", "long").add("base", "double").add("score", "double").add("rest", T.ArrayType(T.StructType().add("word", "binary").add("attended", "double")))
     taken = docs.select(column(id_col).alias("id"), held.alias("held_out"), column(text_col).cast("binary").alias("t"))
