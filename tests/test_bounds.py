@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpusloom.operators import search
+from corpusloom.operators import metrics, search
 
 
 def test_blocks_of_vector_search_are_small():
@@ -20,3 +20,14 @@ def test_vector_topk_over_several_blocks_equals_one_product(spark):
     scores = x[::1000] @ x.T
     want = {(q * 1000, int(i), rank) for q, row in enumerate(scores) for rank, i in enumerate(np.argsort(-row, kind="stable")[:3], 1)}
     assert {(r["query_id"], r["item_id"], r["rank"]) for r in got.collect()} == want
+
+
+def test_pairs_are_added_up_without_a_row_for_one(spark):
+    x = np.random.default_rng(6).standard_normal((2_500, 8))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, embedding array<double>")
+    s = (x @ x.T)[np.triu_indices(len(x), 1)]
+    for block in (700, 8192):
+        got = metrics.pair_extremes(rows, id_col="id", block=block, near=0.3).first()
+        assert (got["n_pairs"], got["n_near"]) == (len(s), (s >= 0.3).sum())
+        assert np.allclose([got["uniformity_loss"], got["cosine_max"]], [np.log(np.exp(4 * s - 4).mean()), s.max()], rtol=1e-9)
