@@ -1,8 +1,11 @@
 """What a task holds, or a stage makes, stays bounded as tables grow."""
 
+import unicodedata
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from corpusloom.functions import clean
 from corpusloom.operators import metrics, search
 
 
@@ -31,3 +34,22 @@ def test_pairs_are_added_up_without_a_row_for_one(spark):
         got = metrics.pair_extremes(rows, id_col="id", block=block, near=0.3).first()
         assert (got["n_pairs"], got["n_near"]) == (len(s), (s >= 0.3).sum())
         assert np.allclose([got["uniformity_loss"], got["cosine_max"]], [np.log(np.exp(4 * s - 4).mean()), s.max()], rtol=1e-9)
+
+
+def test_guards_of_cleaning_change_no_text(spark):
+    """Rules run one after another on what came before, and composition on all that it changes."""
+    table = [("ab", "cd"), ("cd", "ef"), ("s", "T")]
+    texts = ["", None, "xab ab", "AB cd", "ſ K", "nothing", "é a˿", "Å", "ä ñ — “x”", "가", "\U0001d15e"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.col("t")
+    for wrong, right in table:
+        plain = F.regexp_replace(plain, rf"(?iU)\b{wrong}\b", right)
+    got = rows.select("t", clean.fix_typos(F.col("t"), table), plain, clean.nfc(F.col("t"))).collect()
+    assert all(a == b for _, a, b, _ in got)
+    assert all(n == (t if t is None else unicodedata.normalize("NFC", t)) for t, _, _, n in got)
+
+
+def test_typo_terms_are_looked_for_before_any_rule(spark, capsys):
+    spark.range(1).select(clean.fix_typos(F.col("id").cast("string"), [("ab", "x"), ("cd", "y")]).alias("t")).explain()
+    plan = capsys.readouterr().out
+    assert 0 < plan.index("Contains") < plan.index("regexp_replace") and plan[: plan.index("regexp_replace")].count("Contains(") > 2
