@@ -57,3 +57,12 @@ def test_stream_equals_batch(spark, tmp_path, ordered):
     sessions.follow(spark, source, out, mark).awaitTermination()
     assert spark.read.parquet(out).count() == rows
     assert spark.conf.get(sessions.PROVIDER) == before
+
+
+def test_no_python_for_each_session(spark, tmp_path):
+    """The stream's state is Spark's own: keys of a micro-batch cost no call of Python each."""
+    source = str(tmp_path / "in")
+    spark.createDataFrame([(1, 0, 0, "open", None)], sessions.EVENTS).write.parquet(source)
+    stream = sessions.session_stream(spark.readStream.schema(sessions.EVENTS).parquet(source))
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "Aggregate" in plan and "Python" not in plan and "InPandas" not in plan
