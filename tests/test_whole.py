@@ -186,3 +186,30 @@ def test_guards_change_no_result(spark):
         expanded = F.regexp_replace(expanded, rf"(?U)\b{re.escape(short)}\b", f"{long} ({short})")
     for r in rows.select(plain.alias("a"), clean.fix_typos(F.col("text"), lexicon.TYPOS).alias("b"), expanded.alias("c"), clean.expand_abbreviations(F.col("text"), lexicon.ABBREVIATIONS).alias("d")).collect():
         assert r["a"] == r["b"] and r["c"] == r["d"]
+
+
+@pytest.mark.parametrize(("block", "cells"), [(2, 3), (3, 40), (4096, 1_000_000)])
+def test_whole_ranking_needs_no_sort_of_pairs(spark, block, cells):
+    rng = random.Random(5)
+    words = "a b c d e f g".split()
+    some = lambda n: " ".join(rng.choice(words) for _ in range(rng.randrange(n)))
+    items = spark.createDataFrame([(k * 7 % 61 - 20, some(4), [some(2), rng.choice(words)], rng.choice(["s a", "t", "u", None])) for k in range(61)], "item_id long, text string, keywords array<string>, section string").repartition(5)
+    q = spark.createDataFrame([(k, some(5)) for k in range(9)] + [(9, "nothing"), (10, None)], "query_id long, query string")
+    found = ranking.whole_ranking(q, items, query_block=block, cells=cells)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "RepartitionByExpression" not in plan
+    rows = sorted(map(tuple, found.collect()))
+    assert len(rows) == 11 * 61 and rows == sorted((r["query_id"], r["item_id"], r["score"], r["rank"]) for r in metrics.rank_all(metrics.lexical_scores(q, items), q, items).collect())
+    assert ranking.whole_ranking(q.limit(0), items).count() == 0 == ranking.whole_ranking(q, items.limit(0)).count()
+
+
+def test_whole_ranking_ranks_rows_without_an_id_last(spark):
+    items = spark.createDataFrame([(None, "x"), (5, "x"), (5, "a"), (None, "a"), (-1, "x")], "item_id long, text string").withColumns({"keywords": F.array().cast("array<string>"), "section": F.lit("s")})
+    q = spark.createDataFrame([(1, "a")], "query_id long, query string")
+    found = ranking.whole_ranking(q, items).orderBy("rank").collect()
+    assert [(r["item_id"], r["score"], r["rank"]) for r in found] == [(5, 1.0, 1), (None, 1.0, 2), (-1, 0.0, 3), (5, 0.0, 4), (None, 0.0, 5)]
+
+
+def test_lexical_rank_makes_no_row_for_a_pair_before_the_result(spark):
+    plan = catalog.QUERIES["lexical_rank"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
