@@ -213,3 +213,11 @@ def test_whole_ranking_ranks_rows_without_an_id_last(spark):
 def test_lexical_rank_makes_no_row_for_a_pair_before_the_result(spark):
     plan = catalog.QUERIES["lexical_rank"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
+
+
+def test_blocks_of_all_scores_send_few_copies(spark, monkeypatch):
+    """Vectors are sent once for each block of the other side; a task's pairs are bounded."""
+    df, given, deal = spark.createDataFrame([(20, [1.0])], "item_id long, embedding array<float>"), [], search._deal
+    monkeypatch.setattr(search, "_deal", lambda *a: given.extend(a[4:6]) or deal(*a))
+    assert search.all_scores(df.withColumnRenamed("item_id", "query_id"), df).count() == 1
+    assert sum(1 / n for n in given) <= 2 / 1024 and given[0] * given[1] <= 1 << 20
