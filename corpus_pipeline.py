@@ -80,9 +80,10 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 @_shielded
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(docs, threshold=SIMILARITY)
-    kept = materialize(found.filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "kept")
+    # The ids that go are fewer than those that stay, so the texts needn't be exchanged as soon.
+    gone = materialize(found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "gone")
     # Rows without a number join nothing, so that they don't meet under one key.
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    return docs.filter(F.col("doc_id").isNotNull()).join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 @_shielded

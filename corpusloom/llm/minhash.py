@@ -386,6 +386,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sizes = materialize(banded.groupBy(*by).agg(F.count("*").alias("size")).filter(F.col("size") > 1), "sizes")
     heavy = heavy_keys(sizes, by, "size")
     buckets = materialize(spread_join(banded, sizes, by, heavy, tie), "buckets")
+    # All signatures are exchanged once; what follows joins those that share a bucket alone.
+    signatures = materialize(signatures.join(buckets.select("id").distinct(), "id", "left_semi"), "signatures")
     weight = buckets.groupBy("id").agg(F.sum("size").alias("weight"))
     hubs = buckets.join(weight, "id").groupBy(*by).agg(F.max_by("id", F.struct("weight", F.xxhash64("id"), "id")).alias("b"))
     star = spread_join(buckets.select(*by, F.col("id").alias("a")), hubs, by, heavy, F.xxhash64("a"))
@@ -416,7 +418,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rest = rest.select(*by, "band", "id", "comp", "at", F.least("at", "other").alias("lo"), F.greatest("at", "other").alias("hi"))
     bucketed = lambda df: df.repartition(*by, "lo", "hi").sortWithinPartitions(*by, "lo", "hi", "id")
     members = materialize(block_members(bucketed(rest.join(signatures, "id")), bounds, percent, rows), "members")
-    drop_scratch(mixed, sizes)
+    drop_scratch(mixed, sizes, signatures)
     texts = _texts(members, docs, id_col, text_col)
     links.append(materialize(block_links(bucketed(members.join(texts, "id")), bounds, percent, rows), "links"))
     drop_scratch(texts, members)

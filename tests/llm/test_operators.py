@@ -935,3 +935,11 @@ def test_near_dedup_of_a_hub_that_most_pairs_share(spark):
     rows += [(2000 + i, " ".join(f"p{i // 2}x{j}" for j in range(30 + i % 2))) for i in range(40)] + [(3000 + i, " ".join(f"lone{i}x{j}" for j in range(9))) for i in range(10)]
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), threshold=0.85).collect()}
     assert got == {d: 0 if d < 1500 else d - d % 2 if d < 3000 else d for d, _ in rows}
+
+
+def test_only_signatures_that_share_a_bucket_are_joined(spark, monkeypatch):
+    joined, signed = [], minhash._signed
+    monkeypatch.setattr(minhash, "_signed", lambda pairs, signatures, *more: joined.append(signatures.count()) or signed(pairs, signatures, *more))
+    rows = [(i, " ".join(f"lone{i}x{j}" for j in range(20))) for i in range(30)] + [(100 + i, " ".join(f"p{j}" for j in range(40 + i))) for i in range(2)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.8).collect()
+    assert joined == [2] and {r["doc_id"] for r in got if not r["kept"]} == {101}

@@ -104,3 +104,20 @@ def test_whole_run_equals_plain_stages(spark):
 def test_catalogue_names():
     numbers = [int(n[2:].split("_")[0]) for n in catalog.QUERIES]
     assert sorted(numbers) == list(range(1, 13))
+
+
+def test_near_dedup_joins_the_ids_that_go(spark, monkeypatch):
+    """They are fewer than those that stay, so that texts meet them without an exchange for longer."""
+    written, materialize = {}, corpus_pipeline.materialize
+
+    def counted(df, name):
+        table = materialize(df, name)
+        written[name] = table.count()
+        return table
+
+    monkeypatch.setattr(corpus_pipeline, "materialize", counted)
+    rows = [(i, " ".join(f"lone{i}x{j}" for j in range(20))) for i in range(30)] + [(50, "the same few words"), (51, "the same few words"), (51, "the same few words"), (None, "the same few words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()]
+    assert sorted(x for x in left if x is not None) == [*range(30), 50] and left.count(None) == 1
+    assert sum(written.values()) == 1
