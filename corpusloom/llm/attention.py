@@ -168,9 +168,9 @@ class Model:
         for a in range(0, len(target), AT_ONCE):
             part = slice(a, a + AT_ONCE)
             logits = _forward(self.weights, self.entry[seen[part]], first[part], mask)["logits"]
-            chosen = np.take_along_axis(logits, self.unit[target[part]].reshape(-1, 1), 1)[:, 0]
+            chosen = logits.reshape(-1).take(np.arange(len(logits)) * logits.shape[1] + self.unit[target[part]].reshape(-1))
             np.exp(logits, out=logits)
-            out[part] = (chosen - np.log(logits.sum(1))).reshape(-1, STRIDE) + self.share[target[part]]
+            out[part] = (chosen - np.log(_sums(logits))).reshape(-1, STRIDE) + self.share[target[part]]
         return out
 
 
@@ -180,59 +180,106 @@ def _mask(distance: np.ndarray) -> np.ndarray:
     return np.where(back >= 0, distance[np.maximum(back, 0)], FAR).astype(np.float32)
 
 
+_SPACE: dict[str, np.ndarray] = {}
+
+
+def _space(name: str, like: np.ndarray, *shape: int) -> np.ndarray:
+    """Room for a step's array, the same from batch to batch: fresh pages for each cost more
+    than the products that fill them. What it held before is overwritten."""
+    size = math.prod(shape)
+    held = _SPACE.get(name)
+    if held is None or held.size < size or held.dtype != like.dtype:
+        held = _SPACE[name] = np.empty(size, like.dtype)
+    return held[:size].reshape(shape)
+
+
+def _product(name: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.matmul(a, b, out=_space(name, a, *a.shape[:-1], b.shape[-1]))
+
+
+def _flat(a: np.ndarray) -> np.ndarray:
+    return a.reshape(-1, a.shape[-1])
+
+
+def _sums(a: np.ndarray) -> np.ndarray:
+    return a @ np.ones(a.shape[-1], a.dtype)
+
+
 def _forward(w: dict[str, np.ndarray], entries: np.ndarray, first: np.ndarray, mask: np.ndarray) -> dict[str, np.ndarray]:
-    """All places of a batch of windows at once. Scores and logits are kept below 60, so
-    that their exponentials need no maximum taken out."""
-    x = w["embed"][entries]
-    k, v = x @ w["key"], x @ w["value"]
-    here = x[:, BEFORE:]
-    q = here @ w["query"]
-    p = q @ k.transpose(0, 2, 1)
+    """All places of a batch of windows at once, in arrays that the next call overwrites.
+    Scores and logits are kept below 60, so that their exponentials need no maximum taken
+    out. A column of ones carries both biases, and the mixture is divided by its weights'
+    sum, which takes fewer passes than dividing the weights."""
+    n = len(entries)
+    x = w["embed"].take(entries, 0, out=_space("x", w["embed"], *entries.shape, WIDTH), mode="clip")
+    kv = _product("kv", _flat(x), np.concatenate([w["key"], w["value"]], 1)).reshape(n, -1, 2 * WIDTH)
+    k, v = kv[..., :WIDTH], kv[..., WIDTH:]
+    both = _space("both", x, n, STRIDE, 2 * WIDTH + 1)
+    both[..., :WIDTH], both[..., -1] = x[:, BEFORE:], 1
+    q = _product("q", _flat(both)[:, :WIDTH], w["query"]).reshape(n, STRIDE, WIDTH)
+    p = _product("p", q, k.transpose(0, 2, 1))
     p += mask
     p[first, :, :BEFORE] = FAR
     np.exp(np.minimum(p, 60, out=p), out=p)
-    p /= p.sum(-1, keepdims=True)
-    both = np.concatenate([here, p @ v], axis=-1).reshape(-1, 2 * WIDTH)
-    h = both @ w["inner"]
-    h += w["inner_bias"]
+    scale = 1 / _sums(_flat(p)).reshape(n, STRIDE, 1)
+    np.multiply(_product("mixture", p, v), scale, out=both[..., WIDTH:-1])
+    h = _product("h", _flat(both), _with_bias(w["inner"], w["inner_bias"], True))
     np.maximum(h, 0, out=h)
-    logits = h @ w["outer"]
-    logits += w["outer_bias"]
-    return {"x": x, "k": k, "v": v, "q": q, "p": p, "both": both, "h": h, "logits": np.clip(logits, -60, 60, out=logits)}
+    logits = _product("logits", h, _with_bias(w["outer"], w["outer_bias"], False))
+    return {"x": x, "kv": kv, "q": q, "p": p, "scale": scale, "both": both, "h": h, "logits": np.clip(logits, -60, 60, out=logits)}
+
+
+def _with_bias(matrix: np.ndarray, bias: np.ndarray, handed_on: bool) -> np.ndarray:
+    """The matrix with its bias as a last row; and a column that hands on the ones it meets."""
+    out = np.concatenate([matrix, bias[None]])
+    return np.concatenate([out, np.eye(len(out), dtype=out.dtype)[:, -1:]], 1) if handed_on else out
 
 
 def _sum_by(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of the rows of ``values`` that share a number."""
-    at = (rows[:, None] * values.shape[1] + np.arange(values.shape[1])).reshape(-1)
-    return np.bincount(at, values.reshape(-1), n * values.shape[1]).reshape(n, -1).astype(values.dtype)
+    out = np.zeros((n, values.shape[1]), values.dtype)
+    order = np.argsort(rows.astype(np.uint16) if n <= 1 << 16 else rows, kind="stable")
+    rows = rows[order]
+    begins = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    out[rows[begins]] = np.add.reduceat(values.take(order, 0, out=_space("sorted", values, *values.shape), mode="clip"), begins)
+    return out
 
 
 def _gradients(w: dict[str, np.ndarray], entries: np.ndarray, first: np.ndarray, wanted: np.ndarray, real: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean cross-entropy over the real places."""
     f = _forward(w, entries, first, _mask(w["distance"]))
-    g = np.exp(f["logits"] - f["logits"].max(1, keepdims=True))
-    g /= g.sum(1, keepdims=True)
-    g[np.arange(len(g)), wanted.reshape(-1)] -= 1
-    g *= real.reshape(-1, 1) / np.float32(max(1, real.sum()))
-    out = {"outer": f["h"].T @ g, "outer_bias": g.sum(0)}
-    h = (g @ w["outer"].T) * (f["h"] > 0)
-    out |= {"inner": f["both"].T @ h, "inner_bias": h.sum(0)}
-    both = (h @ w["inner"].T).reshape(*f["q"].shape[:2], 2 * WIDTH)
-    mixed = both[..., WIDTH:]
-    v, p = f["v"], f["p"]
-    dv = p.transpose(0, 2, 1) @ mixed
-    dp = mixed @ v.transpose(0, 2, 1)
-    ds = p * (dp - (dp * p).sum(-1, keepdims=True))
-    dq, dk = ds @ f["k"], ds.transpose(0, 2, 1) @ f["q"]
+    g = np.exp(f["logits"], out=f["logits"])
+    weight = real.reshape(-1) / g.dtype.type(max(1, real.sum()))
+    g *= (weight / _sums(g))[:, None]
+    g.reshape(-1)[np.arange(len(g)) * g.shape[1] + wanted.reshape(-1)] -= weight
+    outer = f["h"].T @ g
+    out = {"outer": outer[:-1], "outer_bias": outer[-1]}
+    h = _product("dh", g, w["outer"].T)
+    h *= f["h"][:, :-1] > 0
+    inner = _flat(f["both"]).T @ h
+    out |= {"inner": inner[:-1], "inner_bias": inner[-1]}
+    both = _product("dboth", h, w["inner"].T).reshape(*f["q"].shape[:2], 2 * WIDTH)
+    k, v, p = f["kv"][..., :WIDTH], f["kv"][..., WIDTH:], f["p"]
+    # The weights p are divided by their sum nowhere: what they meet is.
+    mixed = np.multiply(both[..., WIDTH:], f["scale"], out=_space("mixed", both, *f["q"].shape))
+    dkv = _space("dkv", both, *f["kv"].shape)
+    np.matmul(p.transpose(0, 2, 1), mixed, out=dkv[..., WIDTH:])
+    ds = _product("ds", mixed, v.transpose(0, 2, 1))
+    ds -= np.einsum("ijk,ijk->ij", mixed, f["both"][..., WIDTH:-1])[..., None]
+    ds *= p
+    dq = _flat(_product("dq", ds, k))
+    np.matmul(ds.transpose(0, 2, 1), f["q"], out=dkv[..., :WIDTH])
     back_by = (np.arange(STRIDE)[:, None] + BEFORE - np.arange(BEFORE + STRIDE)).reshape(-1)
     seen = back_by >= 0
-    out["distance"] = np.bincount(back_by[seen], ds.sum(0).reshape(-1)[seen], BEFORE + STRIDE).astype(np.float32)
-    x, here = f["x"].reshape(-1, WIDTH), f["x"][:, BEFORE:].reshape(-1, WIDTH)
-    flat = lambda a: a.reshape(-1, WIDTH)
-    out |= {"query": here.T @ flat(dq), "key": x.T @ flat(dk), "value": x.T @ flat(dv)}
-    dx = dk @ w["key"].T + dv @ w["value"].T
-    dx[:, BEFORE:] += both[..., :WIDTH] + dq @ w["query"].T
-    out["embed"] = _sum_by(entries.reshape(-1), flat(dx), len(w["embed"]))
+    by_place = np.ones(len(ds), ds.dtype) @ ds.reshape(len(ds), -1)
+    out["distance"] = np.bincount(back_by[seen], by_place[seen], BEFORE + STRIDE).astype(np.float32)
+    both_kv = _flat(f["x"]).T @ _flat(dkv)
+    out |= {"query": _flat(f["both"])[:, :WIDTH].T @ dq, "key": both_kv[:, :WIDTH], "value": both_kv[:, WIDTH:]}
+    dx = _product("dx", _flat(dkv), np.concatenate([w["key"], w["value"]], 1).T)
+    here = dx.reshape(f["x"].shape)[:, BEFORE:]
+    here += both[..., :WIDTH]
+    here += _product("dhere", dq, w["query"].T).reshape(here.shape)
+    out["embed"] = _sum_by(entries.reshape(-1), dx, len(w["embed"]))
     return out
 
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -165,6 +166,33 @@ def test_gradients_are_those_of_differences():
             assert abs((up - down) / (2 * e) - grads[name].reshape(-1)[k]) < 2e-4 + 0.02 * abs(grads[name].reshape(-1)[k]), name
 
 
+def test_batches_reuse_their_arrays():
+    """Fresh pages for every batch cost more than the products that fill them."""
+    model, stream, end = a_model(windows=128)
+    seen, target, real, first = attention._windows(stream, np.array([0, len(stream)]), end)
+    steps = {
+        "train": lambda: attention._gradients(model.weights, model.entry[seen], first, model.unit[target], real),
+        "score": lambda: model.log_probabilities(seen, target, first),
+    }
+    for name, step in steps.items():
+        before = step()
+        tracemalloc.start()
+        after = step()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 1.6e6, (name, peak)
+        same = zip(before.values(), after.values()) if name == "train" else [(before, after)]
+        assert all(np.array_equal(a, b) for a, b in same)
+
+
+def test_sums_of_rows_by_number():
+    rng = np.random.default_rng(0)
+    rows, values = rng.integers(0, 70, 500), rng.standard_normal((500, 16))
+    want = np.zeros((100_000, 16))
+    np.add.at(want, rows, values)
+    assert np.allclose(attention._sum_by(rows, values, 100_000), want) and np.allclose(attention._sum_by(rows, values, 70), want[:70])
+
+
 def test_held_out_texts_are_likelier_than_by_counts_alone(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     got = attention.score_texts(docs, WORDS).filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
