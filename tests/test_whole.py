@@ -5,6 +5,8 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -221,3 +223,57 @@ def test_blocks_of_all_scores_send_few_copies(spark, monkeypatch):
     monkeypatch.setattr(search, "_deal", lambda *a: given.extend(a[4:6]) or deal(*a))
     assert search.all_scores(df.withColumnRenamed("item_id", "query_id"), df).count() == 1
     assert sum(1 / n for n in given) <= 2 / 1024 and given[0] * given[1] <= 1 << 20
+
+
+def test_cosine_scores_are_stored_in_few_bytes(spark, tmp_path):
+    """Like scores lie side by side in large blocks, so column files keep them once."""
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((9000, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    made = pa.table([pa.array(np.arange(9000)), pa.array(list(x)), pa.array(np.arange(9000) % 10)], ["vec_id", "embedding", "label"])
+    pq.write_table(made, tmp_path / "embeddings.parquet")
+    catalog.QUERIES["cosine_scores"](spark, str(tmp_path)).write.parquet(out := str(tmp_path / "out"))
+    got, full = pq.read_table(out), np.full((450, 9000), np.nan)
+    full[got["query_id"].to_numpy() // 20, got["item_id"].to_numpy()] = got["score"].to_numpy()
+    assert len(got) == full.size and np.abs(full - x[::20].astype(float) @ x.T.astype(float)).max() < 5.1e-7
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 6 * full.size
+
+
+def test_stored_scores_are_those_of_all_pairs(spark, monkeypatch):
+    rows = [(k, [float(k), 1.0]) for k in (1, 2, 4, 9, 10)] + [(3, [1.0]), (5, [2.0]), (6, None), (7, []), (8, [None, 1.0]), (None, [1.0, 1.0]), (2, [0.5, 0.0])]
+    df = spark.createDataFrame(rows, "item_id long, embedding array<float>")
+    q = df.filter("item_id < 9").select(F.col("item_id").cast("int").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    expected = sorted((r["query_id"], r["item_id"], r["score"]) for r in search.all_scores(q, df).collect())
+    assert len(expected) == 4 * 6 + 4
+    for least, blocks in ((1 << 22, {}), (1, {}), (1 << 22, {"query_block": 1, "corpus_block": 2})):
+        monkeypatch.setattr(search, "STORED_PAIRS", least)
+        found = search.stored_scores(q, df, 6, **blocks)
+        assert found.dtypes == search.all_scores(q, df).dtypes
+        assert sorted(map(tuple, found.collect())) == expected
+    assert search.stored_scores(q.limit(0), df, 6).count() == 0 == search.stored_scores(q, df.limit(0), 6).count()
+
+
+@pytest.mark.parametrize("kind", ["spread", "equal", "overflow"])
+def test_bands_give_each_pair_once_and_like_scores_together(kind):
+    rng = np.random.default_rng(2)
+    x, y = rng.standard_normal((60, 8)), rng.standard_normal((70, 8))
+    if kind == "equal":
+        x[:], y[:] = 1.0, 2.0
+    if kind == "overflow":
+        x[::3, 0] = y[::2, 0] = 1e200
+    for held, tile in ((1 << 23, 1 << 20), (500, 140), (1, 70)):
+        runs = list(search._alike(x, y, 1, held, tile))
+        i, j, s = (np.concatenate(z) for z in zip(*runs, strict=True))
+        assert sorted(zip(i.tolist(), j.tolist())) == [(a, b) for a in range(60) for b in range(70)]
+        assert max(len(z[0]) for z in runs) <= 5 * held // 4 + max(tile, 70)
+        with np.errstate(all="ignore"):
+            np.testing.assert_allclose(s, (x @ y.T)[i, j], rtol=1e-9, atol=0.05 + 1e-9)
+        if kind == "spread" and held > 1 << 20:
+            assert 1 + np.count_nonzero(np.diff(s)) == len(np.unique(s))
+
+
+def test_stored_scores_round_as_sql():
+    values = [0.0000005, -0.0000005, 0.0000015, 2.5e-6, 0.1234565, -0.9999995, 0.4999999999e-6, 1e300, -3.0, 7.0000005]
+    found = search._rounded(np.array(values), 1e6).tolist()
+    assert found == [duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values]
+    assert not np.signbit(search._rounded(np.array([-1e-9]), 1e6))[0]
